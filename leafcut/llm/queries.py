@@ -6,25 +6,73 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafcut.llm.bloom_cascade import url_verdicts
 from leafcut.llm.content_sort import content_sort_dedup
-from leafcut.llm.shared import read
+from leafcut.llm.shared import Scratch, read
 from leafcut.llm.simhash_anchors import simhash_groups
+from leafcut.llm.vector_packing import pack_documents
+from leafcut.llm.warc_chunks import warc_round_trip
+
+# Host and path of each rule, and its verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
 
 
 def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read(spark, sf_dir, "pages"), Scratch(spark, "warc")).drop("intact")
+
+
 def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS t(host, path, verdict)")
+    return url_verdicts(read(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_vector_packing": op4_vector_packing,
     "op5_simhash_anchors": op5_simhash_anchors,
+    "op7_warc_chunks": op7_warc_chunks,
     "op9_content_sort": op9_content_sort,
+    "op10_bloom_cascade": op10_bloom_cascade,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc_chunks": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+        FROM f""",
+    "op10_bloom_cascade": r"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        s AS (
+            SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+            FROM u),
+        rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block'))
+        SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(h || p, length(h || p)) AS rule,
+               coalesce(arg_max(v, length(h || p)), 'allow') AS verdict
+        FROM s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        GROUP BY page_id""",
     "op9_content_sort": """
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,
