@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafcut.llm.bloom_cascade import url_verdicts
 from leafcut.llm.content_sort import content_sort_dedup
+from leafcut.llm.phrase_automata import remove_recurring
 from leafcut.llm.shared import Scratch, read
 from leafcut.llm.simhash_anchors import simhash_groups
 from leafcut.llm.vector_packing import pack_documents
@@ -35,6 +36,10 @@ def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages"), Scratch(spark, "warc")).drop("intact")
 
 
+def op8_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_recurring(read(spark, sf_dir, "documents"), window=20)
+
+
 def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vector_packing": op4_vector_packing,
     "op5_simhash_anchors": op5_simhash_anchors,
     "op7_warc_chunks": op7_warc_chunks,
+    "op8_phrase_automata": op8_phrase_automata,
     "op9_content_sort": op9_content_sort,
     "op10_bloom_cascade": op10_bloom_cascade,
 }
