@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafcut.llm.bloom_cascade import url_verdicts
+from leafcut.llm.brown_lm import brown_scores
 from leafcut.llm.content_sort import content_sort_dedup
 from leafcut.llm.phrase_automata import remove_recurring
 from leafcut.llm.shared import Scratch, read
@@ -24,6 +26,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return brown_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
 
@@ -50,6 +57,7 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_lm": op1_brown_lm,
     "op4_vector_packing": op4_vector_packing,
     "op5_simhash_anchors": op5_simhash_anchors,
     "op7_warc_chunks": op7_warc_chunks,
