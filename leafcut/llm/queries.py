@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from leafcut.llm.bloom_cascade import url_verdicts
 from leafcut.llm.brown_lm import brown_scores
 from leafcut.llm.content_sort import content_sort_dedup
+from leafcut.llm.ordinal_toxicity import fit_toxicity, toxicity_scores
 from leafcut.llm.phrase_automata import remove_recurring
+from leafcut.llm.rule_ensemble import quality_scores
 from leafcut.llm.shared import Scratch, read
 from leafcut.llm.simhash_anchors import simhash_groups
+from leafcut.llm.spaced_seeds import contaminated
 from leafcut.llm.vector_packing import pack_documents
 from leafcut.llm.warc_chunks import warc_round_trip
 
@@ -31,6 +34,15 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), tokens=4096)
 
@@ -39,6 +51,12 @@ def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored, _ = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out, threshold=0.3)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages"), Scratch(spark, "warc")).drop("intact")
 
@@ -58,8 +76,11 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
+    "op2_spaced_seeds": op2_spaced_seeds,
+    "op3_ordinal_toxicity": op3_ordinal_toxicity,
     "op4_vector_packing": op4_vector_packing,
     "op5_simhash_anchors": op5_simhash_anchors,
+    "op6_rule_ensemble": op6_rule_ensemble,
     "op7_warc_chunks": op7_warc_chunks,
     "op8_phrase_automata": op8_phrase_automata,
     "op9_content_sort": op9_content_sort,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,15 @@ def text_bytes(col: str | Column = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about a MB together."""
+    a = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size > most:
+            yield a, k + 1
+            a, size = k + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
