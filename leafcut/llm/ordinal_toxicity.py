@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.rule_ensemble import labelled_sample
-from leafcut.llm.shared import text_bytes
+from leafcut.llm.shared import Scratch, text_bytes
 
 SAMPLE_ROWS = 12_000
 FEATURES = 256
 PREFIXES = (5, 6, 7, 8)
 CACHE_WORDS = 300_000
-STRENGTH = 4.0  # standard deviations
+STRENGTH = 5.0  # standard deviations
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 
 
@@ -66,7 +66,7 @@ class OrdinalModel:
         return out
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-5, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the negative log-likelihood; thresholds stay ordered."""
     n, d = x.shape
     w = np.zeros(d)
@@ -93,41 +93,58 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-5,
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grades: int = 3, graded: bool = False, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Learn from at most ``sample_rows`` labelled documents. ``graded``: labels are grades 0 to ``grades`` - 1 themselves."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     sample = labelled_sample(docs, labels, label_col, id_col, text_col, sample_rows)
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = []
-            for t in b.column(1).to_pylist():
-                counts.append(Counter())
-                for w, n in Counter(t.translate(_FOLD).split()).items():
-                    for f in features_of(w):
-                        counts[-1][f] += n
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())), pa.array([sum(n for f, n in c.items() if f[:1] != b"^") for c in counts], pa.int64())], ["label", "words", "times", "n_words"])
-
-    counted = sample.select("label", text_bytes("text").alias("t")).mapInArrow(words_of, "label double, words array<binary>, times array<long>, n_words long")
-    counted = counted.select(F.monotonically_increasing_id().alias("row"), "*").persist()
-    kinds = counted.agg(F.count("*"), F.sum((F.col("label") > 0).cast("long"))).first()
-    n, n_toxic = kinds[0], kinds[1] or 0
+    sample = scratch.keep(sample.select("label", text_bytes("text").alias("t")))
+    n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
-        counted.unpersist()
         w, t = fit_ordinal(np.zeros((n, 0)), np.full(n, grades - 1 if n_toxic else 0), grades)
         return OrdinalModel([], w, t)
-    # Log-likelihood ratio of presence and label, so that what is frequent by chance falls behind.
-    df = counted.select((F.col("label") > 0).alias("toxic"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum(F.col("toxic").cast("long")).alias("tox"))
+
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: dict[bytes, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), *(pa.array([v[k] for v in df.values()], pa.int64()) for k in (0, 1))], ["feature", "df", "tox"])
+
+        for b in batches:
+            for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for f in {f for w in set(t.translate(_FOLD).split()) for f in features_of(w)}:
+                    own = df.setdefault(f, [0, 0])
+                    own[0] += 1
+                    own[1] += label > 0
+                if len(df) > CACHE_WORDS:
+                    yield out()
+                    df.clear()
+        if df:
+            yield out()
+
+    df = sample.mapInArrow(presence, "feature binary, df long, tox long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("tox").alias("tox"))
+    # Standard deviations from what the label's share makes likely, so that what is frequent by chance falls behind.
     expected = F.col("df") * F.lit(n_toxic / n)
     z = (F.col("tox") - expected) / F.sqrt(expected * F.lit(1 - n_toxic / n) + 1)
-    chosen = df.where("df >= 3").withColumn("z", z).where(F.abs("z") > STRENGTH).orderBy(F.abs("z").desc(), "word").limit(features)
-    words = sorted((bytes(r["word"]), r["z"]) for r in chosen.collect())
+    chosen = df.where("df >= 3").withColumn("z", z).where(F.abs("z") > STRENGTH).orderBy(F.abs("z").desc(), "feature").limit(features)
+    words = sorted((bytes(r["feature"]), r["z"]) for r in chosen.collect())
     at = {w: k for k, (w, _) in enumerate(words)}
     marks = np.array([z > 0 for _, z in words], bool)
 
-    picked = counted.select("row", "label", "n_words", F.arrays_zip("words", "times").alias("w")).select("row", "label", "n_words", F.filter("w", lambda e: e["words"].isin([F.lit(bytearray(w)) for w, _ in words])).alias("w")).collect()  # sample_rows rows of at most ``features`` words
-    counted.unpersist()
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, sizes = [], []
+            for t in b.column(1).to_pylist():
+                count, found = Counter(t.translate(_FOLD).split()), Counter()
+                for w, k in count.items():
+                    for f in features_of(w):
+                        if f in at:
+                            found[at[f]] += k
+                own.append(found)
+                sizes.append(sum(count.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([list(x) for x in own], pa.list_(pa.int64())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))], ["label", "n_words", "at", "times"])
+
+    picked = sample.mapInArrow(pick, "label double, n_words long, at array<long>, times array<long>").collect()  # sample_rows rows of at most ``features`` numbers
     x = np.zeros((len(picked), len(words)))
     for i, r in enumerate(picked):
-        for e in r["w"]:
-            x[i, at[bytes(e["words"])]] = e["times"]
+        x[i, r["at"]] = r["times"]
     label, size = np.array([r["label"] for r in picked]), np.array([r["n_words"] for r in picked])
     order = np.lexsort((*x.T[:8], size, label))
     x, label, size = x[order], label[order], size[order]
