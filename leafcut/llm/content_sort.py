@@ -97,3 +97,62 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         (F.col("first_local") & F.coalesce("starts", F.lit(True))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def _first_rows(columns: int):
+    """First row of each run of a sorted partition; after ``columns`` columns comes the normalised body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        text, n_runs, held = None, 0, None  # held: the last run's first row
+
+        def out(rows: pa.RecordBatch, first: bool, last: bool) -> pa.RecordBatch:
+            """first, last: whether the first and last of these rows are the partition's first and last run."""
+            n = rows.num_rows
+            slot = [0] * n
+            if first:
+                slot[0] += 1
+            if last:
+                slot[-1] += 2
+            edge = [b if s else None for b, s in zip(rows.column(columns).to_pylist(), slot, strict=True)] if first or last else [None] * n
+            return pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(columns)), pa.array([pid] * n, pa.int32()), pa.array(slot, pa.int32()), pa.array(edge, pa.binary())], [*rows.schema.names[:columns], "pid", "slot", "edge"])
+
+        for b in batches:
+            firsts = []
+            for k, t in enumerate(b.column(columns).to_pylist()):
+                if t != text:
+                    firsts.append(k)
+                    text = t
+            if firsts:
+                if held is not None:
+                    yield out(held, n_runs == 1, False)
+                if len(firsts) > 1:
+                    yield out(b.take(pa.array(firsts[:-1])), n_runs == 0, False)
+                n_runs += len(firsts)
+                held = b.take(pa.array(firsts[-1:]))
+        if held is not None:
+            yield out(held, n_runs == 1, True)
+
+    return run
+
+
+def content_sort_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The rows that stay, with all columns of ``docs``; what stays is as in ``content_sort_dedup``. Texts are shuffled once."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"keep: {keep}")
+    scratch = Scratch(docs.sparkSession, "content-sort")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    body = text_bytes(normalise(text) if normalise else text)
+    # Columns travel under numbers, so that none clashes with the sort's own.
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)), body.alias("body"))
+    by_id = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    by_id = by_id.asc_nulls_last() if keep == "smallest" else by_id.desc_nulls_last()
+    rows = rows.select("*", F.substring("body", 1, LEAD_CHARS).alias("lead"), F.xxhash64("body").alias("hash"))
+    dealt = rows.repartitionByRange("lead", "hash", by_id).sortWithinPartitions("lead", "hash", "body", by_id)
+    plain = dealt.drop("lead", "hash")
+    schema = plain.drop("body").schema.add("pid", "integer").add("slot", "integer").add("edge", "binary")
+    runs = scratch.keep(plain.mapInArrow(_first_rows(len(docs.columns)), schema))
+    w = Window.orderBy("pid", "slot")
+    ends = runs.where(F.col("edge").isNotNull()).select("pid", "slot", (~F.col("edge").eqNullSafe(F.lag("edge").over(w))).alias("starts"))
+    kept = runs.join(F.broadcast(ends), ["pid", "slot"], "left").where(F.coalesce("starts", F.lit(True)))
+    return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

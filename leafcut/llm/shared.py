@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,9 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        # Shuffle files of what is now a table go when the driver collects its garbage.
+        gc.collect()
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
