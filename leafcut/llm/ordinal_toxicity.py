@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.rule_ensemble import labelled_sample
-from leafcut.llm.shared import Scratch, text_bytes
+from leafcut.llm.shared import Scratch, partitions, text_bytes
 
 SAMPLE_ROWS = 12_000
 FEATURES = 256
@@ -51,7 +51,7 @@ class OrdinalModel:
         for t in texts:
             count = Counter(t.translate(_FOLD).split())
             found: Counter[int] = Counter()
-            for w in count.keys() - seen.keys():
+            for w in [w for w in count if w not in seen]:
                 seen[w] = tuple(number[f] for f in features_of(w) if f in number) or None
             for w, n in count.items():
                 if own := seen[w]:
@@ -73,15 +73,19 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-5,
     share = np.array([np.clip((grade >= k).mean() if n else 0.5, 1e-3, 1 - 1e-3) for k in range(1, grades)])
     t = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1))
     raw = np.r_[t[0], np.log(np.maximum(np.diff(t), 1e-3))]
+    # Documents alike count once, with their number; most have no feature at all.
+    rows, times = np.unique(np.c_[x, grade], axis=0, return_counts=True)
+    x, grade, times = np.ascontiguousarray(rows[:, :d]), rows[:, d].astype(int), times.astype(float)
+    every = np.arange(len(x))
     m, v = np.zeros(d + grades - 1), np.zeros(d + grades - 1)
     for step in range(1, steps + 1) if n else ():
         gap = np.exp(raw[1:])
         t = raw[0] + np.r_[0, np.cumsum(gap)]
         s = x @ w
-        edge = np.c_[np.full(n, 1.0), 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40))), np.zeros(n)]
-        p = np.maximum(edge[np.arange(n), grade] - edge[np.arange(n), grade + 1], 1e-9)
+        edge = np.c_[np.ones(len(x)), 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40))), np.zeros(len(x))]
+        p = np.maximum(edge[every, grade] - edge[every, grade + 1], 1e-9)
         slope = edge * (1 - edge)
-        up, down = slope[np.arange(n), grade] / p, slope[np.arange(n), grade + 1] / p
+        up, down = times * slope[every, grade] / p, times * slope[every, grade + 1] / p
         g_w = -(x.T @ (up - down)) / n + l2 * w
         g_t = np.array([(up[grade == k].sum() - down[grade == k - 1].sum()) / n for k in range(1, grades)])
         g = np.r_[g_w, g_t.sum(), [gap[j] * g_t[j + 1 :].sum() for j in range(grades - 2)]]
@@ -95,27 +99,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
     """Learn from at most ``sample_rows`` labelled documents. ``graded``: labels are grades 0 to ``grades`` - 1 themselves."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = labelled_sample(docs, labels, label_col, id_col, text_col, sample_rows)
-    sample = scratch.keep(sample.select("label", text_bytes("text").alias("t")))
+    sample = scratch.keep(sample.select("label", text_bytes("text").alias("t"))).repartition(partitions(docs.sparkSession))
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         w, t = fit_ordinal(np.zeros((n, 0)), np.full(n, grades - 1 if n_toxic else 0), grades)
         return OrdinalModel([], w, t)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: dict[bytes, list[int]] = {}
+        df: Counter[bytes] = Counter()
+        tox: Counter[bytes] = Counter()
+        seen: dict[bytes, list[bytes]] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), *(pa.array([v[k] for v in df.values()], pa.int64()) for k in (0, 1))], ["feature", "df", "tox"])
+            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64()), pa.array([tox[f] for f in df], pa.int64())], ["feature", "df", "tox"])
 
         for b in batches:
             for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in {f for w in set(t.translate(_FOLD).split()) for f in features_of(w)}:
-                    own = df.setdefault(f, [0, 0])
-                    own[0] += 1
-                    own[1] += label > 0
+                words = set(t.translate(_FOLD).split())
+                for w in [w for w in words if w not in seen]:
+                    seen[w] = features_of(w)
+                own = set().union(*map(seen.__getitem__, words))
+                df.update(own)
+                if label > 0:
+                    tox.update(own)
                 if len(df) > CACHE_WORDS:
                     yield out()
                     df.clear()
+                    tox.clear()
+                    seen.clear()
         if df:
             yield out()
 
@@ -130,13 +141,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, sizes = [], []
+            own, sizes, seen = [], [], {}
             for t in b.column(1).to_pylist():
                 count, found = Counter(t.translate(_FOLD).split()), Counter()
+                for w in [w for w in count if w not in seen]:
+                    seen[w] = [at[f] for f in features_of(w) if f in at]
                 for w, k in count.items():
-                    for f in features_of(w):
-                        if f in at:
-                            found[at[f]] += k
+                    for f in seen[w]:
+                        found[f] += k
                 own.append(found)
                 sizes.append(sum(count.values()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([list(x) for x in own], pa.list_(pa.int64())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))], ["label", "n_words", "at", "times"])
