@@ -19,8 +19,6 @@ the others' counts are joined.
 
 from __future__ import annotations
 
-import sys
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +33,6 @@ from pyspark.sql import functions as F
 from leafcut.llm.shared import Scratch, text_bytes
 
 END = b"\n"  # no word has white space
-CACHE_WORDS = 400_000
 FLUSH = 500_000
 PAIRS_AT_ONCE = 2_000_000
 BUCKETS, TOP = 16, 256
@@ -86,20 +83,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _slots(words: list[bytes], key: str, numbers: dict[bytes, int], signatures: int) -> np.ndarray:
-    memory = sys.__dict__.setdefault("_leafcut_slots", {})
-    if key not in memory:
-        memory.clear()
-        memory[key] = {}
-    known = memory[key]
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    except KeyError:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words):
-            known[w] = numbers[w] if w in numbers else len(numbers) + _signature(w, signatures)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+def _slots(words: list[bytes], numbers: dict[bytes, int], signatures: int) -> np.ndarray:
+    out = list(map(numbers.get, words))
+    if None in out:
+        n = len(numbers)
+        for k, x in enumerate(out):
+            if x is None:
+                out[k] = n + zlib.crc32(words[k][-3:]) % signatures
+    return np.array(out, np.int64)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -179,7 +170,6 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
     for r in under.groupBy(_signature_column(F.col("word"), signatures).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         item_count[n_items + r["s"]], item_words[n_items + r["s"]] = r["n"], r["v"]
 
-    key = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((numbers, item))
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +183,7 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
         for b in batches:
             for t in b.column(0).to_pylist():
                 at = np.zeros(1, np.int64)
-                at = np.r_[at, item[_slots(t.lower().split(), key, numbers, signatures)], at]
+                at = np.r_[at, item[_slots(t.lower().split(), numbers, signatures)], at]
                 held.append(at[:-1] * size + at[1:])
                 rows += len(at)
                 if rows > PAIRS_AT_ONCE:
@@ -286,7 +276,6 @@ def _round(pairs: DataFrame, cls: np.ndarray, bigrams: np.ndarray, bucket: np.nd
 def score_brown(docs: DataFrame, model: BrownModel, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row, and ``extra`` columns of it."""
     spark = docs.sparkSession
-    key = uuid.uuid4().hex
     log_count = np.r_[np.log10(model.word_count + 1.0), np.zeros(model.signatures)]
     numbers = {w: k for k, w in enumerate(model.words)}
     n_words, end_known = len(model.words), int(model.word_count[0] > 0)
@@ -301,7 +290,7 @@ def score_brown(docs: DataFrame, model: BrownModel, scratch: Scratch, id_col: st
             held = 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = t.lower().split()
-                slot = np.r_[_slots(words, key, numbers, signatures), 0]
+                slot = np.r_[_slots(words, numbers, signatures), 0]
                 at = item[slot]
                 c = cls[at]
                 model_part = transition[np.r_[0, c[:-1]], c].sum() + emission[at].sum() + np.where(is_word[at], 0.0, log_count[slot] - rest[at]).sum()
@@ -311,10 +300,10 @@ def score_brown(docs: DataFrame, model: BrownModel, scratch: Scratch, id_col: st
                     col.append(v)
                 held += len(rare)
                 if held > 500_000:
-                    yield _score_batch(cols)
+                    yield _score_batch(cols, b.schema.field(0).type)
                     cols, held = [[] for _ in range(7)], 0
             if cols[0]:
-                yield _score_batch(cols)
+                yield _score_batch(cols, b.schema.field(0).type)
 
     extra = extra or {}
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"), *(c.alias(f"x_{k}") for k, c in extra.items()))
@@ -342,8 +331,8 @@ def score_brown(docs: DataFrame, model: BrownModel, scratch: Scratch, id_col: st
     )
 
 
-def _score_batch(cols: list[list]) -> pa.RecordBatch:
-    types = (None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+def _score_batch(cols: list[list], row: pa.DataType) -> pa.RecordBatch:
+    types = (row, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "n_tokens", "n_known", "base", "model", "words", "times"])
 
 
