@@ -3,8 +3,8 @@
 P(grade >= k) = sigmoid(w . x - t_k) with one weight vector for all ordered thresholds t_1 < t_2 < ...; the expected
 severity is the sum of these probabilities. Features are log(1 + count) of selected words and word beginnings of
 ``PREFIXES`` characters: A-Z lower-cased, ASCII punctuation taken as white space. They are those whose presence in the sampled labelled documents says most (and clearly) about
-the label. Where labels only mark toxic documents, grades above 0 follow from how dense such words stand in a marked
-document: the sample's quantiles cut them into ``grades`` - 1 grades.
+the label. Where labels only mark toxic documents, grades above 0 follow from how many words of a marked document speak
+for the mark: the sample's quantiles cut them into ``grades`` - 1 grades.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from leafcut.llm.shared import Scratch, partitions, text_bytes
 
 SAMPLE_ROWS = 12_000
 FEATURES = 256
-PREFIXES = (5, 6, 7, 8)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 CACHE_WORDS = 300_000
 STRENGTH = 5.0  # standard deviations
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 
 
 def features_of(word: bytes) -> list[bytes]:
-    """The word, and its beginnings marked by ``^``."""
+    """The word, and what it goes on from, marked by ``^``: a stem in a longer word need not mean what it means alone."""
     t = word.decode(errors="replace")
     return [word, *(b"^" + t[:k].encode() for k in PREFIXES if len(t) >= k)]
 
@@ -141,7 +141,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, sizes, seen = [], [], {}
+            own, hits, seen = [], [], {}
             for t in b.column(1).to_pylist():
                 count, found = Counter(t.translate(_FOLD).split()), Counter()
                 for w in [w for w in count if w not in seen]:
@@ -150,22 +150,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
                     for f in seen[w]:
                         found[f] += k
                 own.append(found)
-                sizes.append(sum(count.values()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([list(x) for x in own], pa.list_(pa.int64())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))], ["label", "n_words", "at", "times"])
+                hits.append(sum(k for w, k in count.items() if any(marks[f] for f in seen[w])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64()), pa.array([list(x) for x in own], pa.list_(pa.int64())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))], ["label", "hits", "at", "times"])
 
-    picked = sample.mapInArrow(pick, "label double, n_words long, at array<long>, times array<long>").collect()  # sample_rows rows of at most ``features`` numbers
+    picked = sample.mapInArrow(pick, "label double, hits long, at array<long>, times array<long>").collect()  # sample_rows rows of at most ``features`` numbers
     x = np.zeros((len(picked), len(words)))
     for i, r in enumerate(picked):
         x[i, r["at"]] = r["times"]
-    label, size = np.array([r["label"] for r in picked]), np.array([r["n_words"] for r in picked])
-    order = np.lexsort((*x.T[:8], size, label))
-    x, label, size = x[order], label[order], size[order]
+    label, hits = np.array([r["label"] for r in picked]), np.array([r["hits"] for r in picked])
+    order = np.lexsort((*x.T[:8], hits, label))
+    x, label, hits = x[order], label[order], hits[order]
     if graded:
         grade = np.clip(label, 0, grades - 1).astype(int)
     else:
-        dense = x[:, marks].sum(1) / np.maximum(size, 1)
-        cuts = np.quantile(dense[label > 0], np.arange(1, grades - 1) / (grades - 1))
-        grade = np.where(label > 0, 1 + np.searchsorted(cuts, dense, "left"), 0)
+        cuts = np.quantile(hits[label > 0], np.arange(1, grades - 1) / (grades - 1))
+        grade = np.where(label > 0, 1 + np.searchsorted(cuts, hits, "left"), 0)
     w, t = fit_ordinal(np.log1p(x), grade, grades)
     used = np.flatnonzero(np.abs(w) > 1e-3)
     return OrdinalModel([words[k][0] for k in used], w[used], t)
