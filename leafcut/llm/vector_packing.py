@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, partitions, text_bytes
+from leafcut.llm.shared import Scratch, partitions, slices, text_bytes
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+_PUNCTUATION = b".,!?;:#$%&*|()-"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -87,27 +88,79 @@ def pack_histogram(counts: dict[int, int], tokens: int = 4096, documents: int |
     return lines
 
 
-def _encode(words: list[bytes], path: str) -> bytes:
-    """Ids of the words as little-endian unsigned 32-bit numbers; words' ids are kept for the life of the worker."""
-    memory = sys.__dict__.setdefault("_leafcut_words", {})  # functions travel by value, so a module's own names don't last
-    if path not in memory:
+class _Words:
+    """Ids of words as little-endian unsigned 32-bit numbers, kept for words seen before."""
+
+    def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
-        memory[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = memory[path]
-    try:
-        return b"".join(map(known.__getitem__, words))
-    except KeyError:
-        pass
-    new = [w for w in set(words) if w not in known]
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list(set(words))
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        for word, got in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, words))
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            end = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, k in vocabulary.items():
+            self.ends[k] = bool(end) and token.endswith(end)
+        self.marked = bool(end)
+
+    def learn(self, words: set[bytes]) -> None:
+        known, ends_in, todo = self.known, {}, set()
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        for w in words:
+            # Punctuation after a letter or digit is a token of its own.
+            core = w.rstrip(_PUNCTUATION)
+            if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
+                ends_in[w] = len(core)
+                todo.update((core, w[len(core) :]))
+            else:
+                todo.add(w)
+        plain, rest = [], []
+        for w in todo:
+            if w not in known:
+                t = w.decode()
+                (plain if self.marked and t.isalpha() else rest).append((w, t))
+        for k in range(0, len(plain), 1024):
+            # Words of letters are told apart by the mark on each word's last token.
+            part = plain[k : k + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False).ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(part, (np.flatnonzero(self.ends[ids]) + 1).tolist(), strict=True):
+                known[w] = raw[4 * at : 4 * end]
+                at = end
+        for k in range(0, len(rest), 1024):
+            part = rest[k : k + 1024]
+            for (w, _), got in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(got.ids, "<u4").tobytes()
+        for w, n in ends_in.items():
+            known[w] = known[w[:n]] + known[w[n:]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        get, out, new = self.known.get, [], set()
+        held = []
+        for t in texts:
+            # The tokenizer lower-cases too, but only after it has looked for special tokens.
+            words = t.split() if b"<|" in t else t.lower().split()
+            ids = list(map(get, words))
+            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
+            held.append((words, ids, gaps))
+            new.update([words[k] for k in gaps])
+        if new:
+            self.learn(new)
+        for words, ids, gaps in held:
+            for k in gaps:
+                ids[k] = self.known[words[k]]
+            out.append(b"".join(ids))
+        return out
+
+
+def _encode(texts: list[bytes], path: str) -> list[bytes]:
+    memory = sys.__dict__.setdefault("_leafcut_words", {})  # lasts as long as the worker; functions travel by value, so a module's own names don't
+    if path not in memory:
+        memory[path] = _Words(path)
+    return memory[path].encode(texts)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, tokens: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,12 +177,14 @@ def tokenized_pieces(docs: DataFrame, path: str, tokens: int = 4096, end_id: int
         last = np.array([end_id], "<u4").tobytes()
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = _encode(t.split(), path) + last
-                for k, at in enumerate(range(0, len(ids), 4 * tokens)):
-                    part = ids[at : at + 4 * tokens]
-                    for c, v in zip(cols, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        c.append(v)
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for a, z in slices(texts):
+                for i, ids in zip(docs[a:z], _encode(texts[a:z], path), strict=True):
+                    ids += last
+                    for k, at in enumerate(range(0, len(ids), 4 * tokens)):
+                        part = ids[at : at + 4 * tokens]
+                        for c, v in zip(cols, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(run, PIECES)
