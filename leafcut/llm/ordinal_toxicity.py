@@ -2,7 +2,8 @@
 
 P(grade >= k) = sigmoid(w . x - t_k) with one weight vector for all ordered thresholds t_1 < t_2 < ...; the expected
 severity is the sum of these probabilities. Features are log(1 + count) of selected words and word beginnings of
-``PREFIXES`` characters: A-Z lower-cased, ASCII punctuation taken as white space. They are those whose presence in the sampled labelled documents says most (and clearly) about
+``PREFIXES`` characters: A-Z lower-cased, ASCII punctuation taken as white space. They are those whose presence in the
+sampled labelled documents says most (and clearly) about
 the label. Where labels only mark toxic documents, grades above 0 follow from how many words of a marked document speak
 for the mark: the sample's quantiles cut them into ``grades`` - 1 grades.
 """

@@ -1,6 +1,6 @@
 """Benchmark decontamination with spaced seeds.
 
-Words are compared with A-Z lower-cased and ASCII punctuation taken as white space. A seed is a fixed mask over ``SPAN``
+Words are compared with A-Z lower-cased and ASCII punctuation taken as white space. A seed is a fixed mask over
 consecutive words that ignores some positions; the words at the others are hashed. Hashes of benchmark and training
 texts are joined, and around every hit the two texts are laid side by side: the overlap that scores best (a point for
 equal words, minus ``PENALTY`` for different ones) counts if it has at least ``min_words`` words, or the whole of a shorter item,
@@ -109,7 +109,7 @@ class Block:
             if (got := self.overlap(own[a:b], text[a + shift : b + shift])) is None:
                 continue
             start, n, same = got
-            if n >= min(self.min_words, len(own)) and (d, i) not in best or (d, i) in best and n >= self.min_words and same > best[d, i][2]:
+            if n >= min(self.min_words, len(own)) and ((d, i) not in best or same > best[d, i][2]):
                 best[d, i] = (item, n, same, a + start + shift, a + start)
         for (d, _), row in sorted(best.items()):
             found[d].append(row)

@@ -234,7 +234,7 @@ def test_cascade(spark):
     universe = spark.range(5000).selectExpr("concat('k', id) AS key")
     listed = universe.where("key like '%7'")
     cascade = build_cascade(listed, universe, Scratch(spark, "t"))
-    cascade.levels and len(cascade.levels) >= 2
+    assert len(cascade.levels) >= 2
     wrong = universe.where(cascade.holds(F.col("key")) != F.col("key").like("%7"))
     assert wrong.count() == 0
     assert build_cascade(listed, universe, Scratch(spark, "t"), max_bits=100) is None
@@ -384,9 +384,8 @@ def test_seeds(spark):
     for block in (1_000_000, 30):
         got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench, block_words=block).collect()}
         assert got == want
-        assert {r.doc_id for r in drop_contaminated(docs, bench, block_words=block).collect()} == set(range(60)) | {900, 901} - {d for d, _ in want} - set() if not want else True
-    kept = {r.doc_id for r in drop_contaminated(docs, bench).collect()}
-    assert kept == ({*range(60), 900, 901} - {d for d, _ in want})
+        kept = {r.doc_id for r in drop_contaminated(docs, bench, block_words=block).collect()}
+        assert kept == ({*range(60), 900, 901} - {d for d, _ in want})
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
 
 
