@@ -16,13 +16,13 @@ starts earlier in the corpus is removed.
    occurrence. Shards hold a bounded number of distinct contexts.
 4. Removal. Occurrences are joined back to their documents, which lose the words covered by later occurrences.
 
-Comparison of windows is by their words; hashes only choose what meets where.
+Windows are compared by their words; 64-bit hashes only choose what meets where. Contexts of equal 128-bit digests
+count as equal.
 """
 
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +33,15 @@ from pyspark.sql import functions as F
 
 from leafcut.llm.shared import Scratch, partitions, text_bytes
 
-CACHE_WORDS = 500_000
 FLUSH = 1_000_000
-SHARD_CONTEXTS = 20_000
+SHARD_CONTEXTS = 2_000  # an automaton finds its first word by search, so many small ones beat few large
 HOT_GRAM = 5_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = sys.__dict__.setdefault("_leafcut_word_hashes", {})
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -140,8 +131,13 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([kept[0][k]], pa.int64()) for k in (2, 3, 4, 5)], names)
 
 
-_CONTEXT = pa.struct([("words", pa.binary()), ("left", pa.int32()), ("mask", pa.int64()), ("place", pa.int64()), ("gram", pa.int64())])
-_DOC = "id long, doc long, sub long, n_words long, sha binary, body binary, contexts array<struct<words:binary,left:int,mask:long,place:long,gram:long>>"
+_CONTEXT = pa.struct([("key", pa.binary()), ("left", pa.int32()), ("mask", pa.int64()), ("place", pa.int64()), ("gram", pa.int64())])
+_DOC = "id long, doc long, sub long, n_words long, sha binary, body binary, contexts array<struct<key:binary,left:int,mask:long,place:long,gram:long>>"
+
+
+def _key(words: bytes, left: int, mask: int) -> bytes:
+    """A 128-bit digest that stands for a context where contexts are told apart."""
+    return hashlib.blake2b(b"%d %d %s" % (left, mask, words), digest_size=16).digest()
 
 
 def _contexts(window: int, gram: int, every: bool):
@@ -159,7 +155,7 @@ def _contexts(window: int, gram: int, every: bool):
                     a = max(0, p - wide)
                     part = b" ".join(words[a : p + window])
                     gram_hash = xxhash.xxh64_intdigest(b" ".join(words[p : p + gram])) >> 1
-                    found.append({"words": part, "left": p - a, "mask": m, "place": p, "gram": gram_hash})
+                    found.append({"key": _key(part, p - a, m), "left": p - a, "mask": m, "place": p, "gram": gram_hash})
                 for c, v in zip(rows, (i, doc, sub, len(words), hashlib.sha256(joined).digest(), joined if found or every else None, found), strict=True):
                     c.append(v)
                 held += len(joined) + 300 * len(found)
@@ -177,33 +173,60 @@ def _doc_batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["id", "doc", "sub", "n_words", "sha", "body", "contexts"])
 
 
+_SEEN = "doc long, sub long, key binary, words binary, left int, mask long, place long, gram long"
+
+
+def _cut(window: int):
+    """The contexts of each document with their words, cut from its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[] for _ in range(8)]
+            for doc, sub, body, contexts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                words = body.split(b" ")
+                for c in contexts:
+                    part = b" ".join(words[c["place"] - c["left"] : c["place"] + window])
+                    for col, v in zip(rows, (doc, sub, c["key"], part, c["left"], c["mask"], c["place"], c["gram"]), strict=True):
+                        col.append(v)
+                if len(rows[0]) > 20_000:
+                    yield _seen_batch(rows)
+                    rows = [[] for _ in range(8)]
+            yield _seen_batch(rows)
+
+    return run
+
+
+def _seen_batch(rows: list[list]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc", "sub", "key", "words", "left", "mask", "place", "gram"])
+
+
 def _single(window: int, gram: int):
     """Contexts cut into the windows that they judge, each with a gram of its own."""
     wide = window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for doc, sub, text, left, mask, place in zip(*(b.column(c).to_pylist() for c in ("doc", "sub", "words", "left", "mask", "place")), strict=True):
+            rows: list[list] = [[] for _ in range(8)]
+            for doc, sub, text, left, mask, place in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("doc", "sub", "words", "left", "mask", "place")), strict=True):
                 words = text.split(b" ")
                 for o in range(wide + 1):
                     if mask >> o & 1:
                         part = b" ".join(words[left - wide + o :][:window])
-                        for c, v in zip(rows, (doc, sub, part, wide - o, 1 << o, place, xxhash.xxh64_intdigest(part) >> 1), strict=True):
+                        for c, v in zip(rows, (doc, sub, _key(part, wide - o, 1 << o), part, wide - o, 1 << o, place, xxhash.xxh64_intdigest(part) >> 1), strict=True):
                             c.append(v)
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc", "sub", "words", "left", "mask", "place", "gram"])
+            yield _seen_batch(rows)
 
     return run
 
 
 def _distinct(seen: DataFrame) -> DataFrame:
     """Contexts that differ, how often each occurs, and where first."""
-    out = seen.groupBy("gram", "words", "left", "mask").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("least"))
-    return out.select("gram", "words", "left", "mask", "n", "least.doc", "least.place")
+    out = seen.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("least"), F.any_value(F.struct("gram", "words", "left", "mask")).alias("c"))
+    return out.select("key", "c.*", "n", "least.doc", "least.place")
 
 
-_FOUND = "words binary, left int, mask long, at array<int>, first_doc array<long>, first_start array<long>"
+_FOUND = "key binary, at array<int>, first_doc array<long>, first_start array<long>"
 
 
 def _locate(window: int, gram: int):
@@ -215,30 +238,30 @@ def _locate(window: int, gram: int):
 
         numbers: dict[bytes, int] = {}
         rows = []
-        for words, left, mask, n, doc, place in zip(*(table.column(c).to_pylist() for c in ("words", "left", "mask", "n", "doc", "place")), strict=True):
+        for key, words, left, mask, n, doc, place in zip(*(table.column(c).to_pylist() for c in ("key", "words", "left", "mask", "n", "doc", "place")), strict=True):
             seq = tuple(numbers.setdefault(w, len(numbers)) for w in words.split(b" "))
-            rows.append((seq, words, left, mask, n, doc, place))
+            rows.append((seq, key, left, mask, n, doc, place))
         met: dict[tuple, list] = {}
         for seq, _, left, mask, n, doc, place in rows:
             for o in range(wide + 1):
                 if mask >> o & 1:
                     s = left - wide + o  # where the window starts in the context
-                    key, start = seq[s : s + window], (doc, place - left + s)
-                    if (was := met.get(key)) is None:
-                        met[key] = [n, start]
+                    phrase, start = seq[s : s + window], (doc, place - left + s)
+                    if (was := met.get(phrase)) is None:
+                        met[phrase] = [n, start]
                     else:
                         was[0] += n
                         if start < was[1]:
                             was[1] = start
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, (n, start) in met.items():
+        for phrase, (n, start) in met.items():
             if n > 1:
-                automaton.add_word(key, start)
+                automaton.add_word(phrase, start)
         del met
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(4)]
         if len(automaton):
             automaton.make_automaton()
-            for seq, words, left, mask, *_ in rows:
+            for seq, key, left, mask, *_ in rows:
                 at, docs, starts = [], [], []
                 for end, (doc, start) in automaton.iter(seq):
                     s = end - window + 1
@@ -246,10 +269,10 @@ def _locate(window: int, gram: int):
                     if 0 <= o <= wide and mask >> o & 1:  # others are located where their own gram is
                         at.append(s - left), docs.append(doc), starts.append(start)
                 if at:
-                    for c, v in zip(out, (words, left, mask, at, docs, starts), strict=True):
+                    for c, v in zip(out, (key, at, docs, starts), strict=True):
                         c.append(v)
-        types = (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["words", "left", "mask", "at", "first_doc", "first_start"])
+        types = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "at", "first_doc", "first_start"])
 
     return run
 
@@ -286,7 +309,8 @@ def remove_recurring(docs: DataFrame, window: int = 20, gram: int = 8, id_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text_bytes(text_col).alias("body"))
-    rows = rows.select("id", "doc", F.xxhash64("body").alias("sub"), "body")
+    # Tells texts apart that share an identifier; short, for it goes with every gram.
+    rows = rows.select("id", "doc", F.xxhash64("body").bitwiseAND(0xFFFFFFFF).alias("sub"), "body")
     scanned = rows.select("doc", "sub", "body").mapInArrow(_scan(window, gram), "key long, sure boolean, doc long, sub long, place long, mask long")
     places = scanned.repartition("key").sortWithinPartitions("sure", "key").mapInArrow(_recurring, "doc long, sub long, place long, mask long")
     # A place comes once for each row that repeats identifier and text.
@@ -294,16 +318,17 @@ def remove_recurring(docs: DataFrame, window: int = 20, gram: int = 8, id_col: s
     by_doc = by_doc.select("doc", "sub", F.col("p.place").alias("places"), F.col("p.mask").alias("masks"))
     table = scratch.keep(rows.join(by_doc, ["doc", "sub"], "left").select("id", "doc", "sub", "body", "places", "masks").mapInArrow(_contexts(window, gram, with_text), _DOC))
 
-    seen = table.select("doc", "sub", F.explode("contexts").alias("c")).select("doc", "sub", "c.*")
-    distinct = scratch.keep(_distinct(seen))
+    cut = table.where("size(contexts) > 0").select("doc", "sub", "body", "contexts").mapInArrow(_cut(window), _SEEN)
+    distinct = scratch.keep(_distinct(cut))
+    seen = table.select("doc", "sub", F.explode("contexts").alias("c")).select("doc", "sub", "c.key", "c.place", "c.gram")
     hot = scratch.keep(distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_GRAM).select("gram"))
     if hot.count():
-        split = seen.join(hot, "gram", "left_semi").select(*seen.columns).mapInArrow(_single(window, gram), seen.schema)
-        seen = seen.join(hot, "gram", "left_anti").select(*seen.columns).union(split)
+        split = cut.join(hot, "gram", "left_semi").select(*cut.columns).mapInArrow(_single(window, gram), _SEEN)
+        seen = seen.join(hot, "gram", "left_anti").select(*seen.columns).union(split.select(*seen.columns))
         distinct = scratch.keep(distinct.join(hot, "gram", "left_anti").select(*distinct.columns).union(_distinct(split)))
     shards = max(partitions(spark), -(-distinct.count() // SHARD_CONTEXTS))
     found = distinct.withColumn("shard", F.pmod("gram", F.lit(shards))).groupBy("shard").applyInArrow(_locate(window, gram), _FOUND)
-    occurrences = seen.join(found, ["words", "left", "mask"]).select("doc", "sub", "place", F.explode(F.arrays_zip("at", "first_doc", "first_start")).alias("f"))
+    occurrences = seen.select("key", "doc", "sub", "place").join(found, "key").select("doc", "sub", "place", F.explode(F.arrays_zip("at", "first_doc", "first_start")).alias("f"))
     occurrences = occurrences.select("doc", "sub", (F.col("place") + F.col("f.at")).alias("start"), "f.first_doc", "f.first_start")
     later = occurrences.where("doc > first_doc or (doc = first_doc and start > first_start)").groupBy("doc", "sub").agg(F.collect_set("start").alias("starts"))
 

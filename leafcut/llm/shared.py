@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -41,8 +42,10 @@ class Scratch:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         # Shuffle files of what is now a table go when the driver collects its garbage.
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
