@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafcut.functions.text import heuristic_name
 
@@ -67,7 +68,7 @@ def unique_names_exact(rows: DataFrame, by: str = "bundle_id", name: str = "sugg
             out.append(own)
         return pdf.assign(output_filename=out)
 
-    return rows.groupBy(by).applyInPandas(run, rows.schema.add("output_filename", "string"))
+    return rows.groupBy(by).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("output_filename", T.StringType())]))
 
 
 def summary(segs: DataFrame) -> DataFrame:

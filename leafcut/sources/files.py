@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def file_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,12 +46,12 @@ def zip_files(paths: list[str], target: str) -> int:
     return len(there)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(values: pd.Series) -> pd.Series:
     """float32 values as little-endian bytes."""
     return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
