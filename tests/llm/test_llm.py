@@ -11,11 +11,12 @@ import xxhash
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from leafcut.llm import phrase_automata, simhash_anchors
+from leafcut.llm import jaccard_join, phrase_automata, simhash_anchors
 from leafcut.llm.bloom_cascade import build_cascade, url_verdicts
 from leafcut.llm.brown_lm import BrownModel, _signature, _signature_column, brown_scores, exchange, fit_brown, likelihood
 from leafcut.llm.components import connected_components
 from leafcut.llm.content_sort import content_sort_dedup, content_sort_keep
+from leafcut.llm.jaccard_join import jaccard_keep
 from leafcut.llm.ordinal_toxicity import drop_toxic, fit_ordinal, fit_toxicity, toxicity_scores
 from leafcut.llm.phrase_automata import remove_recurring
 from leafcut.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
@@ -412,3 +413,60 @@ def test_pipeline(spark, sf):
             assert kept.count() == kept.select("text").distinct().count()
     packed = P.packing(spark, kept, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept.collect()} == {r.doc_id for r in P.run(spark, sf).collect()}
+
+
+def plain_jaccard(rows, k=5, least=0.8):
+    """Which rows stay; rows: (doc_id, text) with distinct identifiers."""
+    sets, top, holders = {}, {i: i for i, _ in rows}, {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))}
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, own in sets.items():
+        met = Counter(b for s in own for b in holders[s] if b < a)
+        for b, same in met.items():
+            if same >= least * (len(own) + len(sets[b]) - same):
+                p, q = sorted((root(a), root(b)))
+                top[q] = p
+    return {i for i in sets if root(i) == i}
+
+
+@pytest.mark.parametrize("few", [2, 32])
+def test_jaccard(spark, edge, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(500)]
+    rows = [(i, t) for i, t in dict(edge).items() if i is not None]
+    line = [rng.choice(words) for _ in range(12)]
+    for k in range(6):
+        base = [rng.choice(words) for _ in range(40 + 50 * k)]
+        for j in range(40):
+            own = line + base
+            for _ in range(rng.randrange(2 + 2 * k)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((100 + 40 * k + j, " ".join(own)))
+    want = plain_jaccard(rows)
+    assert 10 < len(want) < len(rows) - 50
+    docs = documents(spark, rows + rows[:3] + [(None, rows[-1][1])])
+    kept = jaccard_keep(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == want | {None}
+
+
+def test_pipeline_near(spark, sf):
+    import corpus_pipeline as P
+
+    docs = P.exact_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).cache()
+    base = [f"word{k}" for k in range(100)]
+    more = [(10**9 + k, " ".join(base[:at] + ["other"] + base[at + 1 :])) for k, at in enumerate((50, 10, 98))]  # 0.83 to 0.95 to each other or over another
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in P.near_dedup(spark, docs, sf).collect()}
+    assert kept == plain_jaccard(rows) and len(rows) - len(kept) >= 2
