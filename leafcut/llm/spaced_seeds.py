@@ -2,10 +2,9 @@
 
 Words are compared with A-Z lower-cased and ASCII punctuation taken as white space. A seed is a fixed mask over
 consecutive words that ignores some positions; the words at the others are hashed. Hashes of benchmark and training
-texts are joined, and around every hit the two texts are laid side by side: the overlap that scores best (a point for
-equal words, minus ``PENALTY`` for different ones) counts if it has at least ``min_words`` words, or the whole of a shorter item,
-and at least ``identity`` of them are equal. So passages with substituted words are found wherever some mask skips
-the substitutions.
+texts are joined, and around every hit the two texts are laid side by side. An overlap begins and ends with equal words;
+it counts if it has at least ``min_words`` words, or the whole of a shorter item, and at least ``identity`` of them are
+equal, whatever lies beside it. So passages with substituted words are found wherever some mask skips the substitutions.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words; a block's hashes go to the executors, and every block is
 a pass over the texts. The texts are not shuffled.
@@ -16,6 +15,7 @@ from __future__ import annotations
 import string
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from leafcut.llm.shared import slices, text_bytes
 
 MASKS = ("111111", "1110111", "11011011", "110100111", "1010011011", "11001010011")  # six words each
-PENALTY = 2.0
 BLOCK_WORDS = 1_000_000
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +53,7 @@ class Block:
     """The items of a block, their word numbers, and their seeds by hash."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], min_words: int, identity: float):
-        self.min_words, self.identity = min_words, identity
+        self.min_words, self.identity = min_words, Fraction(identity).limit_denominator(1000)
         self.numbers: dict[bytes, int] = {}
         self.items = []
         places: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in MASKS]
@@ -68,15 +67,23 @@ class Block:
         self.places = [dict(p) for p in places]
         self.sorted = [np.array(sorted(p), np.uint64) for p in self.places]
 
-    def overlap(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
-        """Start, words and equal words of the best overlap of two texts side by side."""
-        equal = a == b
-        total = np.r_[0, np.cumsum(np.where(equal, 1.0, -PENALTY))]
-        low = np.minimum.accumulate(total)
-        end = int(np.argmax(total - low))
-        start = int(np.argmin(total[: end + 1]))
-        n, same = end - start, int(equal[start:end].sum())
-        return (start, n, same) if n and same >= self.identity * n else None
+    def overlap(self, a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, int, int] | None:
+        """Start, words and equal words of the best overlap of two texts side by side: of all that begin and end with equal
+        words, have ``least`` words and ``identity``, the first of the shortest with most equal words."""
+        at = np.flatnonzero(a == b)
+        if not len(at):
+            return None
+        p, q = self.identity.numerator, self.identity.denominator
+        score = q * np.arange(len(at)) - p * at
+        # The last place from which the score does not fall too low is the end of the longest overlap from each start.
+        most = np.maximum.accumulate(score[::-1])
+        last = len(at) - 1 - np.searchsorted(most, score - (q - p))
+        same, n = last - np.arange(len(at)) + 1, at[last] - at + 1
+        fit = np.flatnonzero((n >= least) & (same > 0))
+        if not len(fit):
+            return None
+        k = fit[np.lexsort((n[fit], -same[fit]))[0]]
+        return int(at[k]), int(n[k]), int(same[k])
 
     def search(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each text its overlaps: item, words, equal words, start in the text, start in the item."""
@@ -106,10 +113,10 @@ class Block:
             item, own = self.items[i]
             text = parts[2 * d]
             a, b = max(0, -shift), min(len(own), len(text) - shift)
-            if (got := self.overlap(own[a:b], text[a + shift : b + shift])) is None:
+            if (got := self.overlap(own[a:b], text[a + shift : b + shift], min(self.min_words, len(own)))) is None:
                 continue
             start, n, same = got
-            if n >= min(self.min_words, len(own)) and ((d, i) not in best or same > best[d, i][2]):
+            if (d, i) not in best or same > best[d, i][2]:
                 best[d, i] = (item, n, same, a + start + shift, a + start)
         for (d, _), row in sorted(best.items()):
             found[d].append(row)

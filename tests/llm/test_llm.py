@@ -23,7 +23,7 @@ from leafcut.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from leafcut.llm.rule_ensemble import quality_scores
 from leafcut.llm.shared import Scratch
 from leafcut.llm.simhash_anchors import fingerprint, fingerprint_links, simhash_groups, simhash_keep
-from leafcut.llm.spaced_seeds import contaminated, drop_contaminated
+from leafcut.llm.spaced_seeds import Block, contaminated, drop_contaminated
 from leafcut.llm.vector_packing import pack_documents, pack_histogram
 from leafcut.llm.warc_chunks import archive_bytes, plan_records, read_chunks, warc_round_trip, write_chunks
 
@@ -470,3 +470,25 @@ def test_pipeline_near(spark, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = {r.doc_id for r in P.near_dedup(spark, docs, sf).collect()}
     assert kept == plain_jaccard(rows) and len(rows) - len(kept) >= 2
+
+
+def test_overlaps_are_whole():
+    rng = random.Random(6)
+    block = Block([], 12, 0.8)
+    for n in (12, 30, 54):
+        for share in (0.7, 0.8, 0.9):
+            for _ in range(60):
+                equal = [rng.random() < share for _ in range(n)]
+                fits = [(sum(equal[x:y]), x - y, x) for x in range(n) for y in range(x + 12, n + 1) if equal[x] and equal[y - 1] and 5 * sum(equal[x:y]) >= 4 * (y - x)]
+                best = max(((s, d, -x) for s, d, x in fits), default=None)
+                got = block.overlap(np.zeros(n), np.array([0 if e else 1 for e in equal]), 12)
+                assert got == (best and (-best[2], -best[1], best[0]))
+
+
+def test_passage_beside_weaker_agreement(spark):
+    item = [f"v{k}" for k in range(54)]
+    copy = item[:12] + [w if k % 7 not in (2, 6) else "zz" for k, w in enumerate(item[12:])]
+    docs = documents(spark, [(1, " ".join(["a"] * 30 + copy + ["b"] * 30)), (2, "clean " * 50)])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()] == [(1, 7)]
+    assert [r.doc_id for r in drop_contaminated(docs, bench).collect()] == [2]
