@@ -3,21 +3,25 @@
 A window is ``window`` consecutive words of a document. Every word covered by a window whose word sequence also
 starts earlier in the corpus is removed.
 
-1. Scan. Each window names one of its ``gram``-word grams, the leftmost with the least hash (a minimizer). Equal windows
-   name equal grams, so only windows whose gram occurs at least twice can recur. Grams go to the shuffle with their
-   place. A gram that one task meets more than once is known to recur: its places are dealt out evenly and only
-   one notice follows the gram, so a passage in a third of all documents makes no hot key.
-2. Contexts. The documents with recurring grams give the words around each, enough for all windows that name it.
-   Equal contexts are counted before they are shuffled. A gram with more than ``HOT_GRAM`` different contexts has
-   them cut into single windows, which go to shards by their own words.
-3. Confirm and compile. In each shard of grams, windows of the distinct contexts are counted; those that occur twice
-   are confirmed as phrases, with the place where each starts first. A shard's phrases are compiled into an
-   Aho-Corasick automaton over word numbers, and all contexts of the shard stream through it to locate every
-   occurrence. Shards hold a bounded number of distinct contexts.
-4. Removal. Occurrences are joined back to their documents, which lose the words covered by later occurrences.
-
-Windows are compared by their words; 64-bit hashes only choose what meets where. Contexts of equal 128-bit digests
-count as equal.
+1. Scan. Each window names one of its ``gram``-word grams, the leftmost with the least hash (a minimizer), so equal
+   windows name equal grams. Grams go to the shuffle with their places.
+2. Confirm. A gram that occurs again recurs; all its places refer to the document where it stands first. A gram that a
+   task meets ``LOCAL`` times or more makes no hot key: its places refer to the first one of that task's rows and do not
+   meet at the gram, where only this first one goes.
+3. Cut. Places come to their documents. Consecutive windows at places that others refer to make a passage; consecutive
+   windows at places that refer to the same document make a stretch, which is sent to that document's passages.
+4. Locate. Passages are sharded by document and cut into pieces of half a window, so that every window of a passage has
+   a whole piece. The pieces of a shard are compiled into an Aho-Corasick automaton, and all its stretches stream
+   through; around each piece found, passage and stretch are compared word by word to where they part. That gives every
+   occurrence of a passage's windows.
+5. The rest. A window may differ from the one where its gram stands first and yet recur. Windows of stretches that no
+   passage covers are brought together by 128-bit digests of their words, those met twice in a task only once.
+6. Removal. Covered parts come back to their documents.
+
+Of a window's occurrences all but the first are either located at an earlier place in step 4, or the first is among
+the rest of step 5 too: it is not where its gram stands first (or it would have been located), or that gram was met
+``LOCAL`` times somewhere, and then the windows of its first place go along. Documents (or parts) without a recurring
+gram hold no occurrence and are not streamed. 64-bit hashes only choose what meets where.
 """
 
 from __future__ import annotations
@@ -31,17 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, partitions, text_bytes
+from leafcut.llm.shared import Scratch, partitions, slices, text_bytes
 
 FLUSH = 1_000_000
-SHARD_CONTEXTS = 2_000  # an automaton finds its first word by search, so many small ones beat few large
-HOT_GRAM = 5_000
+LOCAL = 8
+SHARD_WORDS = 200_000
+REST = 200_000
+_TEXT = (1 << 63) - 1  # sorts a text behind its places
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+_JUDGED, _OWN, _HOT = 1, 2, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,14 +53,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def minimizers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one document's word hashes: places of the grams that windows name, their hashes, and which windows name them.
-
-    Bit o of the last: the window that starts ``window - gram - o`` words before the gram.
-    """
+def minimizers(hashes: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end (``ends``: after each word, where its text ends): places of the grams that windows name,
+    the grams' hashes, and the first and last window that name them."""
     n = len(hashes) - window + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 4
     wide = window - gram + 1
     g = np.zeros(len(hashes) - gram + 1, np.uint64)
     for k in range(gram):
@@ -68,231 +69,332 @@ def minimizers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
         less = g[k : k + n] < least
         np.copyto(least, g[k : k + n], where=less)
         at[less] = k
-    named = np.arange(n) + at
-    order = np.argsort(named, kind="stable")
-    places, first = np.unique(named[order], return_index=True)
-    mask = np.bitwise_or.reduceat(np.int64(1) << (wide - 1 - at[order]), first)
-    return places, g[places], mask
+    windows = np.flatnonzero(np.arange(n) + window <= ends[:n])
+    named = windows + at[windows]  # never falls, and no two texts name the same
+    first = np.flatnonzero(np.r_[True, named[1:] != named[:-1]]) if len(named) else named
+    last = np.r_[first[1:], len(named)] - 1 if len(named) else named
+    places = named[first]
+    return places, g[places].view(np.int64), windows[first], windows[last]
 
 
 def _scan(window: int, gram: int):
+    names = ["sure", "key", "doc", "spot", "sub", "notice"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             nonlocal held, rows
-            doc, sub, place, h, mask = (np.concatenate(c) for c in zip(*held, strict=True))
+            h, doc, spot, sub = (np.concatenate(c) for c in zip(*held, strict=True))
             held, rows = [], 0
-            order = np.argsort(h, kind="stable")
-            doc, sub, place, h, mask = (c[order].view(np.int64) for c in (doc, sub, place, h, mask))
-            same = h[1:] == h[:-1]
-            again = np.r_[False, same] | np.r_[same, False]
-            first = again & np.r_[True, ~same]
-            # A gram met again: its places are sure and stay apart; one notice stands for it.
-            key = np.where(again, _mix((doc ^ place * 7919).view(np.uint64)).view(np.int64), h)
-            none = np.full(first.sum(), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[x, y]) for x, y in ((key, h[first]), (again, np.zeros(len(none), bool)), (doc, none), (sub, none), (place, none), (mask, none))], ["key", "sure", "doc", "sub", "place", "mask"])
+            order = np.lexsort((spot, doc, h))
+            h, doc, spot, sub = h[order], doc[order], spot[order], sub[order]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[start, len(h)])
+            many = size >= LOCAL
+            sure, notice = np.repeat(many, size), np.zeros(len(h), bool)
+            notice[start[many]] = True
+            sure[start] = False
+            key = np.where(sure, np.repeat(doc[start], size), h)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (sure, key, doc, spot, sub, notice)], names)
 
         for b in batches:
-            for i, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = t.split()
-                if len(words) < window:
-                    continue
-                place, h, mask = minimizers(_word_hashes(words), window, gram)
-                held.append((np.full(len(place), i), np.full(len(place), s), place, h, mask))
+            docs, subs, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            for x, y in slices(texts):
+                words = [t.split() for t in texts[x:y]]
+                n = np.fromiter(map(len, words), np.int64, y - x)
+                ends = np.cumsum(n)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w) for own in words for w in own), np.uint64, int(ends[-1]))
+                place, h, lo, hi = minimizers(hashes, np.repeat(ends, n), window, gram)
+                of = np.searchsorted(ends, place, "right")
+                spot = place - (ends - n)[of] << 16 | place - lo << 8 | place - hi
+                held.append((h, docs[x:y][of], spot, subs[x:y][of]))
                 rows += len(place)
                 if rows >= FLUSH:
-                    yield from out()
+                    yield out()
         if rows:
-            yield from out()
+            yield out()
 
     return run
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places whose gram recurs, of a partition sorted by ``sure, key``. Holds one batch and the row before it."""
-    names = ["doc", "sub", "place", "mask"]
-    kept = None  # the last row, not yet known to recur
-    for b in batches:
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-        if kept is not None:
-            cols = [np.concatenate([[a], c]) for a, c in zip(kept[0], cols, strict=True)]
-        key, sure, place = cols[0], cols[1].astype(bool), cols[4]
-        same = (key[1:] == key[:-1]) & ~sure[1:] & ~sure[:-1]
-        good = sure | np.r_[False, same] | np.r_[same, False]
-        if kept is not None and kept[1]:
-            good[0] = True
-        took = good & (place >= 0)
-        took[-1] = False
-        kept = ([c[-1] for c in cols], bool(good[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[k][took]) for k in (2, 3, 4, 5)], names)
-    if kept is not None and kept[1] and kept[0][4] >= 0:
-        yield pa.RecordBatch.from_arrays([pa.array([kept[0][k]], pa.int64()) for k in (2, 3, 4, 5)], names)
-
-
-_CONTEXT = pa.struct([("key", pa.binary()), ("left", pa.int32()), ("mask", pa.int64()), ("place", pa.int64()), ("gram", pa.int64())])
-_DOC = "id long, doc long, sub long, n_words long, sha binary, body binary, contexts array<struct<key:binary,left:int,mask:long,place:long,gram:long>>"
+def _refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of recurring grams with the document that they refer to, of a partition sorted by ``sure, key, doc, spot``.
+    Holds one batch and the first place of its last gram."""
+    names = ["doc", "sub", "spot", "ref", "flags"]
+    open_key, first, n, hot = None, None, 0, False
 
+    def closed() -> Iterator[pa.RecordBatch]:
+        if open_key is not None and (n > 1 or hot):
+            doc, sub, spot = first
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((doc, pa.int64()), (sub, pa.int64()), (spot, pa.int64()), (doc, pa.int64()), (_OWN | _HOT * hot, pa.int32()))], names)
 
-def _key(words: bytes, left: int, mask: int) -> bytes:
-    """A 128-bit digest that stands for a context where contexts are told apart."""
-    return hashlib.blake2b(b"%d %d %s" % (left, mask, words), digest_size=16).digest()
-
-
-def _contexts(window: int, gram: int, every: bool):
-    wide = window - gram
+    for b in batches:
+        sure, key, doc, spot, sub, notice = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        if not len(key):
+            continue
+        ref, flags = key.copy(), np.where(sure, _JUDGED, 0).astype(np.int32)
+        at = np.flatnonzero(~sure)
+        if len(at):
+            k, d = key[at], doc[at]
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            size = np.diff(np.r_[start, len(k)])
+            hots = np.logical_or.reduceat(notice[at], start)
+            goes_on = open_key is not None and open_key == k[0]
+            if goes_on:
+                n, hot = n + int(size[0]), hot or bool(hots[0])
+            if not goes_on or len(start) > 1:
+                yield from closed()
+            where = d[start].copy()
+            if goes_on:
+                where[0] = first[0]
+            ref[at] = np.repeat(where, size)
+            own = np.where(notice[at], _JUDGED | _OWN, _JUDGED)
+            own[start] = np.where((size > 1) | hots, _OWN | _HOT * hots, 0)
+            if goes_on:
+                own[0] = _JUDGED | _OWN * notice[at[0]]
+            if not goes_on or len(start) > 1:
+                x = at[start[-1]]
+                open_key, first, n, hot = int(key[x]), (int(doc[x]), int(sub[x]), int(spot[x])), int(size[-1]), bool(hots[-1])
+                own[start[-1]] = 0  # told when its gram ends
+            flags[at] = own
+        took = flags > 0
+        yield pa.RecordBatch.from_arrays([pa.array(c[took]) for c in (doc, sub, spot, ref, flags)], names)
+    yield from closed()
+
+
+_CUT = "id long, doc long, sub long, n_words long, sha binary, body binary, ref long, kind int, start long, words binary, size long"
+_CUT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+_CUT_NAMES = [c.split()[0] for c in _CUT.split(", ")]
+_PASSAGE, _HOT_PASSAGE, _STRETCH = 0, 1, 2
+
+
+def _parts(spot: np.ndarray, ref: np.ndarray, flags: np.ndarray, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """``kind, ref, first word, last word + 1`` of the passages and stretches of a document."""
+    order = np.lexsort((ref, spot))
+    spot, ref, flags = spot[order], ref[order], flags[order]
+    start = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]])
+    flags = np.bitwise_or.reduceat(flags, start)  # rows that repeat identifier and text give a place each
+    spot, ref = spot[start], ref[start]
+    place = spot >> 16
+    lo, hi = place - (spot >> 8 & 255), place - (spot & 255)
+    for bit in (_OWN, _JUDGED):
+        at = np.flatnonzero(flags & bit)
+        if not len(at):
+            continue
+        new = lo[at][1:] != hi[at][:-1] + 1
+        if bit == _JUDGED:
+            new |= ref[at][1:] != ref[at][:-1]
+        first = np.flatnonzero(np.r_[True, new])
+        hot = np.bitwise_or.reduceat(flags[at], first) & _HOT
+        for x, y, h in zip(first.tolist(), (np.r_[first[1:], len(at)] - 1).tolist(), hot.tolist(), strict=True):
+            kind = _STRETCH if bit == _JUDGED else _HOT_PASSAGE if h else _PASSAGE
+            yield kind, int(ref[at[x]]), int(lo[at[x]]), int(hi[at[y]]) + window
+
+
+def _cut(window: int, every: bool):
+    """Of a partition where each text follows its places: a row per text, and its passages and stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held, size, of = [], 0, None
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            held = 0
-            for i, doc, sub, t, places, masks in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                words = t.split()
+            doc, sub, spot, ref, flags = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            at = 0
+            for t in np.flatnonzero(spot == _TEXT).tolist():
+                key = (int(doc[t]), int(sub[t]))
+                if key != of:
+                    held, of = held if of is None else [], key
+                if t > at:
+                    held.append((spot[at:t], ref[at:t], flags[at:t]))
+                at = t + 1
+                words = b.column(6)[t].as_py().split()
                 joined = b" ".join(words)
-                found = []
-                for p, m in zip(places or (), masks or (), strict=True):
-                    a = max(0, p - wide)
-                    part = b" ".join(words[a : p + window])
-                    gram_hash = xxhash.xxh64_intdigest(b" ".join(words[p : p + gram])) >> 1
-                    found.append({"key": _key(part, p - a, m), "left": p - a, "mask": m, "place": p, "gram": gram_hash})
-                for c, v in zip(rows, (i, doc, sub, len(words), hashlib.sha256(joined).digest(), joined if found or every else None, found), strict=True):
-                    c.append(v)
-                held += len(joined) + 300 * len(found)
-                if held > 8 << 20:
-                    yield _doc_batch(rows)
-                    rows, held = [[] for _ in range(7)], 0
-            if rows[0]:
-                yield _doc_batch(rows)
+                parts = list(_parts(*(np.concatenate(c) for c in zip(*held, strict=True)), window)) if held else []
+                kept = joined if every or any(p[0] == _STRETCH for p in parts) else None
+                rows.append((b.column(5)[t].as_py(), *key, len(words), hashlib.sha256(joined).digest(), kept, None, None, None, None, 0))
+                size += len(kept or b"") + 100
+                for kind, to, x, y in parts:
+                    part = b" ".join(words[x:y])
+                    rows.append((None, *key, None, None, None, to if kind == _STRETCH else key[0], kind, x, part, y - x))
+                    size += len(part) + 100
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CUT_TYPES, strict=True)], _CUT_NAMES)
+                    rows, size = [], 0
+            if at < len(spot):
+                if of is not None and (int(doc[-1]), int(sub[-1])) != of:
+                    held, of = [], None
+                held.append((spot[at:], ref[at:], flags[at:]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CUT_TYPES, strict=True)], _CUT_NAMES)
 
     return run
 
 
-def _doc_batch(rows: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(_CONTEXT))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["id", "doc", "sub", "n_words", "sha", "body", "contexts"])
-
-
-_SEEN = "doc long, sub long, key binary, words binary, left int, mask long, place long, gram long"
-
-
-def _cut(window: int):
-    """The contexts of each document with their words, cut from its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for doc, sub, body, contexts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                words = body.split(b" ")
-                for c in contexts:
-                    part = b" ".join(words[c["place"] - c["left"] : c["place"] + window])
-                    for col, v in zip(rows, (doc, sub, c["key"], part, c["left"], c["mask"], c["place"], c["gram"]), strict=True):
-                        col.append(v)
-                if len(rows[0]) > 20_000:
-                    yield _seen_batch(rows)
-                    rows = [[] for _ in range(8)]
-            yield _seen_batch(rows)
-
-    return run
-
+class _Shard:
+    """The passages of a shard, their word numbers, and the automaton of their pieces."""
 
-def _seen_batch(rows: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc", "sub", "key", "words", "left", "mask", "place", "gram"])
+    def __init__(self, window: int):
+        self.window, self.piece = window, (window + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.passages: list[tuple[int, int, np.ndarray]] = []
+        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        self.automaton = None
 
+    @staticmethod
+    def letters(ids: np.ndarray) -> str:
+        """A letter for each word; were there more words than letters, some would share one, which the comparison tells apart."""
+        return (ids % 1_000_000 + 0xE000).astype("<u4").tobytes().decode("utf-32-le")
 
-def _single(window: int, gram: int):
-    """Contexts cut into the windows that they judge, each with a gram of its own."""
-    wide = window - gram
+    def add(self, doc: int, start: int, words: list[bytes]) -> None:
+        numbers = self.numbers
+        ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64)
+        s = self.letters(ids)
+        for k in range(0, len(words) - self.piece + 1, self.piece):
+            self.pieces.setdefault(s[k : k + self.piece], []).append((len(self.passages), k))
+        self.passages.append((doc, start, ids))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for doc, sub, text, left, mask, place in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("doc", "sub", "words", "left", "mask", "place")), strict=True):
-                words = text.split(b" ")
-                for o in range(wide + 1):
-                    if mask >> o & 1:
-                        part = b" ".join(words[left - wide + o :][:window])
-                        for c, v in zip(rows, (doc, sub, _key(part, wide - o, 1 << o), part, wide - o, 1 << o, place, xxhash.xxh64_intdigest(part) >> 1), strict=True):
-                            c.append(v)
-            yield _seen_batch(rows)
+    def compile(self) -> None:
+        import ahocorasick
 
-    return run
+        self.automaton = ahocorasick.Automaton()
+        for s, at in self.pieces.items():
+            self.automaton.add_word(s, at)
+        self.pieces = {}
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def locate(self, doc: int, start: int, words: list[bytes]) -> np.ndarray:
+        """Which windows of a stretch are windows of an earlier passage."""
+        get = self.numbers.get
+        ids = np.array([get(w, 0) for w in words], np.int64)
+        window, piece = self.window, self.piece
+        found = np.zeros(len(words) - window + 1, bool)
+        if not len(self.automaton):
+            return found
+        seen: dict[tuple[int, int], int] = {}
+        for end, at in self.automaton.iter(self.letters(ids)):
+            q = end - piece + 1
+            for p, k in at:
+                shift = q - k
+                if seen.get((p, shift), -1) > q:
+                    continue
+                of, first, own = self.passages[p]
+                a, b = max(0, shift), min(len(ids), shift + len(own))
+                if (of, first - shift) >= (doc, start):
+                    seen[p, shift] = b
+                    continue
+                apart = np.flatnonzero(ids[a:b] != own[a - shift : b - shift]) + a
+                k = int(np.searchsorted(apart, q))
+                left = int(apart[k - 1]) + 1 if k else a
+                right = int(apart[k]) if k < len(apart) else b
+                seen[p, shift] = right
+                if right - left >= window:
+                    found[left : right - window + 1] = True
+        return found
 
 
-def _distinct(seen: DataFrame) -> DataFrame:
-    """Contexts that differ, how often each occurs, and where first."""
-    out = seen.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("least"), F.any_value(F.struct("gram", "words", "left", "mask")).alias("c"))
-    return out.select("key", "c.*", "n", "least.doc", "least.place")
+def _runs(on: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of true begin and end."""
+    edge = np.diff(np.r_[0, on.astype(np.int8), 0])
+    return np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()
 
 
-_FOUND = "key binary, at array<int>, first_doc array<long>, first_start array<long>"
+_COVERED = "d1 long, d2 long, doc long, sub long, a long, b long"
 
 
-def _locate(window: int, gram: int):
-    """Of a shard: confirms the phrases among its contexts, compiles their automaton, locates them in every context."""
-    wide = window - gram
+def _locate(window: int):
+    """Parts of documents to remove, and (with digests) windows yet to be told, of a partition sorted by ``shard, kind``."""
+    names = [c.split()[0] for c in _COVERED.split(", ")]
 
-    def run(table: pa.Table) -> pa.Table:
-        import ahocorasick
+    def rest(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        digest = np.frombuffer(b"".join([r[0] for r in held]), np.int64).reshape(-1, 2)
+        doc, sub, a = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
+        order = np.lexsort((a, doc, digest[:, 1], digest[:, 0]))
+        digest, doc, sub, a = digest[order], doc[order], sub[order], a[order]
+        start = np.flatnonzero(np.r_[True, (digest[1:] != digest[:-1]).any(1)])
+        first = np.repeat(start, np.diff(np.r_[start, len(a)]))
+        later = (doc != doc[first]) | (a != a[first])  # a window met before in this task
+        yield pa.RecordBatch.from_arrays([*(pa.array(digest[~later, k]) for k in (0, 1)), *(pa.array(c[~later]) for c in (doc, sub, a, a + window))], names)
+        none = pa.nulls(int(later.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[later]) for c in (doc, sub, a, a + window))], names)
 
-        numbers: dict[bytes, int] = {}
-        rows = []
-        for key, words, left, mask, n, doc, place in zip(*(table.column(c).to_pylist() for c in ("key", "words", "left", "mask", "n", "doc", "place")), strict=True):
-            seq = tuple(numbers.setdefault(w, len(numbers)) for w in words.split(b" "))
-            rows.append((seq, key, left, mask, n, doc, place))
-        met: dict[tuple, list] = {}
-        for seq, _, left, mask, n, doc, place in rows:
-            for o in range(wide + 1):
-                if mask >> o & 1:
-                    s = left - wide + o  # where the window starts in the context
-                    phrase, start = seq[s : s + window], (doc, place - left + s)
-                    if (was := met.get(phrase)) is None:
-                        met[phrase] = [n, start]
-                    else:
-                        was[0] += n
-                        if start < was[1]:
-                            was[1] = start
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, (n, start) in met.items():
-            if n > 1:
-                automaton.add_word(phrase, start)
-        del met
-        out: list[list] = [[] for _ in range(4)]
-        if len(automaton):
-            automaton.make_automaton()
-            for seq, key, left, mask, *_ in rows:
-                at, docs, starts = [], [], []
-                for end, (doc, start) in automaton.iter(seq):
-                    s = end - window + 1
-                    o = s - left + wide
-                    if 0 <= o <= wide and mask >> o & 1:  # others are located where their own gram is
-                        at.append(s - left), docs.append(doc), starts.append(start)
-                if at:
-                    for c, v in zip(out, (key, at, docs, starts), strict=True):
-                        c.append(v)
-        types = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "at", "first_doc", "first_start"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard, held = None, None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for k, kind, doc, sub, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    now, shard = k, _Shard(window)
+                words = words.split(b" ")
+                if kind != _STRETCH:
+                    shard.add(doc, start, words)
+                    yet = np.ones(len(words) - window + 1, bool) if kind == _HOT_PASSAGE else ()
+                else:
+                    if shard.automaton is None:
+                        shard.compile()
+                    found = shard.locate(doc, start, words)
+                    out += [(doc, sub, start + x, start + y - 1 + window) for x, y in zip(*_runs(found), strict=True)]
+                    yet = ~found
+                for x in np.flatnonzero(yet).tolist():
+                    held.append((hashlib.blake2b(b" ".join(words[x : x + window]), digest_size=16).digest(), doc, sub, start + x))
+                if len(held) > REST:
+                    yield from rest(held)
+                    held = []
+            none = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array([r[k] for r in out], pa.int64()) for k in range(4))], names)
+        if held:
+            yield from rest(held)
 
     return run
 
 
-def _remove(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, removed, shas, texts = [], [], [], []
-            for i, body, starts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                words = body.split(b" ")
-                edge = np.zeros(len(words) + 1, np.int64)
-                s = np.unique(np.array(starts, np.int64))
-                edge[s] += 1
-                edge[s + window] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
-                ids.append(i), removed.append(int(gone.sum())), shas.append(hashlib.sha256(kept).digest()), texts.append(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x.split()) for x in b.column(1).to_pylist()], pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.binary()), pa.array(texts, pa.binary())], ["id", "n_words", "n_removed", "sha", "kept"])
-
-    return run
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by ``d1, d2, doc, a``: the windows that also start earlier."""
+    was = None  # digest and first place of the last window
+    for batch in batches:
+        d1, d2, doc, sub, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(d1):
+            continue
+        start = np.flatnonzero(np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])])
+        size = np.diff(np.r_[start, len(d1)])
+        first_doc, first_a = doc[start].copy(), a[start].copy()
+        if was is not None and was[0] == (d1[0], d2[0]):
+            first_doc[0], first_a[0] = was[1]
+        was = ((d1[-1], d2[-1]), (first_doc[-1], first_a[-1]))
+        took = (doc != np.repeat(first_doc, size)) | (a != np.repeat(first_a, size))
+        yield pa.RecordBatch.from_arrays([pa.array(c[took]) for c in (doc, sub, a, b)], ["doc", "sub", "a", "b"])
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition where each text follows its covered parts (``doc, sub, a, b, id, body``; a text's ``a`` is last)."""
+    held, of = [], None
+    for batch in batches:
+        doc, sub, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        at = 0
+        ids, n_words, removed, shas, texts = [], [], [], [], []
+        for t in np.flatnonzero(a == _TEXT).tolist():
+            key = (int(doc[t]), int(sub[t]))
+            if key != of:
+                held, of = held if of is None else [], key
+            if t > at:
+                held.append((a[at:t], b[at:t]))
+            at = t + 1
+            body = batch.column(5)[t].as_py()
+            words = body.split(b" ") if body else []
+            edge = np.zeros(len(words) + 1, np.int64)
+            for x, y in held:
+                np.add.at(edge, x, 1)
+                np.add.at(edge, y, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if held else body
+            ids.append(batch.column(4)[t].as_py()), n_words.append(len(words)), removed.append(int(gone.sum())), shas.append(hashlib.sha256(kept).digest()), texts.append(kept)
+        if at < len(a):
+            if of is not None and (int(doc[-1]), int(sub[-1])) != of:
+                held, of = [], None
+            held.append((a[at:], b[at:]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.binary()), pa.array(texts, pa.binary())], ["id", "n_words", "n_removed", "sha", "kept"])
 
 
 def remove_recurring(docs: DataFrame, window: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -302,40 +404,36 @@ def remove_recurring(docs: DataFrame, window: int = 20, gram: int = 8, id_col: s
     earlier in a smaller identifier, or in the same one at an earlier word. Null text has no words. A null identifier
     counts as smaller than all others. Rows that share an identifier share its places: of equal windows at equal
     places neither is the earlier. Documents shorter than a window lose nothing. An empty table gives an empty result;
-    other columns are ignored.
+    other columns are ignored. ``window`` is at most 255.
     """
-    if not 0 < gram <= window:
+    if not 0 < gram <= window < 256:
         raise ValueError(f"gram {gram} of window {window}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text_bytes(text_col).alias("body"))
     # Tells texts apart that share an identifier; short, for it goes with every gram.
     rows = rows.select("id", "doc", F.xxhash64("body").bitwiseAND(0xFFFFFFFF).alias("sub"), "body")
-    scanned = rows.select("doc", "sub", "body").mapInArrow(_scan(window, gram), "key long, sure boolean, doc long, sub long, place long, mask long")
-    places = scanned.repartition("key").sortWithinPartitions("sure", "key").mapInArrow(_recurring, "doc long, sub long, place long, mask long")
-    # A place comes once for each row that repeats identifier and text.
-    by_doc = places.groupBy("doc", "sub").agg(F.collect_set(F.struct("place", "mask")).alias("p"))
-    by_doc = by_doc.select("doc", "sub", F.col("p.place").alias("places"), F.col("p.mask").alias("masks"))
-    table = scratch.keep(rows.join(by_doc, ["doc", "sub"], "left").select("id", "doc", "sub", "body", "places", "masks").mapInArrow(_contexts(window, gram, with_text), _DOC))
-
-    cut = table.where("size(contexts) > 0").select("doc", "sub", "body", "contexts").mapInArrow(_cut(window), _SEEN)
-    distinct = scratch.keep(_distinct(cut))
-    seen = table.select("doc", "sub", F.explode("contexts").alias("c")).select("doc", "sub", "c.key", "c.place", "c.gram")
-    hot = scratch.keep(distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT_GRAM).select("gram"))
-    if hot.count():
-        split = cut.join(hot, "gram", "left_semi").select(*cut.columns).mapInArrow(_single(window, gram), _SEEN)
-        seen = seen.join(hot, "gram", "left_anti").select(*seen.columns).union(split.select(*seen.columns))
-        distinct = scratch.keep(distinct.join(hot, "gram", "left_anti").select(*distinct.columns).union(_distinct(split)))
-    shards = max(partitions(spark), -(-distinct.count() // SHARD_CONTEXTS))
-    found = distinct.withColumn("shard", F.pmod("gram", F.lit(shards))).groupBy("shard").applyInArrow(_locate(window, gram), _FOUND)
-    occurrences = seen.select("key", "doc", "sub", "place").join(found, "key").select("doc", "sub", "place", F.explode(F.arrays_zip("at", "first_doc", "first_start")).alias("f"))
-    occurrences = occurrences.select("doc", "sub", (F.col("place") + F.col("f.at")).alias("start"), "f.first_doc", "f.first_start")
-    later = occurrences.where("doc > first_doc or (doc = first_doc and start > first_start)").groupBy("doc", "sub").agg(F.collect_set("start").alias("starts"))
-
-    hit = table.where("body is not null").select("id", "doc", "sub", "body").join(later, ["doc", "sub"], "left")
-    done = hit.select("id", "body", F.coalesce("starts", F.array().cast("array<long>")).alias("starts")).mapInArrow(_remove(window), "id long, n_words long, n_removed long, sha binary, kept binary")
+    scanned = rows.select("doc", "sub", "body").mapInArrow(_scan(window, gram), "sure boolean, key long, doc long, spot long, sub long, notice boolean")
+    places = scanned.repartition("key").sortWithinPartitions("sure", "key", "doc", "spot").mapInArrow(_refer, "doc long, sub long, spot long, ref long, flags int")
+    places = scratch.keep(places)
+    texts = rows.select("doc", "sub", F.lit(_TEXT).alias("spot"), F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("flags"), "id", "body")
+    both = places.select("doc", "sub", "spot", F.col("ref"), F.col("flags"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("body")).union(texts)
+    cut = both.select("doc", "sub", "spot", F.coalesce("ref", F.lit(0)).alias("ref"), F.coalesce("flags", F.lit(0)).alias("flags"), "id", "body")
+    cut = scratch.keep(cut.repartition("doc", "sub").sortWithinPartitions("doc", "sub", "spot").mapInArrow(_cut(window, with_text), _CUT))
+    scratch.drop(places)
+
+    parts = cut.where("kind is not null")
+    size = parts.where(F.col("kind") != _STRETCH).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = max(4 * partitions(spark), -(-size // SHARD_WORDS))
+    sent = parts.select(F.pmod(F.xxhash64("ref"), F.lit(shards)).alias("shard"), "kind", "doc", "sub", "start", "words")
+    covered = scratch.keep(sent.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_locate(window), _COVERED))
+    again = covered.where("d1 is not null").repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc", "a").mapInArrow(_later, "doc long, sub long, a long, b long")
+    covered = covered.where("d1 is null").select("doc", "sub", "a", "b").union(again)
+
+    whole = cut.where("kind is null")
+    hit = covered.select("doc", "sub", "a", "b", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("body")).union(whole.where("body is not null").select("doc", "sub", F.lit(_TEXT).alias("a"), F.lit(0).cast("long").alias("b"), "id", "body"))
+    done = hit.repartition("doc", "sub").sortWithinPartitions("doc", "sub", "a").mapInArrow(_remove, "id long, n_words long, n_removed long, sha binary, kept binary")
     done = done.select("id", "n_words", "n_removed", "sha", *(["kept"] if with_text else []))
-    rest = table.where("body is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", *([F.lit(None).cast("binary").alias("kept")] if with_text else []))
+    rest = whole.where("body is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", *([F.lit(None).cast("binary").alias("kept")] if with_text else []))
     out = done.union(rest)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.lower(F.hex("sha")).alias("kept_sha256"), *([F.col("kept").cast("string").alias("kept_text")] if with_text else []))
-

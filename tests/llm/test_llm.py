@@ -153,9 +153,9 @@ def plain_removal(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 5000])
+@pytest.mark.parametrize("hot", [2, 8])
 def test_phrases(spark, edge, monkeypatch, hot):
-    monkeypatch.setattr(phrase_automata, "HOT_GRAM", hot)
+    monkeypatch.setattr(phrase_automata, "LOCAL", hot)
     for window, gram in ((20, 8), (5, 3), (4, 4)):
         got = remove_recurring(documents(spark, edge), window, gram, with_text=True).toPandas()
         want = plain_removal(edge, window)
