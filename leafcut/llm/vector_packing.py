@@ -121,9 +121,10 @@ class _Words:
         for w in todo:
             if w not in known:
                 t = w.decode()
-                (plain if self.marked and t.isalpha() else rest).append((w, t))
+                (plain if self.marked and t.isascii() and t.isalpha() else rest).append((w, t))
         for k in range(0, len(plain), 1024):
-            # Words of letters are told apart by the mark on each word's last token.
+            # ASCII letters make one word of the tokenizer, told apart by the mark on its last token. Other letters may
+            # become several when they are lower-cased or composed.
             part = plain[k : k + 1024]
             ids = np.array(self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False).ids, "<u4")
             raw, at = ids.tobytes(), 0
@@ -222,6 +223,8 @@ def pack(pieces: DataFrame, scratch: Scratch, tokens: int = 4096, documents: int
 def pack_documents(docs: DataFrame, path: str, tokens: int = 4096, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
+    ``documents`` and ``attention`` are further capacities of a sequence; by default they are what no sequence of
+    ``tokens`` can exceed, so only tokens bind.
     ``path``: the tokenizer's file, on every machine. Null text counts as empty: one piece with the end id only. Rows
     with null or repeated identifiers are packed like any other, each in a place of its own. An empty table gives an
     empty result. Other columns are ignored.
