@@ -58,7 +58,7 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_round_trip(read(spark, sf_dir, "pages"), Scratch(spark, "warc")).drop("intact")
+    return warc_round_trip(read(spark, sf_dir, "pages"), Scratch(spark, "warc"))
 
 
 def op8_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to, TRUE AS intact
         FROM f""",
     "op10_bloom_cascade": r"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

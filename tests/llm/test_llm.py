@@ -182,6 +182,20 @@ def test_packing(spark, edge):
         assert (part.offset.values == np.cumsum(part.length.values) - part.length.values).all() and part.length.sum() <= 512
 
 
+def test_tokens_of_any_text():
+    from tokenizers import Tokenizer
+
+    from leafcut.llm.vector_packing import _Words
+
+    tok, words, rng = Tokenizer.from_file(tokenizer_path()), _Words(tokenizer_path()), random.Random(12)
+    texts = ["Visit \u0130stanbul today", "\u0928\u093c \u0930\u093c \u0958 \u0915\u094d\u0937", "e\u0301te\u0301 \u1e9e \ufb01x \u03a3\u03a3. \u03a3", "a<|endoftext|>B <|pad|> C", "x\u00a0y\u3000z\u2028w\x85v\x1cu", "\ud55c\uad6d\uc5b4 \u4e2d\u6587, \U0001f600!a\u200d", ""]
+    pools = [[chr(rng.randrange(32, 0x3000)) for _ in range(80)], [chr(rng.randrange(0x10000, 0x1FFFF)) for _ in range(20)], list("abcXYZ019.,!?;:#$%&*|()-<|>\t\n ")]
+    for _ in range(3000):
+        texts.append("".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(40))))
+    for got, t in zip(words.encode([t.encode() for t in texts]), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_capacities(rule):
     rng = random.Random(1)
@@ -210,7 +224,8 @@ def test_packing_capacities(rule):
 
 def test_warc(spark):
     big = "<p>" + "é" * 5000 + "</p>"
-    rows = [(5, "http://a/ b", big), (3, None, big), (9, "http://c/", None), (1, "http://d/", "x" * 99), (2, "http://e/", "x" * 99), (4, "u", "y" * 100), (6, "u", "y" * 100), (6, "u", "y" * 100), (7, "u", "WARC/1.1\r\n\r\n" * 20), (None, "n", "z" * 500)]
+    huge = "<h>" * 30_000
+    rows = [(20, "u", huge + "1"), (20, "v", huge + "2"), (None, "n", huge + "3"), (None, None, huge + "4"), (21, "w", huge), (21, "w", huge), (22, "w", huge), (5, "http://a/ b", big), (3, None, big), (9, "http://c/", None), (1, "http://d/", "x" * 99), (2, "http://e/", "x" * 99), (4, "u", "y" * 100), (6, "u", "y" * 100), (6, "u", "y" * 100), (7, "u", "WARC/1.1\r\n\r\n" * 20), (None, "n", "z" * 500)]
     pages = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, html string, id int, payload string")
     got = warc_round_trip(pages, Scratch(spark, "t"), chunk_bytes=1000).toPandas()
     assert got.intact.all() and len(got) == len(rows)
@@ -219,15 +234,19 @@ def test_warc(spark):
         if i is not None:
             first[h or ""] = min(first.get(h or "", i), i)
     for r in got[got.page_id.notna()].itertuples():
-        body = next((h or "") for i, _, h in rows if i == r.page_id).encode()
+        body = next((h or "") for i, _, h in rows if i == r.page_id and (i != 20 or hashlib.sha256(h.encode()).hexdigest() == r.payload_digest)).encode()
         again = len(body) >= 100 and first[body.decode()] != r.page_id
         assert (r.payload_bytes, r.payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
         assert r.record_type == ("revisit" if again else "response") and (r.refers_to == first[body.decode()] if again else np.isnan(r.refers_to))
-    chunks = write_chunks(plan_records(pages), 1000)
+    assert Counter(got.payload_digest) == Counter(hashlib.sha256((h or "").encode()).hexdigest() for _, _, h in rows)
+    chunks = Scratch(spark, "t").keep(write_chunks(plan_records(pages, Scratch(spark, "t")), 1000))
     raw = b"".join(archive_bytes(chunks))
     assert raw.count(b"WARC-Type: response") + raw.count(b"WARC-Type: revisit") == len(rows) and big.encode() in raw
-    broken = chunks.withColumn("data", F.when(F.col("record") == "urn:record:3", F.concat("data", F.lit("!").cast("binary"))).otherwise(F.col("data")))
-    assert [r.record for r in read_chunks(broken).where("not intact").collect()] == ["urn:record:3"]
+    page3 = next(r.record for r in read_chunks(chunks).where("page = 3").collect())
+    broken = chunks.withColumn("data", F.when(F.col("record") == page3, F.concat("data", F.lit("!").cast("binary"))).otherwise(F.col("data")))
+    assert [r.record for r in read_chunks(broken).where("not intact").collect()] == [page3]
+    lost = chunks.where((F.col("chunk") != 0) | (F.col("record") != next(r.record for r in read_chunks(chunks).where("page = 22 or page = 21").where("record_type = 'response'").collect())))
+    assert read_chunks(lost).where("not intact and page is null").count() == 1 and read_chunks(lost).count() == len(rows)
     assert warc_round_trip(pages.limit(0), Scratch(spark, "t")).count() == 0
 
 
