@@ -78,7 +78,7 @@ def minimizers(hashes: np.ndarray, ends: np.ndarray, window: int, gram: int) ->
 
 
 def _scan(window: int, gram: int):
-    names = ["sure", "key", "doc", "spot", "sub", "notice"]
+    names = ["sure", "key", "doc", "spot", "sub", "notice", "ref"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -96,8 +96,9 @@ def _scan(window: int, gram: int):
             sure, notice = np.repeat(many, size), np.zeros(len(h), bool)
             notice[start[many]] = True
             sure[start] = False
-            key = np.where(sure, np.repeat(doc[start], size), h)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (sure, key, doc, spot, sub, notice)], names)
+            # Places that are sure need not meet and are dealt out evenly.
+            key = np.where(sure, _mix((doc ^ spot * 7919).view(np.uint64)).view(np.int64), h)
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (sure, key, doc, spot, sub, notice)), pa.array(np.repeat(doc[start], size), mask=~sure)], names)
 
         for b in batches:
             docs, subs, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
@@ -134,7 +135,7 @@ def _refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure, key, doc, spot, sub, notice = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
         if not len(key):
             continue
-        ref, flags = key.copy(), np.where(sure, _JUDGED, 0).astype(np.int32)
+        ref, flags = b.column(6).fill_null(0).to_numpy(zero_copy_only=False).copy(), np.where(sure, _JUDGED, 0).astype(np.int32)
         at = np.flatnonzero(~sure)
         if len(at):
             k, d = key[at], doc[at]
@@ -413,7 +414,7 @@ def remove_recurring(docs: DataFrame, window: int = 20, gram: int = 8, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text_bytes(text_col).alias("body"))
     # Tells texts apart that share an identifier; short, for it goes with every gram.
     rows = rows.select("id", "doc", F.xxhash64("body").bitwiseAND(0xFFFFFFFF).alias("sub"), "body")
-    scanned = rows.select("doc", "sub", "body").mapInArrow(_scan(window, gram), "sure boolean, key long, doc long, spot long, sub long, notice boolean")
+    scanned = rows.select("doc", "sub", "body").mapInArrow(_scan(window, gram), "sure boolean, key long, doc long, spot long, sub long, notice boolean, ref long")
     places = scanned.repartition("key").sortWithinPartitions("sure", "key", "doc", "spot").mapInArrow(_refer, "doc long, sub long, spot long, ref long, flags int")
     places = scratch.keep(places)
     texts = rows.select("doc", "sub", F.lit(_TEXT).alias("spot"), F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("flags"), "id", "body")
