@@ -28,7 +28,7 @@ CHUNK_BYTES = 1 << 14
 CHUNKS = "record string, chunk int, last boolean, data binary, digest binary"
 RECORDS = "record string, page long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, intact boolean"
 _BATCH = 8 << 20
-HOT_SHARE = 0.001
+HOT_SHARE, HOT_ROWS = 0.001, 1000
 SALTS = 64
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -40,8 +40,8 @@ def plan_records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", ur
     # Only payloads that repeat are looked up.
     firsts = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = scratch.keep(firsts.select("digest", "first", "n"))
-    # Payloads with a share of all repeats, at most 1 / HOT_SHARE, are salted, so that their rows do not meet in one task.
-    least = HOT_SHARE * (firsts.agg(F.sum("n")).first()[0] or 0)
+    # Payloads with a share of all repeats (at most 1 / HOT_SHARE have it) and over HOT_ROWS are salted, so that their rows do not meet in one task.
+    least = max(HOT_ROWS, HOT_SHARE * (firsts.agg(F.sum("n")).first()[0] or 0))
     hot = F.broadcast(firsts.where(F.col("n") > least).select("digest", F.lit(True).alias("hot")))
     salts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     firsts = firsts.select("digest", "first", F.explode(salts).alias("salt"))
