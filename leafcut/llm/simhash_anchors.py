@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.components import connected_components
-from leafcut.llm.shared import Scratch, text_bytes
+from leafcut.llm.shared import Scratch, free_name, text_bytes
 
 HOT = 4096
 SEED = 42
@@ -218,5 +218,6 @@ def simhash_keep(docs: DataFrame, shingle: int = 5, max_bits: int = 2, id_col: s
 
     A group whose identifiers are all null keeps its rows, as do rows with a null identifier.
     """
-    drop = simhash_groups(docs, shingle, max_bits, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = free_name(docs, "_gone")
+    drop = simhash_groups(docs, shingle, max_bits, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(drop, docs[id_col] == F.col(gone), "left_anti")
