@@ -11,7 +11,7 @@ import xxhash
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from leafcut.llm import jaccard_join, phrase_automata, simhash_anchors
+from leafcut.llm import jaccard_join, phrase_automata, simhash_anchors, warc_chunks
 from leafcut.llm.bloom_cascade import build_cascade, url_verdicts
 from leafcut.llm.brown_lm import BrownModel, _signature, _signature_column, brown_scores, exchange, fit_brown, likelihood
 from leafcut.llm.components import connected_components
@@ -27,12 +27,12 @@ from leafcut.llm.spaced_seeds import Block, contaminated, drop_contaminated
 from leafcut.llm.vector_packing import pack_documents, pack_histogram
 from leafcut.llm.warc_chunks import archive_bytes, plan_records, read_chunks, warc_round_trip, write_chunks
 
-CLASH = ", id long, t string, fp long, lead string, hash string, body string, row int, piece int, label double, key string, gram string"
+CLASH = ", _gone string, id long, t string, fp long, lead string, hash string, body string, row int, piece int, label double, key string, gram string"
 
 
 def documents(spark, rows):
     """rows: (doc_id, text); further columns clash with names that operators use."""
-    return spark.createDataFrame([(i, t, -1, "x", 5, "l", "h", "b", 9, 8, 0.5, "k", "g") for i, t in rows], "doc_id long, text string" + CLASH)
+    return spark.createDataFrame([(i, t, "?", -1, "x", 5, "l", "h", "b", 9, 8, 0.5, "k", "g") for i, t in rows], "doc_id long, text string" + CLASH)
 
 
 @pytest.fixture(scope="module")
@@ -222,7 +222,9 @@ def test_packing_capacities(rule):
         pack_histogram({11: 1}, 10)
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_warc(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc_chunks, "HOT_ROWS", hot)
     big = "<p>" + "é" * 5000 + "</p>"
     huge = "<h>" * 30_000
     rows = [(20, "u", huge + "1"), (20, "v", huge + "2"), (None, "n", huge + "3"), (None, None, huge + "4"), (21, "w", huge), (21, "w", huge), (22, "w", huge), (5, "http://a/ b", big), (3, None, big), (9, "http://c/", None), (1, "http://d/", "x" * 99), (2, "http://e/", "x" * 99), (4, "u", "y" * 100), (6, "u", "y" * 100), (6, "u", "y" * 100), (7, "u", "WARC/1.1\r\n\r\n" * 20), (None, "n", "z" * 500)]
@@ -460,6 +462,7 @@ def plain_jaccard(rows, k=5, least=0.8):
 @pytest.mark.parametrize("few", [2, 32])
 def test_jaccard(spark, edge, monkeypatch, few):
     monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "HUB_PAIRS", few)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(500)]
     rows = [(i, t) for i, t in dict(edge).items() if i is not None]
