@@ -1,29 +1,29 @@
 """A Brown class-based bigram model: exchange clustering, and scoring of every text with smoothed probabilities.
 
-Words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and one end per text are counted over all training texts. A word with at
-least ``item_share`` of all tokens is an item of its own, so there are at most 1 / item_share of these; any other word
-belongs to one of ``signatures`` items by its ending. Items are assigned to classes by exchange: starting from an
-assignment by frequency, rounds count for every item the classes before and after it over the whole corpus, and move it
-to the class that most raises the likelihood of the class bigrams. Rounds are Spark jobs over the table of item pairs;
-buckets of items are exchanged in parallel, half of the buckets in a round, the most frequent items in one bucket.
-
-    P(word | before) = P(class | class before) P(item | class) P(word | item)
-
-P(class | class before) is interpolated with the classes' own shares, P(item | class) adds one to each count, and
-P(word | item) is 1 for a word that is an item, else (count + 1) / (tokens + words + 1) among the item's words, which
-leaves a share for words never seen. The probabilities of all words, one unseen word for each ending, and the end sum to one.
-
-Only words with at least ``word_share`` of all tokens travel to executors with their counts (at most 1 / word_share);
-the others' counts are joined.
+Words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and one end per text are counted over all training texts. Every word
+gets a class by exchange. Words with at least ``word_share`` of all tokens (so at most 1 / word_share) go first: starting
+from an assignment by frequency, rounds count for each of them the classes before and after it over the whole corpus, and
+move it to the class that most raises the likelihood of the class bigrams. Rounds are Spark jobs over the table of word
+pairs; buckets of words are exchanged in parallel, half of the buckets in a round, the most frequent words in one bucket.
+All rarer words stand together in a class meanwhile. Then each of them moves to the class that most raises the likelihood
+given its own neighbours' classes (to first order, for its count is small beside the classes'), and the class bigrams are
+counted again.
+
+    P(word | before) = P(class | class before) P(word | class)
+
+P(class | class before) is interpolated with the classes' own shares, and P(word | class) is the word's share of its class.
+A further class stands for words never seen: it is counted wherever a word stands that occurs only once, beside the
+word's own class. The probabilities of all words, one unseen word, and the end sum to one.
+
+Only words with at least ``word_share`` of all tokens travel to executors. The others' classes are joined to texts that
+carry a number for each word.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,36 +36,26 @@ END = b"\n"  # no word has white space
 FLUSH = 500_000
 PAIRS_AT_ONCE = 2_000_000
 BUCKETS, TOP = 16, 256
+RARE, ONCE, UNSEEN = 255, 128, 127  # marks in a text's classes: joined later; the word occurs once; never seen
 
 
 @dataclass
 class BrownModel:
-    """What scoring needs; arrays by slot: a frequent word's number, or their number plus that of an ending."""
+    """What scoring needs. Slots: the frequent words, the end first; class 0 holds the end only."""
 
-    counts: DataFrame  # word binary, n long
     tokens: int
     distinct: int
     words: list[bytes]
     word_count: np.ndarray
-    signatures: int
-    item: np.ndarray  # of slots
-    item_class: np.ndarray
-    emission: np.ndarray  # log10 P(item | class)
-    rest: np.ndarray  # of items: log10 of (tokens + words + 1) of an ending; 0 for words
-    transition: np.ndarray  # log10
-    end_item: int = 0
+    word_class: np.ndarray
+    rare: DataFrame  # word binary, n long, cls int: the other words
+    class_tokens: np.ndarray
+    classes: int
+    texts: DataFrame  # every text with its classes, see ``_resolve``
+    transition: np.ndarray  # log10; the last class is that of unseen words
     objective: list[float] = field(default_factory=list)
 
 
-def _signature(word: bytes, signatures: int) -> int:
-    return zlib.crc32(word[-3:]) % signatures
-
-
-def _signature_column(word: Column, signatures: int) -> Column:
-    n = F.octet_length(word)
-    return (F.crc32(F.substring(word, F.greatest(n - 2, F.lit(1)), F.lit(3))) % signatures).cast("int")
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
@@ -83,14 +73,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _slots(words: list[bytes], numbers: dict[bytes, int], signatures: int) -> np.ndarray:
-    out = list(map(numbers.get, words))
-    if None in out:
-        n = len(numbers)
-        for k, x in enumerate(out):
-            if x is None:
-                out[k] = n + zlib.crc32(words[k][-3:]) % signatures
-    return np.array(out, np.int64)
+def _slots(words: list[bytes], numbers: dict[bytes, int], rare: int) -> np.ndarray:
+    return np.fromiter((numbers.get(w, rare) for w in words), np.int64, len(words))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -143,37 +127,25 @@ def exchange(classes: np.ndarray, bigrams: np.ndarray, items: np.ndarray, left:
     return np.array(out, np.int64)
 
 
-def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 48, rounds: int = 8, signatures: int = 1024, item_share: float = 2e-5, word_share: float = 2e-6, text_col: str = "text") -> BrownModel:
-    """Learn from the rows of ``docs`` where ``train`` is true."""
+def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 48, rounds: int = 8, word_share: float = 2e-6, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> BrownModel:
+    """Learn from the rows of ``docs`` where ``train`` is true; the model holds all rows' classes, with ``extra`` columns."""
     spark = docs.sparkSession
+    if not 2 < classes < UNSEEN:
+        raise ValueError(f"classes: {classes}")
     texts = docs.where(train).select(text_bytes(text_col).alias("t"))
     counts = scratch.keep(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # At most 1 / word_share rows, for their shares sum to one.
     frequent = counts.where((F.col("n") >= word_share * total) | (F.col("word") == F.lit(END))).collect()
-    frequent = sorted(((r["n"], bytes(r["word"])) for r in frequent), key=lambda x: (x[1] != END, -x[0], x[1]))
+    frequent = sorted(((r["n"], bytes(r["word"])) for r in frequent), key=lambda x: (x[1] != END, -x[0], x[1])) or [(0, END)]
     words, word_count = [w for _, w in frequent], np.array([n for n, _ in frequent], np.int64)
-    if not words:
-        words, word_count = [END], np.zeros(1, np.int64)
     numbers = {w: k for k, w in enumerate(words)}
-
-    is_item = (word_count >= item_share * total) | (np.arange(len(words)) == 0)
-    n_items = int(is_item.sum())
-    item = np.empty(len(words) + signatures, np.int64)
-    item[: len(words)] = np.where(is_item, np.cumsum(is_item) - 1, [n_items + _signature(w, signatures) for w in words])
-    item[len(words) :] = n_items + np.arange(signatures)
-    size = n_items + signatures
-    item_count, item_words = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    item_count[:n_items] = word_count[is_item]
-    item_words[:n_items] = 1
-    under = counts.where((F.col("n") < item_share * total) & (F.col("word") != F.lit(END)))
-    for r in under.groupBy(_signature_column(F.col("word"), signatures).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        item_count[n_items + r["s"]], item_words[n_items + r["s"]] = r["n"], r["v"]
-
-    shared = spark.sparkContext.broadcast((numbers, item))
+    rare = len(words)  # all other words
+    size = rare + 1
+    shared = spark.sparkContext.broadcast(numbers)
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, item = shared.value
+        numbers = shared.value
         held, rows = [], 0
 
         def out() -> pa.RecordBatch:
@@ -182,8 +154,7 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                at = np.zeros(1, np.int64)
-                at = np.r_[at, item[_slots(t.lower().split(), numbers, signatures)], at]
+                at = np.r_[0, _slots(t.lower().split(), numbers, rare), 0]
                 held.append(at[:-1] * size + at[1:])
                 rows += len(at)
                 if rows > PAIRS_AT_ONCE:
@@ -194,11 +165,11 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
 
     pairs = scratch.keep(texts.mapInArrow(pairs_of, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
 
-    order = np.argsort(-item_count[1:], kind="stable") + 1
     cls = np.zeros(size, np.int64)
-    cls[order] = 1 + np.arange(size - 1) % (classes - 1)
-    bucket = np.empty(size, np.int64)
-    bucket[order] = np.where(np.arange(size - 1) < TOP, 0, 1 + order % (BUCKETS - 1))
+    cls[1:rare] = 1 + np.arange(rare - 1) % (classes - 2)
+    cls[rare] = classes - 1
+    bucket = np.where(np.arange(size) <= TOP, 0, 1 + np.arange(size) % (BUCKETS - 1))
+    bucket[[0, rare]] = -1  # neither the end nor the rare words move here
     best, objective = (cls, -np.inf, None), []
     for k in range(rounds + 1):
         bigrams = _class_bigrams(pairs, cls, classes)
@@ -208,17 +179,209 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
         if k < rounds and total:
             cls = _round(pairs, cls, bigrams, bucket, k % 2, classes)
     cls, _, bigrams = best
-    if bigrams is None:
-        bigrams = np.zeros((classes, classes))
+    scratch.drop(pairs, counts)
+
+    coded = scratch.keep(_code(docs, train, words, word_count, cls, id_col, text_col, extra or {}))
+    contexts = coded.where("train").select("codes", "words", "at").mapInArrow(_contexts(classes), "word binary, ctx binary")
+    rare_words = scratch.keep(contexts.repartition("word").sortWithinPartitions("word").mapInArrow(_assign(bigrams), "word binary, n long, cls int"))
+    class_tokens = np.bincount(cls[:rare], weights=word_count, minlength=classes)
+    for r in rare_words.groupBy("cls").agg(F.sum("n").alias("n")).collect():  # a row for each class
+        class_tokens[r["cls"]] += r["n"]
+    resolved = scratch.keep(_resolve(coded, rare_words))
+    scratch.drop(coded)
+    transition = _transition(_final_bigrams(resolved.where("text.train"), classes))
+    return BrownModel(int(total), int(distinct), words, word_count, cls[:rare], rare_words, class_tokens, classes, resolved, transition, objective)
+
+
+def _transition(bigrams: np.ndarray) -> np.ndarray:
+    """Class bigrams interpolated with the classes' shares, as log10; rows sum to one."""
+    n = len(bigrams)
+    count = bigrams.sum(0)
+    share = (count + 1) / (count.sum() + n)
+    return np.log10((bigrams + n * share) / (bigrams.sum(1, keepdims=True) + n))
+
+
+def _code(docs: DataFrame, train: Column, words: list[bytes], word_count: np.ndarray, cls: np.ndarray, id_col: str, text_col: str, extra: dict[str, Column]) -> DataFrame:
+    """Every text as its words' classes (``RARE`` for words to be joined), its distinct rare words, and which of them
+    stands at each such place; and what its frequent words add to the scores."""
+    numbers = {w: k for k, w in enumerate(words)}
+    code = np.r_[cls[:-1] | np.where((word_count == 1) & (np.arange(len(words)) > 0), ONCE, 0), RARE].astype(np.uint8)
+    known = np.r_[word_count > 0, False]
+    plus, log = np.r_[np.log10(word_count + 1.0), 0.0], np.r_[np.log10(np.maximum(word_count, 1)), 0.0]
+    log[0] = 0  # the end is all of its class
+    shared = docs.sparkSession.sparkContext.broadcast((numbers, code, known, plus, log))
+    names = ["row", "codes", "n_known", "plus", "log", "words", "at"]
 
-    class_count = bigrams.sum(0)
-    share = (class_count + 1) / (class_count.sum() + classes)
-    strength = float(classes)
-    transition = np.log10((bigrams + strength * share) / (bigrams.sum(1, keepdims=True) + strength))
-    members = np.bincount(cls, minlength=classes)
-    emission = np.log10((item_count + 1) / (np.bincount(cls, weights=item_count, minlength=classes) + members)[cls])
-    rest = np.where(np.arange(size) < n_items, 0.0, np.log10(item_count + item_words + 1.0))
-    return BrownModel(counts, int(total), int(distinct), words, word_count, signatures, item, cls, emission, rest, transition, objective=objective)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, code, known, plus, log = shared.value
+        rare = len(numbers)
+        for b in batches:
+            kind = (b.schema.field(0).type, pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+            rows, held, first = [], 0, 0
+            for k, t in enumerate(b.column(1).to_pylist()):
+                own = t.lower().split()
+                slot = np.r_[_slots(own, numbers, rare), 0]
+                order: dict[bytes, int] = {}
+                at = [order.setdefault(own[x], len(order)) for x in np.flatnonzero(slot == rare).tolist()]
+                rows.append((code[slot].tobytes(), int(known[slot].sum()), float(plus[slot].sum()), float(log[slot].sum()), list(order), np.array(at, np.int32).tobytes()))
+                held += len(own)
+                if held > 500_000:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind[1:], strict=True))], names)
+                    rows, held, first = [], 0, k + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind[1:], strict=True))], names)
+
+    # Row numbers are written down before anything is joined to them.
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), train.alias("train"), *(c.alias(f"x_{k}") for k, c in extra.items())).alias("row"), text_bytes(text_col).alias("t"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, codes binary, n_known long, plus double, log double, words array<binary>, at binary"
+    return rows.mapInArrow(run, schema).withColumn("train", F.col("row.train"))
+
+
+def _contexts(classes: int):
+    """Each rare word with the classes before and after its places in many texts, two bytes for a place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[bytes, int] = {}
+        held: list[tuple] = []
+        rows = 0
+
+        def out() -> pa.RecordBatch:
+            word, around = np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held])
+            order = np.argsort(word, kind="stable")
+            ends = 2 * np.cumsum(np.bincount(word, minlength=len(numbers)))
+            ctx = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(around[order]))])
+            return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.binary()), ctx], ["word", "ctx"])
+
+        for b in batches:
+            for codes, words, at in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if not words:
+                    continue
+                seq = np.frombuffer(codes, np.uint8)
+                place = np.flatnonzero(seq == RARE)
+                seq = np.where(seq == RARE, classes - 1, seq & (ONCE - 1)).astype(np.uint8)
+                own = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+                # Every text ends, so a word has one after it; before the first stands an end.
+                held.append((own[np.frombuffer(at, np.int32)], np.stack([np.where(place > 0, seq[place - 1], 0), seq[place + 1]], 1).astype(np.uint8)))
+                rows += len(place)
+                if rows > PAIRS_AT_ONCE:
+                    yield out()
+                    numbers.clear()
+                    held, rows = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _assign(bigrams: np.ndarray):
+    """Counts and classes of rare words, of a partition sorted by word. A word's gain in a class: what its neighbours'
+    classes add to the likelihood of the class bigrams there."""
+    up = _f(bigrams + 1) - _f(bigrams)
+    before, after = bigrams.sum(1), bigrams.sum(0)
+    one = (_f(before + 1) - _f(before)) + (_f(after + 1) - _f(after))
+    n = len(bigrams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, carried = None, np.zeros((1, 2 * n))
+
+        def out(words: list[bytes], around: np.ndarray) -> pa.RecordBatch:
+            times = around[:, :n].sum(1)
+            gain = around[:, :n] @ up + around[:, n:] @ up.T - times[:, None] * one
+            gain[:, 0] = -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times.astype(np.int64)), pa.array(np.argmax(gain, 1).astype(np.int32))], ["word", "n", "cls"])
+
+        for b in batches:
+            for k in range(0, b.num_rows, 20_000):
+                part = b.slice(k, 20_000)
+                words, ctx = part.column(0).to_pylist(), part.column(1).to_pylist()
+                of, distinct = np.empty(len(words), np.int64), []
+                for j, w in enumerate(words):
+                    if not distinct or distinct[-1] != w:
+                        distinct.append(w)
+                    of[j] = len(distinct) - 1
+                of = np.repeat(of, [len(c) // 2 for c in ctx])
+                raw = np.frombuffer(b"".join(ctx), np.uint8).reshape(-1, 2).astype(np.int64)
+                around = sum(np.bincount(of * 2 * n + side * n + raw[:, side], minlength=len(distinct) * 2 * n) for side in (0, 1)).reshape(-1, 2 * n).astype(float)
+                if carry is not None:
+                    if carry == distinct[0]:
+                        around[0] += carried[0]
+                    else:
+                        yield out([carry], carried)
+                carry, carried = distinct[-1], around[-1:]
+                if len(distinct) > 1:
+                    yield out(distinct[:-1], around[:-1])
+        if carry is not None:
+            yield out([carry], carried)
+
+    return run
+
+
+def _resolve(coded: DataFrame, rare: DataFrame) -> DataFrame:
+    """``text, codes, n_known, plus, log``: every text with all its words' classes, ``UNSEEN`` for words without one."""
+    met = coded.select(F.col("row.row").alias("row"), F.posexplode("words").alias("k", "word")).join(rare, "word").select("row", "k", "n", "cls")
+    none = {c: F.lit(None).cast(t) for c, t in (("text", coded.schema["row"].dataType), ("codes", "binary"), ("n_known", "long"), ("plus", "double"), ("log", "double"), ("at", "binary"), ("n", "long"), ("cls", "int"))}
+    last = F.lit((1 << 31) - 1)  # a text follows its words
+    columns = ["row", "k", "n", "cls", "text", "codes", "n_known", "plus", "log", "at"]
+    met = met.select(*(none[c].alias(c) if c in none and c not in ("n", "cls") else F.col(c) for c in columns))
+    own = coded.select(F.col("row.row").alias("number"), F.col("row").alias("text"), "codes", "n_known", "plus", "log", "at")
+    own = own.select(*(F.col("number").alias("row") if c == "row" else last.alias("k") if c == "k" else none[c].alias(c) if c in ("n", "cls") else F.col(c) for c in columns))
+    names = ["text", "codes", "n_known", "plus", "log"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            k, n, cls = (b.column(c).fill_null(0).to_numpy() for c in (1, 2, 3))
+            texts = np.flatnonzero(k == last_k)
+            start, rows = 0, []
+            for t in texts.tolist():
+                if t > start:
+                    held.append((k[start:t], n[start:t], cls[start:t]))
+                start = t + 1
+                codes, n_known, plus, log = (b.column(c)[t].as_py() for c in (5, 6, 7, 8))
+                at = np.frombuffer(b.column(9)[t].as_py(), np.int32)
+                if len(at):
+                    seq = np.frombuffer(codes, np.uint8).copy()
+                    times, code = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, UNSEEN, np.int64)
+                    for own_k, own_n, own_cls in held:
+                        times[own_k], code[own_k] = own_n, own_cls | np.where(own_n == 1, ONCE, 0)
+                    times = times[at]
+                    seq[seq == RARE] = code[at]
+                    codes, n_known = seq.tobytes(), n_known + int((times > 0).sum())
+                    plus, log = plus + float(np.log10(times + 1.0).sum()), log + float(np.log10(np.maximum(times, 1)).sum())
+                held = []
+                rows.append((codes, n_known, plus, log))
+            if start < len(k):
+                held.append((k[start:], n[start:], cls[start:]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(texts)), *(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names)
+
+    last_k = (1 << 31) - 1
+    schema = f"text {coded.schema['row'].dataType.simpleString()}, codes binary, n_known long, plus double, log double"
+    return met.union(own).repartition("row").sortWithinPartitions("row", "k").mapInArrow(run, schema)
+
+
+def _final_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
+    """Class bigrams over all texts, with the class of unseen words wherever a word stands that occurs once."""
+    k = classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(k * k, np.int64)
+        for b in batches:
+            for codes in b.column(0).to_pylist():
+                seq = np.r_[np.uint8(0), np.frombuffer(codes, np.uint8)]
+                once = seq >= ONCE
+                seq = (seq & (ONCE - 1)).astype(np.int64)
+                a, c = seq[:-1], seq[1:]
+                np.add.at(out, a * k + c, 1)
+                np.add.at(out, a[once[1:]] * k + classes, 1)
+                np.add.at(out, classes * k + c[once[:-1]], 1)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["k", "n"])
+
+    out = np.zeros(k * k)
+    for r in resolved.select("codes").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes squared rows
+        out[r["k"]] = r["n"]
+    return out.reshape(k, k)
 
 
 def _class_bigrams(pairs: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
@@ -251,7 +414,7 @@ def _round(pairs: DataFrame, cls: np.ndarray, bigrams: np.ndarray, bucket: np.nd
             key = np.r_[b * width + cls[a], a * width + classes + cls[b], a[same] * width + 2 * classes]
             n = np.r_[n, n, n[same]]
             item = key // width
-            moved = (bucket[item] % 2 == parity) & (item > 0)
+            moved = (bucket[item] >= 0) & (bucket[item] % 2 == parity)
             key, at = np.unique(key[moved], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, weights=n[moved], minlength=len(key)).astype(np.int64)), pa.array(bucket[key // width])], ["k", "n", "bucket"])
 
@@ -273,67 +436,30 @@ def _round(pairs: DataFrame, cls: np.ndarray, bigrams: np.ndarray, bucket: np.nd
     return out
 
 
-def score_brown(docs: DataFrame, model: BrownModel, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row, and ``extra`` columns of it."""
-    spark = docs.sparkSession
-    log_count = np.r_[np.log10(model.word_count + 1.0), np.zeros(model.signatures)]
-    numbers = {w: k for k, w in enumerate(model.words)}
-    n_words, end_known = len(model.words), int(model.word_count[0] > 0)
-    shared = spark.sparkContext.broadcast((numbers, model.item, model.item_class, model.emission, model.rest, model.transition, log_count))
-    signatures = model.signatures
+def score_brown(model: BrownModel, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row that the model was made with, and its
+    ``extra`` columns."""
+    k = model.classes + 1
+    # Of a word: its share of its class; of unseen words, whose class is the last here: one.
+    share = np.r_[0.0, np.log10(np.maximum(model.class_tokens[1:], 1)), 0.0]
+    base = float(np.log10(float(model.tokens + model.distinct + 1)))
+    transition = model.transition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, item, cls, emission, rest, transition, log_count = shared.value
-        is_word = rest == 0
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            held = 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = t.lower().split()
-                slot = np.r_[_slots(words, numbers, signatures), 0]
-                at = item[slot]
-                c = cls[at]
-                model_part = transition[np.r_[0, c[:-1]], c].sum() + emission[at].sum() + np.where(is_word[at], 0.0, log_count[slot] - rest[at]).sum()
-                rare = Counter(compress(words, (slot[:-1] >= n_words).tolist()))
-                n_rare = sum(rare.values())
-                for col, v in zip(cols, (i, len(slot), len(slot) - n_rare - (1 - end_known), log_count[slot].sum(), model_part, list(rare), list(rare.values())), strict=True):
-                    col.append(v)
-                held += len(rare)
-                if held > 500_000:
-                    yield _score_batch(cols, b.schema.field(0).type)
-                    cols, held = [[] for _ in range(7)], 0
-            if cols[0]:
-                yield _score_batch(cols, b.schema.field(0).type)
+            n_tokens, base_score, score = [], [], []
+            for codes, plus, log in zip(*(b.column(c).to_pylist() for c in (1, 3, 4)), strict=True):
+                seq = np.frombuffer(codes, np.uint8) & (ONCE - 1)
+                seq = np.where(seq == UNSEEN, k - 1, seq).astype(np.int64)
+                n_tokens.append(len(seq))
+                base_score.append(plus - len(seq) * base)
+                score.append(log - float(share[seq].sum()) + float(transition[np.r_[0, seq[:-1]], seq].sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), b.column(2), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())], ["text", "n_tokens", "n_known", "base_score", "score"])
 
-    extra = extra or {}
-    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"), *(c.alias(f"x_{k}") for k, c in extra.items()))
-    # Row numbers are written down before anything is joined to them.
-    texts = rows.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "t", *(f"x_{k}" for k in extra))
-    if extra:
-        part = texts.select(F.struct("row", "id", *(f"x_{k}" for k in extra)).alias("row"), "t")
-    else:
-        part = texts.select(F.struct("row", "id").alias("row"), "t")
-    schema = f"row {part.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>"
-    first = scratch.keep(part.mapInArrow(run, schema))
-    rare = first.select(F.col("row.row").alias("row"), F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    known = rare.join(model.counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
-    known = known.withColumnRenamed("row", "row_no")
-    out = first.drop("words", "times").join(known, F.col("row.row") == F.col("row_no"), "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    return out.select(
-        F.col("row.id").alias(id_col),
-        *(F.col(f"row.x_{k}").alias(k) for k in extra),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.distinct + 1)))).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
-    )
-
-
-def _score_batch(cols: list[list], row: pa.DataType) -> pa.RecordBatch:
-    types = (row, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "n_tokens", "n_known", "base", "model", "words", "times"])
+    kind = model.texts.schema["text"].dataType
+    out = model.texts.select("text", "codes", "n_known", "plus", "log").mapInArrow(run, f"text {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    extra = [c for c in kind.names if c.startswith("x_")]
+    return out.select(F.col("text.id").alias(id_col), *(F.col(f"text.{c}").alias(c[2:]) for c in extra), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def brown_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
@@ -343,8 +469,7 @@ def brown_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     each by itself. Without training rows all words are unseen. An empty table gives an empty result; other columns
     are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "brown")
     train = F.coalesce(train, F.lit(True))
-    model = fit_brown(docs, train, scratch, text_col=text_col, **fit)
-    out = score_brown(docs, model, scratch, id_col, text_col, {"held_out": ~train})
+    model = fit_brown(docs, train, Scratch(docs.sparkSession, "brown"), id_col=id_col, text_col=text_col, extra={"held_out": ~train}, **fit)
+    out = score_brown(model, id_col)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

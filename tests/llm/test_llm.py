@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafcut.llm import jaccard_join, phrase_automata, simhash_anchors, warc_chunks
 from leafcut.llm.bloom_cascade import build_cascade, url_verdicts
-from leafcut.llm.brown_lm import BrownModel, _signature, _signature_column, brown_scores, exchange, fit_brown, likelihood
+from leafcut.llm.brown_lm import BrownModel, brown_scores, exchange, fit_brown, likelihood, score_brown
 from leafcut.llm.components import connected_components
 from leafcut.llm.content_sort import content_sort_dedup, content_sort_keep
 from leafcut.llm.jaccard_join import jaccard_keep
@@ -303,33 +303,71 @@ def test_exchange_raises_likelihood():
     assert likelihood(tables(cls)[0]) > before + 100
 
 
-def test_brown(spark, edge):
+def plain_brown(texts, train, classes, word_class):
+    """log10 probabilities of texts from the classes of words, by the model's own rule."""
+    toks = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    count = Counter(w for t, own in zip(toks, train) if own for w in t)
+    of = {w: (0 if w == b"\n" else word_class[w]) for w in count}
+    k, two, size = classes + 1, Counter(), Counter()
+    for w, n in count.items():
+        size[of[w]] += n
+    for t, own in zip(toks, train):
+        for a, b in zip([b"\n", *t], t) if own else ():
+            two[of[a], of[b]] += 1
+            if count[b] == 1 and b != b"\n":
+                two[of[a], classes] += 1
+            if count[a] == 1 and a != b"\n":
+                two[classes, of[b]] += 1
+    col = [sum(two[a, b] for a in range(k)) for b in range(k)]
+    row = [sum(two[a, b] for b in range(k)) for a in range(k)]
+    p = lambda a, b: (two[a, b] + k * (col[b] + 1) / (sum(col) + k)) / (row[a] + k)
+    cls = lambda w: of.get(w, classes)
+    return [sum(np.log10(p(cls(a), cls(b)) * (count[b] / size[of[b]] if b in of and b != b"\n" else 1)) for a, b in zip([b"\n", *t], t)) for t in toks]
+
+
+@pytest.mark.parametrize("share", [0.002, 0.02])
+def test_brown(spark, edge, share):
     docs = documents(spark, edge)
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    got = brown_scores(docs, train, classes=4, rounds=2, signatures=16, item_share=0.01, word_share=0.002).toPandas()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    model = fit_brown(docs, F.coalesce(train, F.lit(True)), Scratch(spark, "t"), classes=5, rounds=2, word_share=share)
+    rare = {bytes(r.word): (r.n, r.cls) for r in model.rare.collect()}
+    word_class = dict(zip(model.words, model.word_class.tolist())) | {w: c for w, (_, c) in rare.items()}
     c = Counter()
     for i, t in edge:
         if not held(i):
             c.update([*(t or "").encode().lower().split(), b"\n"])
+    assert set(word_class) == set(c) and all(c[w] == n for w, (n, _) in rare.items()) and (share < 0.01 or rare)
     n, v = sum(c.values()), len(c)
-    want = sorted((str(i), held(i), len(w), sum(x in c for x in w), n, round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t in edge for w in [[*(t or "").encode().lower().split(), b"\n"]])
-    have = sorted((str(None if np.isnan(r.doc_id) else int(r.doc_id)), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got.itertuples())
-    assert have == want and (got.score < 0).all()
+    score = plain_brown([t for _, t in edge], [not held(i) for i, _ in edge], 5, word_class)
+    want = sorted((str(i), held(i), len(w), sum(x in c for x in w), n, round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), 6), round(s, 6)) for (i, t), s in zip(edge, score) for w in [[*(t or "").encode().lower().split(), b"\n"]])
+    for got in (brown_scores(docs, train, classes=5, rounds=2, word_share=share), score_brown(model).withColumn("held_out", F.coalesce(~train, F.lit(False)))):
+        have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect())
+        assert have == want
     assert brown_scores(docs.limit(0), train).count() == 0
+    assert {r.n_known for r in brown_scores(docs, F.lit(False)).collect()} == {0}
 
 
 def test_brown_sums_to_one(spark):
-    texts = ["a b a b c", "a b rare1", "c c a rare2 rare3"]
-    docs = documents(spark, list(enumerate(texts)))
-    m: BrownModel = fit_brown(docs, F.lit(True), Scratch(spark, "t"), classes=3, rounds=2, signatures=4, item_share=0.1, word_share=0.05)
-    assert np.allclose((10**m.transition).sum(1), 1)
-    for k in range(3):
-        own = m.item_class == k
-        if own.any():
-            assert np.isclose((10 ** m.emission[own]).sum(), 1)
-    words = spark.createDataFrame([("a",), ("bcd",), ("é",), ("xyzé",)], "w string").select(F.col("w").cast("binary").alias("w"))
-    assert all(r.s == _signature(bytes(r.w), 64) for r in words.select("w", _signature_column(F.col("w"), 64).alias("s")).collect())
+    docs = documents(spark, list(enumerate(["a b a b c", "a b rare1", "c c a rare2 rare3"])))
+    m: BrownModel = fit_brown(docs, F.lit(True), Scratch(spark, "t"), classes=4, rounds=2, word_share=0.15)
+    assert np.allclose((10**m.transition).sum(1), 1) and m.transition.shape == (5, 5)
+    size = np.bincount(m.word_class, weights=m.word_count, minlength=4)
+    for r in m.rare.collect():
+        size[r.cls] += r.n
+    assert (size == m.class_tokens).all() and size.sum() == m.tokens and size[0] == 3
+
+
+def test_brown_assigns_rare_words_by_their_neighbours(spark):
+    rng = random.Random(9)
+    nouns, verbs = [f"n{k}" for k in range(12)], [f"v{k}" for k in range(12)]
+    texts = [" ".join(w for _ in range(30) for w in (rng.choice(nouns), rng.choice(verbs))) for _ in range(60)]
+    texts += [f"{rng.choice(verbs)} rareness{k} {rng.choice(verbs)} {rng.choice(nouns)} oddity{k} {rng.choice(nouns)}" for k in range(20)]
+    m = fit_brown(documents(spark, list(enumerate(texts))), F.lit(True), Scratch(spark, "t"), classes=4, rounds=6, word_share=0.005)
+    of = dict(zip(m.words, m.word_class.tolist())) | {bytes(r.word): r.cls for r in m.rare.collect()}
+    noun, verb = (Counter(of[w.encode()] for w in own).most_common(1)[0][0] for own in (nouns, verbs))
+    assert noun != verb
+    assert sum(of[b"rareness%d" % k] != verb for k in range(20)) >= 18 and sum(of[b"oddity%d" % k] != noun for k in range(20)) >= 18
 
 
 def labelled(spark, n=400):
