@@ -2,9 +2,12 @@
 
 Words are compared with A-Z lower-cased and ASCII punctuation taken as white space. A seed is a fixed mask over
 consecutive words that ignores some positions; the words at the others are hashed. Hashes of benchmark and training
-texts are joined, and around every hit the two texts are laid side by side. An overlap begins and ends with equal words;
-it counts if it has at least ``min_words`` words, or the whole of a shorter item, and at least ``identity`` of them are
-equal, whatever lies beside it. So passages with substituted words are found wherever some mask skips the substitutions.
+texts are joined, and around every hit the two texts are laid side by side. An overlap is a stretch of ``min_words`` words
+or more (or the whole of a shorter item) of which at least ``identity`` are equal, whatever lies beside it.
+
+For overlaps of 12 to 20 words with up to a fifth of them substituted, anywhere, some mask skips the substitutions (all
+patterns were tried). Items shorter than the widest mask's reach have seeds of their own: cut into one part more than they
+may have substitutions, one part of a copy is whole, whatever its length.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words; a block's hashes go to the executors, and every block is
 a pass over the texts. The texts are not shuffled.
@@ -13,7 +16,6 @@ a pass over the texts. The texts are not shuffled.
 from __future__ import annotations
 
 import string
-from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from leafcut.llm.shared import slices, text_bytes
 
 MASKS = ("111111", "1110111", "11011011", "110100111", "1010011011", "11001010011")  # six words each
+SHORT = 12  # words; of items below, masks miss some substitutions
 BLOCK_WORDS = 1_000_000
+AT_ONCE = 2_000_000
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 HITS = "item_id long, n_words int, n_equal int, doc_start int, item_start int"
@@ -54,40 +58,62 @@ class Block:
 
     def __init__(self, items: list[tuple[int | None, bytes]], min_words: int, identity: float):
         self.min_words, self.identity = min_words, Fraction(identity).limit_denominator(1000)
+        p, q = self.identity.numerator, self.identity.denominator
         self.numbers: dict[bytes, int] = {}
-        self.items = []
-        places: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in MASKS]
+        self.items: list[tuple[int | None, np.ndarray]] = []
+        seeds: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+        def add(mask: str, item: int, ids: np.ndarray, start: int) -> None:
+            at, h = _seeds(ids, mask)
+            seeds.setdefault(mask, []).append((h, np.full(len(at), item), at + start))
+
         for item, text in items:
             words = text.translate(_FOLD).split()
             ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)
-            for m, mask in enumerate(MASKS):
-                for at, h in zip(*(c.tolist() for c in _seeds(ids, mask)), strict=True):
-                    places[m][h].append((len(self.items), at))
+            if len(ids) < SHORT:
+                parts = len(ids) - -(-p * len(ids) // q) + 1
+                cuts = [k * len(ids) // parts for k in range(parts + 1)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    add("1" * (y - x), len(self.items), ids[x:y], x)
+            else:
+                for mask in MASKS:
+                    add(mask, len(self.items), ids, 0)
             self.items.append((item, ids))
-        self.places = [dict(p) for p in places]
-        self.sorted = [np.array(sorted(p), np.uint64) for p in self.places]
+        self.seeds = {}
+        for mask, found in seeds.items():
+            h, item, at = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(h, kind="stable")
+            keys, first = np.unique(h[order], return_index=True)
+            if len(keys):
+                self.seeds[mask] = (keys, np.r_[first, len(h)], item[order], at[order])
+        self.longest = max((len(ids) for _, ids in self.items), default=0)
 
     def overlap(self, a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, int, int] | None:
-        """Start, words and equal words of the best overlap of two texts side by side: of all that begin and end with equal
-        words, have ``least`` words and ``identity``, the first of the shortest with most equal words."""
+        """Start, words and equal words of the best overlap of two texts side by side: of the stretches with ``least`` words
+        or more and ``identity``, the one with most equal words, the shortest of these, the first of these."""
         at = np.flatnonzero(a == b)
-        if not len(at):
+        if not len(at) or len(a) < least:
             return None
         p, q = self.identity.numerator, self.identity.denominator
-        score = q * np.arange(len(at)) - p * at
+        count = np.arange(len(at))
+        score = q * count - p * at
         # The last place from which the score does not fall too low is the end of the longest overlap from each start.
         most = np.maximum.accumulate(score[::-1])
         last = len(at) - 1 - np.searchsorted(most, score - (q - p))
-        same, n = last - np.arange(len(at)) + 1, at[last] - at + 1
-        fit = np.flatnonzero((n >= least) & (same > 0))
+        # Equal words that lie closer may have different ones beside them.
+        near = np.searchsorted(at, at + least) - 1
+        last = np.where((at[last] - at + 1 < least) | (near > last), near, last)
+        same, n = last - count + 1, np.maximum(at[last] - at + 1, least)
+        fit = np.flatnonzero(q * same >= p * n)
         if not len(fit):
             return None
-        k = fit[np.lexsort((n[fit], -same[fit]))[0]]
-        return int(at[k]), int(n[k]), int(same[k])
+        start = np.minimum(at, len(a) - n)
+        k = fit[np.lexsort((start[fit], n[fit], -same[fit]))[0]]
+        return int(start[k]), int(n[k]), int(same[k])
 
     def search(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each text its overlaps: item, words, equal words, start in the text, start in the item."""
-        gap, parts, first = len(max(MASKS, key=len)), [], []
+        gap, parts, first = max(map(len, MASKS)), [], []
         at = 0
         number = self.numbers.get
         for t in texts:
@@ -96,20 +122,32 @@ class Block:
             parts += [ids, np.zeros(gap, np.int64)]
             at += len(ids) + gap
         found: list[list[tuple]] = [[] for _ in texts]
-        if not texts:
+        if not texts or not self.seeds:
             return found
         ids, starts = np.concatenate(parts), np.array(first)
-        diagonals = set()
-        for m, mask in enumerate(MASKS):
-            if not len(self.sorted[m]):
-                continue
+        # A diagonal: text, item, and how far the one is shifted against the other.
+        wide = max(map(len, parts)) + self.longest + 1
+        diagonals = np.empty(0, np.int64)
+        for mask, (keys, bounds, items, places) in self.seeds.items():
             place, h = _seeds(ids, mask)
-            hit = np.flatnonzero(self.sorted[m][np.minimum(np.searchsorted(self.sorted[m], h), len(self.sorted[m]) - 1)] == h)
-            doc = np.searchsorted(starts, place[hit], "right") - 1
-            for d, p, x in zip(doc.tolist(), (place[hit] - starts[doc]).tolist(), h[hit].tolist(), strict=True):
-                diagonals.update((d, i, p - q) for i, q in self.places[m][x])
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = np.flatnonzero(keys[k] == h)
+            k, place = k[hit], place[hit]
+            doc = np.searchsorted(starts, place, "right") - 1
+            times = bounds[k + 1] - bounds[k]
+            # Of texts and items that repeat themselves, few at a time meet.
+            batch = (np.cumsum(times) - times) // AT_ONCE
+            cuts = np.searchsorted(batch, np.unique(batch))
+            for x, y in zip(cuts, np.r_[cuts, len(times)][1:], strict=True):
+                n = times[x:y]
+                of = np.repeat(np.arange(x, y), n)
+                row = np.repeat(bounds[k[x:y]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                shift = place[of] - starts[doc[of]] - places[row] + self.longest
+                diagonals = np.unique(np.r_[diagonals, (doc[of] * len(self.items) + items[row]) * wide + shift])
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, shift in sorted(diagonals):
+        for code in diagonals.tolist():
+            code, shift = divmod(code, wide)
+            (d, i), shift = divmod(code, len(self.items)), shift - self.longest
             item, own = self.items[i]
             text = parts[2 * d]
             a, b = max(0, -shift), min(len(own), len(text) - shift)
@@ -178,7 +216,11 @@ def _one_each(found: list[tuple]) -> list[tuple]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, identity: float = 0.8, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, with all their columns."""
+    """The rows of ``docs`` that overlap no benchmark item, with all their columns.
+
+    Null texts overlap nothing and stay, as do null identifiers; repeated rows stay or go together. An empty table gives
+    an empty result, an empty benchmark leaves all rows.
+    """
     k = docs.columns.index(text_col)
     for block in blocks_of(benchmark, block_words=block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
