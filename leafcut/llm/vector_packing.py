@@ -14,6 +14,7 @@ residual and demand, or the smallest weighted norm of what is left.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from leafcut.llm.shared import Scratch, partitions, slices, text_bytes
 
 CACHE_WORDS = 1_000_000
+_SINGLE = re.compile("[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+")
 _PUNCTUATION = b".,!?;:#$%&*|()-"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -121,9 +123,9 @@ class _Words:
         for w in todo:
             if w not in known:
                 t = w.decode()
-                (plain if self.marked and t.isascii() and t.isalpha() else rest).append((w, t))
+                (plain if self.marked and _SINGLE.fullmatch(t) else rest).append((w, t))
         for k in range(0, len(plain), 1024):
-            # ASCII letters make one word of the tokenizer, told apart by the mark on its last token. Other letters may
+            # Letters of ``_SINGLE`` make one word of the tokenizer, told apart by the mark on its last token. Others may
             # become several when they are lower-cased or composed.
             part = plain[k : k + 1024]
             ids = np.array(self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False).ids, "<u4")
