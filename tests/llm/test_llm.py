@@ -11,7 +11,7 @@ import xxhash
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from leafcut.llm import jaccard_join, phrase_automata, simhash_anchors, warc_chunks
+from leafcut.llm import components, jaccard_join, phrase_automata, simhash_anchors, warc_chunks
 from leafcut.llm.bloom_cascade import build_cascade, url_verdicts
 from leafcut.llm.brown_lm import BrownModel, brown_scores, exchange, fit_brown, likelihood, score_brown
 from leafcut.llm.components import connected_components
@@ -110,6 +110,7 @@ def test_simhash(spark, edge, bits):
 @pytest.mark.parametrize("bits", [1, 2])
 def test_links_lose_nothing(spark, monkeypatch, hot, bits):
     monkeypatch.setattr(simhash_anchors, "HOT", hot)
+    monkeypatch.setattr(components, "ONE_TASK", 0 if hot == 2 else 1 << 20)
     rng = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(40):
