@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
 from pyspark.sql import Column
@@ -101,3 +101,17 @@ class Settings:
 
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=2))
+
+    def updated(self, path: str, **changes: object) -> Settings:
+        """Known settings changed and saved; unknown names are ignored."""
+        known = {f.name for f in fields(self)}
+        out = replace(self, **{k: v for k, v in changes.items() if k in known})
+        out.save(path)
+        return out
+
+    @classmethod
+    def reset(cls, path: str) -> Settings:
+        """The defaults, saved."""
+        out = cls()
+        out.save(path)
+        return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.functions.text import COMMON_WORDS, WS, ascii_words, py_strip, text_of
@@ -31,20 +31,17 @@ class Thresholds:
 METRICS = "total_chars printable_ratio alphanumeric_ratio whitespace_ratio word_count avg_word_length common_words sentence_markers unicode_errors text_density".split()
 
 
-def text_metrics(text: Column, area: Column | float = 612.0 * 792.0, strip: bool = True) -> dict[str, Column]:
-    """Character and word statistics of a page. ``strip``: measure the stripped text."""
-    t = py_strip(text_of(text)) if strip else text_of(text)
-    area = area if isinstance(area, Column) else F.lit(float(area))
-    n = F.length(t)
+def _metrics_of(t: Column, words: Column, area: Column) -> dict[str, Column]:
+    n, count = F.length(t), F.size(words)
     some = F.greatest(n, F.lit(1))
-    words = ascii_words(t)
-    count = F.size(words)
     # White space is printable here, though much of it is of category C or Z.
     hidden = F.regexp_count(t, F.lit(r"[\p{C}&&[^" + WS[1:] + "]"))
+    # What most characters are is counted by what is left without runs of the others.
+    alphanumeric = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", ""))
     return {
         "total_chars": n,
         "printable_ratio": F.when(n > 0, (n - hidden) / some).otherwise(0.0),
-        "alphanumeric_ratio": F.when(n > 0, F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")) / some).otherwise(0.0),
+        "alphanumeric_ratio": F.when(n > 0, alphanumeric / some).otherwise(0.0),
         "whitespace_ratio": F.when(n > 0, F.regexp_count(t, F.lit(WS)) / some).otherwise(0.0),
         "word_count": count,
         "avg_word_length": F.when(count > 0, F.length(F.array_join(words, "")) / F.greatest(count, F.lit(1))).otherwise(0.0),
@@ -55,6 +52,27 @@ def text_metrics(text: Column, area: Column | float = 612.0 * 792.0, strip: bool
     }
 
 
+def text_metrics(text: Column, area: Column | float = 612.0 * 792.0, strip: bool = True) -> dict[str, Column]:
+    """Character and word statistics of a page, as columns. ``strip``: measure the stripped text. Columns that use each
+    other measure again; over tables, ``with_metrics`` measures once."""
+    t = py_strip(text_of(text)) if strip else text_of(text)
+    return _metrics_of(t, ascii_words(t), area if isinstance(area, Column) else F.lit(float(area)))
+
+
+def with_metrics(rows: DataFrame, text: str | Column = "text", area: Column | float = 612.0 * 792.0, strip: bool = True) -> DataFrame:
+    """``rows`` with the columns ``METRICS``; each text is stripped and cut into words once."""
+    t = text_of(F.col(text) if isinstance(text, str) else text)
+    area = area if isinstance(area, Column) else F.lit(float(area))
+    once = rows.withColumn("__text", py_strip(t) if strip else t).withColumn("__area", area)
+    once = once.withColumn("__words", ascii_words(F.col("__text")))
+    return once.withColumns(_metrics_of(F.col("__text"), F.col("__words"), F.col("__area"))).drop("__text", "__area", "__words")
+
+
+def measured() -> dict[str, Column]:
+    """The columns that ``with_metrics`` adds."""
+    return {k: F.col(k) for k in METRICS}
+
+
 def confidence(m: dict[str, Column]) -> Column:
     """Eight weighted terms, added in a fixed order."""
     one, zero = F.lit(1.0), F.lit(0.0)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # What counts as white space; page-number patterns; common words; document types; OCR garbage.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PAGE_PATTERNS = [rf"Page{WS}+(\d+)", rf"p\.{WS}*(\d+)", r"^(\d+)$", rf"[-\x{{2212}}]{WS}*(\d+){WS}*[-\x{{2212}}]"]
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# The common words are a set: order and repeats say nothing.
 COMMON_WORDS = (
     "a about all an and are as at be been but by can could did do for from get had has have he her his i if in into is it may "
     "me my not of on one only or out said say she so some than that the their them there these they this to up was we were "
@@ -23,7 +25,7 @@ WEAK_WORDS = "unclear maybe possibly might uncertain".split()
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def text_of(c: Column) -> Column:
@@ -70,7 +72,7 @@ def heuristic_name(text: Column, ordinal: Column, prefix: str = "document") -> C
 
 def ascii_words(text: Column) -> Column:
     """Words of ASCII letters of the lower-cased text, told apart from others at letters, digits and underscores."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: x.rlike("^[a-z]+$"))
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-z]+$"))
 
 
 def page_invalid_reason(text: Column) -> Column:
@@ -180,6 +182,13 @@ def split_prompt(before: Column, after: Column, signals: Column, page: Column) -
     return F.concat(F.lit("Does a new document start at page "), (page + 1).cast("string"), F.lit("?\nSignals:\n"), bullets, F.lit("\nPages before:\n"), side(before), F.lit("\nPages from there:\n"), side(after), F.lit("\nAnswer YES or NO - reason."))
 
 
+def name_of_answer(response: Column, page: Column, prefix: str = "document") -> Column:
+    """The file name that a model's answer gives: parsed, and mended where it is not of the form asked for. Null or
+    empty answers give the fallback name."""
+    parsed = parse_filename(response)
+    return F.when(F.length(parsed) == 0, fallback_name(prefix, page)).when(validate_filename(parsed), parsed).otherwise(fix_filename(parsed, page, prefix))
+
+
 def naming_prompt(first: Column, second: Column) -> Column:
     more = F.when(second.isNotNull(), F.concat(F.lit("\nSecond page:\n"), F.substring(second, 1, 1000))).otherwise("")
     return F.concat(F.lit("Name this document as DATE_TYPE_DESCRIPTION.\nTypes: " + ", ".join(DOCUMENT_TYPES) + "\nFirst page:\n"), F.substring(text_of(first), 1, 2000), more)

@@ -62,14 +62,24 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def upsert_pages(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Last write wins by (doc_id, page_num); an embedding survives only if the text is unchanged."""
-    a = old.select("doc_id", "page_num", F.col("text").alias("old_text"), F.col("text_embedding").alias("old_embedding"), F.lit(True).alias("had"))
-    b = new.select("doc_id", "page_num", "text", F.lit(True).alias("got"))
-    both = a.join(b, ["doc_id", "page_num"], "full")
-    text = F.when(F.col("got"), F.col("text")).otherwise(F.col("old_text"))
-    same = F.col("got").isNull() | F.col("text").eqNullSafe(F.col("old_text"))
-    return both.select("doc_id", "page_num", text.alias("text"), F.length(text).alias("text_length"), F.when(same, F.col("old_embedding")).alias("text_embedding"))
+def upsert_pages(old: DataFrame, new: DataFrame, order: str = "processed_at") -> DataFrame:
+    """The table after ``new`` was written over it, with the columns of ``old``: of a key (doc_id, page_num) that ``new`` has
+    several times the last by ``order`` counts. A written row stands for the old one in all columns (null where ``new`` has
+    no such column), except that the embedding stays if the text is unchanged."""
+    keys = ["doc_id", "page_num"]
+    rest = [c for c in old.columns if c not in keys]
+    have = {c: F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType) for c in rest}
+    rank = [F.col(order)] if order in new.columns else []
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*(v.alias(c) for c, v in have.items())), F.struct(*rank, F.length("text"), "text")).alias("new"))
+    both = old.select(*keys, F.struct(*rest).alias("old")).join(last, keys, "full")
+    got = F.col("new").isNotNull()
+
+    def value(c: str) -> Column:
+        if c == "text_embedding":
+            return F.when(~got | F.col("new.text").eqNullSafe(F.col("old.text")), F.col("old.text_embedding"))
+        return F.when(got, F.length("new.text") if c == "text_length" else F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
+
+    return both.select(*keys, *(value(c).alias(c) for c in rest)).select(*old.columns)
 
 
 def update_embeddings(pages: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -78,6 +88,29 @@ def update_embeddings(pages: DataFrame, vectors: DataFrame) -> DataFrame:
     return pages.join(v, ["doc_id", "page_num"], "left").withColumn("text_embedding", F.coalesce("_new", "text_embedding")).drop("_new")
 
 
+def of_document(rows: DataFrame, doc_id: object, order: str | None = None) -> DataFrame:
+    """The rows of a document, sorted if ``order`` names a column: a document, its pages, names or candidates."""
+    found = rows.where(F.col("doc_id") == F.lit(doc_id))
+    return found.orderBy(order) if order else found
+
+
+def page_of(pages: DataFrame, doc_id: object, page: int) -> DataFrame:
+    """Text and embedding of a page; no row if there is none."""
+    return pages.where((F.col("doc_id") == F.lit(doc_id)) & (F.col("page_num") == F.lit(page))).select("text", "text_embedding")
+
+
+def in_document_order(rows: DataFrame, order: str) -> DataFrame:
+    """Of every document at once: rows with ``nth``, their 0-based place by ``order`` within their document."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1)
+
+
+def set_document_status(documents: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """``changes``: ``doc_id, status``. Documents that exist get the status and ``last_updated``."""
+    c = changes.select("doc_id", F.col("status").alias("_s"))
+    out = documents.join(c, "doc_id", "left")
+    return out.withColumn("processing_status", F.coalesce("_s", "processing_status")).withColumn("last_updated", F.when(F.col("_s").isNotNull(), now).otherwise(F.col("last_updated"))).drop("_s").select(*documents.columns)
+
+
 def completeness(pages: DataFrame, documents: DataFrame, share: float = 0.8) -> DataFrame:
     """``n_embedded``, ``has_all`` and ``enough`` of each document; one without pages has neither."""
     n = pages.groupBy("doc_id").agg(F.count("text_embedding").alias("n_embedded"))
@@ -90,6 +123,11 @@ def expire(documents: DataFrame, now: Column | datetime, days: int = 30) -> Data
     return documents.where(F.col("uploaded_at") >= now - F.make_interval(days=F.lit(days)))
 
 
+def clear(documents: DataFrame) -> tuple[DataFrame, int]:
+    """No documents, and how many there were."""
+    return documents.limit(0), documents.count()
+
+
 def cascade(child: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of a child table whose document is kept."""
     return child.join(kept.select("doc_id"), "doc_id", "left_semi")
@@ -162,6 +200,23 @@ def update_queue(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return out.withColumn("status", F.coalesce("_s", "status")).withColumn("progress", F.coalesce("_p", "progress")).withColumn("error", F.when(hit, F.col("_e")).otherwise(F.col("error"))).drop("_s", "_p", "_e")
 
 
+def append_queue(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``files`` as pending items without progress behind the queue's own; ids that are missing are made."""
+    made = files if "id" in files.columns else files.withColumn("id", F.uuid())
+    return rows.unionByName(made.withColumn("status", F.lit("pending")).withColumn("progress", F.lit(0)), allowMissingColumns=True)
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, r"[/\\\\]"), -1)
+
+
+def results_by_name(rows: DataFrame, results: DataFrame, path: str = "file_path") -> DataFrame:
+    """Queue items with the status of the result that has their file's name (``file, status``; of several, failed wins)."""
+    r = results.groupBy(base_name(F.col("file")).alias("_name")).agg(F.when(F.bool_or(F.col("status") == "failed"), "failed").otherwise(F.max("status")).alias("_s"))
+    out = rows.withColumn("_name", base_name(F.col(path))).join(r, "_name", "left")
+    return out.withColumn("status", F.coalesce("_s", "status")).drop("_s", "_name").select(*rows.columns)
+
+
 def queue_state(rows: DataFrame) -> DataFrame:
     """One row: whether any file is being processed, and whether the queue is empty."""
     return rows.agg(F.coalesce(F.bool_or(F.col("status") == "processing"), F.lit(False)).alias("any_processing"), (F.count("*") == 0).alias("empty"))
@@ -177,6 +232,16 @@ def batches(rows: DataFrame, size: int, by: str = "bundle_id", order: str = "pag
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("int"))
 
 
+# Percent of the whole at which phases begin and end.
+PHASE_BANDS = {"ocr": (5, 30), "embeddings": (30, 50), "split_detection": (50, 65), "extraction": (80, 95), "complete": (100, 100)}
+
+
+def phase_percent(phase: Column, current: Column, total: Column) -> Column:
+    """Percent of the whole, from how far a phase has come; null for unknown phases."""
+    share = F.when(total > 0, current / total).otherwise(0.0)
+    return F.coalesce(*(F.when(phase == name, F.lit(a) + F.floor(share * (b - a))) for name, (a, b) in PHASE_BANDS.items())).cast("int")
+
+
 def progress(current: Column, total: Column, elapsed: Column) -> list[Column]:
     """Percent done, and seconds left (0 where unknown)."""
     percent = F.when(total > 0, F.round(current / total * 100, 6)).otherwise(0.0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafcut.functions.text import blank_measure, header_footer, page_number
 from leafcut.operators.vectors import cluster_labels, dot
 
+MEASURES = {"num", "len_header", "sum_header", "len_footer", "sum_footer", "stripped"}
 ORDER = {"number": 0, "header_footer": 1, "blank": 2, "semantic": 3, "cluster": 4}
 
 
@@ -21,16 +22,21 @@ def pages_in_order():
     return Window.partitionBy("bundle_id").orderBy("page_num")
 
 
-def narrow(pages: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """What the detectors need of each page, without its text."""
+def measures(kinds: tuple[str, ...]) -> list[Column]:
+    """What the detectors compare of a page's text. Taken before pages are numbered or shuffled, texts stay where they are."""
     header, footer = header_footer(F.col("text"))
     own = {
-        "number": [page_number(F.col("text")).alias("num")] if "text" in pages.columns else [],
-        "header_footer": [f(c).alias(f"{n}_{k}") for k, c in (("header", header), ("footer", footer)) for n, f in (("len", F.length), ("sum", F.md5))] if "text" in pages.columns else [],
-        "blank": [blank_measure(F.col("text")).alias("stripped")] if "text" in pages.columns else [],
-        "semantic": [F.col("embedding")] if "embedding" in pages.columns else [],
+        "number": [page_number(F.col("text")).alias("num")],
+        "header_footer": [f(c).alias(f"{n}_{k}") for k, c in (("header", header), ("footer", footer)) for n, f in (("len", F.length), ("sum", F.md5))],
+        "blank": [blank_measure(F.col("text")).alias("stripped")],
     }
-    return pages.select("bundle_id", "page_num", *(c for k in kinds for c in own.get(k, [])))
+    return [c for k in kinds for c in own.get(k, [])]
+
+
+def narrow(pages: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """What the detectors need of each page, without its text; pages without a ``text`` have their measures already."""
+    own = measures(kinds) if "text" in pages.columns else [F.col(c) for c in pages.columns if c in MEASURES]
+    return pages.select("bundle_id", "page_num", *own, *(["embedding"] if "semantic" in kinds else []))
 
 
 def _signal(kind: str, confidence: Column, reason: Column | str) -> Column:

@@ -53,6 +53,52 @@ def answer_by_rule() -> Model:
     return lambda prompts: ["YES - new document, clear boundary" if "reset" in (p or "") or "Blank" in (p or "") else "NO - same document" for p in prompts]
 
 
+@register("name_stub")
+def name_by_rule() -> Model:
+    """A letter named by the prompt's length for every other length, else no answer."""
+    return lambda prompts: [f"UNDATED_Letter_Prompt of {len(p or '')} characters" if len(p or "") % 2 else "" for p in prompts]
+
+
+@register("vision_stub")
+def hashed_bytes(dimension: int = 768) -> Model:
+    """A unit vector of byte pairs' counts; no image: zeros."""
+
+    def run(images: list) -> list:
+        out = []
+        for x in images:
+            raw = np.frombuffer(bytes(x or b""), np.uint8).astype(np.int64)
+            v = np.bincount((raw[:-1] * 31 + raw[1:]) % dimension, minlength=dimension).astype(float) if len(raw) > 1 else np.zeros(dimension)
+            out.append((v / (np.linalg.norm(v) + 1e-8)).astype("float32").tolist())
+        return out
+
+    return run
+
+
+def in_batches(model: Callable[[], Model], size: int = 16, least: int = 1, grow: int = 5) -> Callable[[], Model]:
+    """A model that is called on ``size`` items at a time. Where it runs out of memory, the batch is halved and tried again,
+    down to ``least``; after each batch that went well the size grows by ``grow`` again, up to ``size``."""
+
+    def make() -> Model:
+        call, now = model(), size
+
+        def run(items: list) -> list:
+            nonlocal now
+            out, at = [], 0
+            while at < len(items):
+                try:
+                    out += call(items[at : at + now])
+                    at, now = at + now, min(size, now + grow)
+                except MemoryError:
+                    if now <= least:
+                        raise
+                    now = max(least, now // 2)
+            return out
+
+        return run
+
+    return make
+
+
 def apply_model(column: Column, model: str | Callable[[], Model], returns: str, empty: object = "", fallback: str | None = None) -> Column:
     """Run a model over a column. ``fallback``: the model to take if the first cannot be made."""
     chosen = FACTORIES[model] if isinstance(model, str) else model

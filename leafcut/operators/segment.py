@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafcut.functions.text import heuristic_name
+from leafcut.functions.text import fallback_name, heuristic_name, name_of_answer, naming_prompt
+from leafcut.operators.models import apply_model
 
 
 def accept(candidates: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -43,32 +44,46 @@ def named(segs: DataFrame, prefix: str = "document", suggested: str | None = Non
     return segs.withColumn("naming", F.when(F.col(suggested).isNotNull(), "model").otherwise("heuristic")).withColumn("suggested_name", F.coalesce(suggested, plain))
 
 
-def unique_names(rows: DataFrame, by: str = "bundle_id", name: str = "suggested_name", order: str = "segment_idx") -> DataFrame:
-    """``output_filename``: name.pdf, then name_1.pdf, name_2.pdf, ... by order within a bundle.
+def unique_names(rows: DataFrame, by: str = "bundle_id", name: str = "suggested_name", order: str = "segment_idx", existing: DataFrame | None = None) -> DataFrame:
+    """``output_filename``: name.pdf if it is free in the bundle, else the first free of name_1.pdf, name_2.pdf, ..., one after
+    another by ``order``. ``existing``: ``by`` and ``output_filename`` of files that are there already.
 
-    Names that already end like that could meet numbered ones; ``unique_names_exact`` tries numbers until one is free.
+    Names can only meet if they are alike but for numbers at their ends, so each such family is numbered by itself.
     """
-    n = F.row_number().over(Window.partitionBy(by, name).orderBy(order)) - 1
-    return rows.withColumn("output_filename", F.concat(F.col(name), F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".pdf")))
-
-
-def unique_names_exact(rows: DataFrame, by: str = "bundle_id", name: str = "suggested_name", order: str = "segment_idx") -> DataFrame:
-    """As ``unique_names``, one after another in each bundle, so that no two are equal."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        taken: set[str] = set()
-        out = []
-        for base in pdf[name]:
-            k, own = 0, f"{base}.pdf"
-            while own in taken:
+    root = lambda c: F.regexp_replace(c, r"(_[0-9]+)+\z", "")
+    out = T.StructType([*rows.schema.fields, T.StructField("output_filename", T.StringType())])
+    cols = [f.name for f in rows.schema.fields]
+
+    def run(rows: pa.Table) -> pa.Table:
+        files, bases, at = (rows.column(c).to_pylist() for c in ("_taken", name, order))
+        taken = {f for f in files if f is not None}
+        own = sorted((k for k, f in enumerate(files) if f is None), key=at.__getitem__)
+        following: dict[str, int] = {}
+        names = []
+        for base in map(bases.__getitem__, own):
+            k = following.get(base, 0)
+            while (free := f"{base}_{k}.pdf" if k else f"{base}.pdf") in taken:
                 k += 1
-                own = f"{base}_{k}.pdf"
-            taken.add(own)
-            out.append(own)
-        return pdf.assign(output_filename=out)
-
-    return rows.groupBy(by).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("output_filename", T.StringType())]))
+            following[base] = k + 1
+            taken.add(free)
+            names.append(free)
+        return rows.select(cols).take(pa.array(own, pa.int64())).append_column("output_filename", pa.array(names, pa.string()))
+
+    sent = rows.withColumn("_taken", F.lit(None).cast("string")).withColumn("_root", root(F.col(name)))
+    if existing is not None:
+        files = existing.select(by, F.col("output_filename").alias("_taken"), root(F.regexp_replace("output_filename", r"\.pdf\z", "")).alias("_root"))
+        sent = sent.unionByName(files, allowMissingColumns=True)
+    return sent.groupBy(by, "_root").applyInArrow(run, out)
+
+
+def suggest_names(segs: DataFrame, model: str, prefix: str = "document") -> DataFrame:
+    """Names by a language model: prompt, answer, parsed and mended name; where the answer gives only the fallback name, the
+    heuristic one. Adds ``suggested_name`` and ``naming``."""
+    page = F.col("start_page")
+    asked = segs.withColumn("_answer", apply_model(naming_prompt(F.col("first_text"), F.col("second_text")), model, "string"))
+    found = F.when(F.length("_answer") > 0, name_of_answer(F.col("_answer"), page, prefix))
+    asked = asked.withColumn("_name", F.when(found != fallback_name(prefix, page), found)).drop("_answer")
+    return named(asked, prefix, "_name").drop("_name")
 
 
 def summary(segs: DataFrame) -> DataFrame:

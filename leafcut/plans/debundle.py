@@ -32,8 +32,8 @@ def debundle(pages: DataFrame, embedded: DataFrame | None = None, p: Parameters
         signals = detect(pages, ("number", "header_footer", "blank")).unionByName(detect_vectors(embedded, p))
     totals = pages.groupBy("bundle_id").agg(F.count("*").cast("int").alias("total"))
     segs = segments(totals, accept(combine(signals), p.accept))
-    out = unique_names(named(with_page_texts(segs, pages), p.prefix))
-    return out.select("bundle_id", "segment_idx", "start_page", "end_page", "page_count", "confidence", "suggested_name", "output_filename")
+    out = named(with_page_texts(segs, pages), p.prefix)
+    return unique_names(out.select("bundle_id", "segment_idx", "start_page", "end_page", "page_count", "confidence", "suggested_name"))
 
 
 def detect_vectors(embedded: DataFrame, p: Parameters = Parameters()) -> DataFrame:

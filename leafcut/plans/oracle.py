@@ -140,7 +140,7 @@ def page_reason(x: str) -> str:
 
 
 RESPONSES = """r AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'YES - ' WHEN 1 THEN 'no: ' WHEN 2 THEN '  Yes: clear boundary, ' WHEN 3 THEN 'NO - maybe unclear ' ELSE 'Perhaps ' END
-    || substr(coalesce(text, ''), 1, 40) AS response, CAST(turn % 4 + 1 AS INTEGER) AS signal_count FROM conversations)"""
+    || coalesce(text, '') AS response, CAST(turn % 4 + 1 AS INTEGER) AS signal_count FROM conversations)"""
 
 
 def _tail(n: int) -> str:
@@ -152,7 +152,7 @@ DECIDED = f"""r1 AS (SELECT *, {strip('response')} AS s FROM r),
 r2 AS (SELECT *, starts_with(upper(s), 'YES') AS llm_decision, CASE WHEN starts_with(upper(s), 'YES') THEN {_tail(3)} WHEN starts_with(upper(s), 'NO') THEN {_tail(2)} ELSE 'Unclear response: ' || s END AS llm_reason FROM r1),
 d AS (SELECT *, round(greatest(0, least(1, CASE WHEN llm_decision THEN 0.7::DOUBLE + least(signal_count * 0.05::DOUBLE, 0.2::DOUBLE) ELSE 0.6::DOUBLE - least(signal_count * 0.03::DOUBLE, 0.15::DOUBLE) END {_score})), 6) AS llm_confidence FROM r2)"""
 NAMES = rf"""nm AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN '2024-01-31_Invoice_' WHEN 1 THEN 'UNDATED_Letter_' WHEN 2 THEN '  "2023-1-5_Bad type_' WHEN 3 THEN '2020-12-01_Report' ELSE 'UNDATED_Form_x_' END
-    || regexp_replace(substr(text, 1, 30), '[^a-zA-Z ]', '', 'g') || CASE WHEN turn % 2 = 0 THEN '.PDF' ELSE '"' END AS response FROM conversations WHERE text IS NOT NULL),
+    || regexp_replace(text, '[^a-zA-Z ]', '', 'g') || CASE WHEN turn % 2 = 0 THEN '.PDF' ELSE '"' END AS response FROM conversations WHERE text IS NOT NULL),
 parsed AS (SELECT conv_id, turn, {strip(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({strip(f'string_split({strip('response')}, chr(10))[1]')}, '" + r"""\A["'']+|["'']+\z""" + f"', '', 'g'), '" + r"(?i)\.pdf\z" + f"', ''), '[^" + r"\pL\pN_\-" + f"{NW}', '', 'g'), '{WS}+', ' ', 'g')")} AS name FROM nm),
 parts AS (SELECT *, string_split(name, '_') AS p FROM parsed)"""
 DATE_OK = r"(p[1] = 'UNDATED' OR regexp_full_match(p[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}'))"
@@ -206,9 +206,9 @@ ORACLE_SQL: dict[str, str] = {
     "q10_segments": f"{SEGMENTS} SELECT * FROM segs",
     "q11_segment_report": f"{SEGMENTS}, {TEXTS} SELECT bundle_id, segment_idx, start_page, end_page, page_count, length(first_text) AS first_chars, length(second_text) AS second_chars FROM texts",
     "q12_heuristic_names": f"{SEGMENTS}, {TEXTS} SELECT bundle_id, segment_idx, {heuristic('first_text', 'segment_idx + 1')} AS suggested_name FROM texts",
-    "q13_unique_names": f"""WITH {B1}, x AS (SELECT bundle_id, page_num AS segment_idx, substr({safe('substr(text, 1, 3)')}, 1, 2) AS suggested_name FROM b1),
+    "q13_unique_names": f"""WITH {B1}, x AS (SELECT bundle_id, page_num AS segment_idx, CASE WHEN page_num % 4 < 2 THEN 'a' WHEN page_num % 4 = 2 THEN 'a_1' ELSE {safe('text')} END AS suggested_name FROM b1),
         y AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, suggested_name ORDER BY segment_idx) - 1 AS k FROM x)
-        SELECT bundle_id, segment_idx, suggested_name, suggested_name || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.pdf' AS output_filename FROM y""",
+        SELECT bundle_id, segment_idx, suggested_name, suggested_name || CASE WHEN suggested_name = 'a_1' THEN '_' || (k + 1) WHEN k > 0 THEN '_' || k ELSE '' END || '.pdf' AS output_filename FROM y""",
     "q14_text_metrics": f"""{DOCS} SELECT doc_id, total_chars, round(printable_ratio, 6) AS printable_ratio, round(alphanumeric_ratio, 6) AS alphanumeric_ratio, round(whitespace_ratio, 6) AS whitespace_ratio,
         CAST(word_count AS INTEGER) AS word_count, round(avg_word_length, 6) AS avg_word_length, CAST(common_words AS INTEGER) AS common_words, CAST(sentence_markers AS INTEGER) AS sentence_markers, CAST(unicode_errors AS INTEGER) AS unicode_errors, round(text_density, 6) AS text_density FROM m""",
     "q15_text_confidence": f"{DOCS} SELECT doc_id, conf AS confidence FROM m",
@@ -224,7 +224,7 @@ ORACLE_SQL: dict[str, str] = {
     "q19_coverage": f"WITH {GEOMETRY} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, has_images, text_coverage, image_coverage, uncovered FROM cov",
     "q20_coverage_confidence": f"""WITH {GEOMETRY}, e AS (SELECT *, {COV_CONF} AS coverage_confidence FROM cov)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coverage_confidence, round(CASE WHEN coverage_confidence < 0.5 THEN 0.75::DOUBLE * coverage_confidence ELSE 0.75::DOUBLE END, 6) AS adjusted FROM e""",
-    "q21_ocr_output_validity": f"WITH x AS (SELECT conv_id, turn, substr(coalesce(text, ''), 1, 400) AS t FROM conversations) SELECT conv_id, turn, ({page_reason('t')}) IS NULL AS valid, {page_reason('t')} AS reason FROM x",
+    "q21_ocr_output_validity": f"WITH x AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, ({page_reason('t')}) IS NULL AS valid, {page_reason('t')} AS reason FROM x",
     "q22_replace_decision": f"""WITH {metrics('documents', "coalesce(text, '')", name='o')}, {metrics('documents', "regexp_replace(coalesce(text, ''), '[aeiou]', '', 'g')", name='r')}
         SELECT o.doc_id, o.conf AS original_confidence, r.conf AS ocr_confidence, CASE WHEN length({strip('o.t')}) = 0 THEN true WHEN o.conf >= 0.7 THEN round(r.conf - o.conf, 6) > 0.05 ELSE r.conf > o.conf END AS replace FROM o JOIN r USING (doc_id)""",
     "q23_ocr_retry_ladder": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'good text' WHEN 1 THEN 'second ' || event_type WHEN 2 THEN 'third ' || event_type WHEN 3 THEN 'third ' || event_type ELSE '' END AS text,
@@ -250,15 +250,21 @@ ORACLE_SQL: dict[str, str] = {
     "q37_last_phase": f"WITH {LOG} SELECT doc_id, phase AS last_phase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, log_id DESC) AS k FROM lg WHERE status = 'completed') WHERE k = 1",
     "q38_cache_stats": f"""WITH {B7}, {STORED}, a AS (SELECT count(*) AS n_documents, min(uploaded_at) AS oldest FROM b7), b AS (SELECT CAST(sum(len(embedding) * 4) AS BIGINT) AS embedding_bytes, CAST(sum(length(text)) AS BIGINT) AS text_bytes, count(embedding) AS n_embeddings FROM pg)
         SELECT *, round(embedding_bytes / 1048576, 2) AS embedding_mb, round(text_bytes / 1048576, 2) AS text_mb FROM a, b""",
-    "q39_completeness": f"WITH {STORED}, a AS (SELECT doc_id, count(*) AS total_pages, count(embedding) AS n_embedded FROM pg GROUP BY doc_id) SELECT doc_id, total_pages, n_embedded, n_embedded = total_pages AS has_all, n_embedded >= total_pages * 0.5 AS enough FROM a",
-    "q40_upsert_pages": f"""WITH {STORED}, nw AS (SELECT doc_id, CASE WHEN n % 10 = 0 THEN page_num + 1000000 ELSE page_num END AS page_num, CASE WHEN n % 4 = 0 THEN 'new ' || text ELSE text END AS text FROM pg WHERE n % 2 = 0)
-        SELECT doc_id, page_num, CAST(length(CASE WHEN nw.doc_id IS NOT NULL THEN nw.text ELSE pg.text END) AS INTEGER) AS text_length, (nw.doc_id IS NULL OR nw.text IS NOT DISTINCT FROM pg.text) AND embedding IS NOT NULL AS embedded FROM pg FULL JOIN nw USING (doc_id, page_num)""",
+    "q39_completeness": f"WITH {STORED}, a AS (SELECT doc_id, count(*) AS total_pages, count(embedding) AS n_embedded FROM pg GROUP BY doc_id) SELECT doc_id, total_pages, n_embedded, n_embedded = total_pages AS has_all, n_embedded >= total_pages * 0.8 AS enough, n_embedded >= total_pages * 0.5 AS half FROM a",
+    "q40_upsert_pages": f"""WITH {STORED}, w AS (
+            SELECT doc_id, CASE WHEN n % 10 = 0 THEN page_num + 1000000 ELSE page_num END AS page_num, n % 6 = 0 AS twice,
+                CASE WHEN n % 6 = 0 THEN 'again ' || text WHEN n % 4 = 0 THEN 'new ' || text ELSE text END AS text FROM pg WHERE n % 2 = 0)
+        SELECT doc_id, page_num, CAST(length(CASE WHEN w.doc_id IS NULL THEN pg.text ELSE w.text END) AS INTEGER) AS text_length, md5(CASE WHEN w.doc_id IS NULL THEN pg.text ELSE w.text END) AS sum,
+            w.doc_id IS NOT NULL OR n % 3 = 0 AS has_text_layer, CASE WHEN w.doc_id IS NULL THEN CASE WHEN n % 3 = 0 THEN 'text_layer' ELSE 'ocr' END WHEN twice THEN 'again' ELSE 'new' END AS ocr_method,
+            CASE WHEN w.doc_id IS NULL THEN n % 100 / 100.0::DOUBLE ELSE 0.5::DOUBLE END AS ocr_confidence, embedding IS NOT NULL AND (w.doc_id IS NULL OR w.text IS NOT DISTINCT FROM pg.text) AS embedded,
+            CASE WHEN w.doc_id IS NULL THEN 'f' || n END AS features, CASE WHEN w.doc_id IS NULL THEN '2025-01-01' WHEN twice THEN '2025-01-03' ELSE '2025-01-02' END AS day
+        FROM pg FULL JOIN w USING (doc_id, page_num)""",
     "q41_update_embeddings": f"WITH {STORED} SELECT doc_id, page_num, CAST(CASE WHEN n % 3 = 0 THEN 1 ELSE coalesce(len(embedding), -1) END AS INTEGER) AS dimension FROM pg",
     "q42_expire": f"WITH {B7} SELECT doc_id, uploaded_at FROM b7 WHERE uploaded_at >= TIMESTAMP '1997-01-01' - INTERVAL 365 DAY",
     "q43_delete_cascade": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) AS n_children FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 7 <> 0 GROUP BY l_orderkey",
     "q44_candidate_scan": f"{CANDIDATES} SELECT bundle_id AS doc_id, page_num AS split_page, confidence, method AS detection_method, array_to_string(signals, '|') AS signals, CAST(signal_count AS INTEGER) AS signal_count FROM kept WHERE page_num % 2 <> 0",
     "q45_status_counts": f"{QUEUE} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM q",
-    "q46_queue_sort": f"{QUEUE} SELECT id, status FROM q ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'processing' THEN 1 WHEN 'complete' THEN 2 ELSE 3 END DESC, id LIMIT 25",
+    "q46_queue_sort": f"{QUEUE} SELECT id, status FROM q ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'processing' THEN 1 WHEN 'complete' THEN 2 ELSE 3 END DESC, id",
     "q47_batch_stats": f"{QUEUE} SELECT count(*) AS files, count(*) FILTER (status = 'complete') AS ok, count(*) FILTER (status = 'failed') AS failed, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(pages) * 0.25 AS DOUBLE) AS seconds, 4.0::DOUBLE AS pages_per_second FROM q",
     "q48_method_counts": f"{DOCS} SELECT CASE WHEN {VALID} THEN 'text_layer' ELSE 'ocr' END AS method, count(*) AS pages FROM m GROUP BY ALL",
     "q49_batches": f"WITH {B1} SELECT bundle_id, page_num, CAST(page_num // 10 AS INTEGER) AS batch FROM b1",
@@ -271,8 +277,11 @@ ORACLE_SQL: dict[str, str] = {
     "q51_progress_eta": """WITH e AS (SELECT event_id, event_id % 50 AS c, 40 * (event_id % 3) AS t, value AS v FROM events)
         SELECT event_id, CASE WHEN t > 0 THEN round(c / t * 100, 6) ELSE 0 END AS percent, CASE WHEN c > 0 AND v > 0 THEN round((t - c) / (c / v), 6) ELSE 0 END AS eta FROM e""",
     "q53_event_routing": f"{EVENTS} SELECT 'python_' || type AS channel, count(*) AS n, count(DISTINCT key) AS keys FROM ev WHERE type IN ('progress', 'result', 'error') GROUP BY type",
-    "q54_progress_throttle": f"{EVENTS} SELECT key, arg_max(event_id, (ts, event_id)) AS event_id FROM ev WHERE type = 'progress' GROUP BY key, CAST(floor(epoch(ts) / 3600) AS BIGINT)",
-    "q58_effective_text": f"""WITH {B1}, {metrics('b1', strip('text'), 'bundle_id, page_num, text')}, e AS (SELECT bundle_id, page_num, {VALID} AS ok, CASE WHEN {VALID} THEN text WHEN page_num % 2 = 0 THEN 'OCR ' || substr(text, 1, 50) ELSE '' END AS x FROM m)
+    "q54_progress_throttle": """WITH RECURSIVE p AS (SELECT event_id, event_id * 150 + event_id % 7 * 130 AS ms, CAST(event_id // 4 % 2 AS VARCHAR) AS key, event_id % 40 = 0 AS force FROM events WHERE event_id % 4 = 0),
+        went AS (SELECT key, min(ms) AS ms FROM p WHERE NOT force GROUP BY key
+            UNION ALL SELECT w.key, (SELECT min(p.ms) FROM p WHERE NOT p.force AND p.key = w.key AND p.ms >= w.ms + 2000) FROM went w WHERE w.ms IS NOT NULL)
+        SELECT key, event_id FROM p JOIN went USING (key, ms) WHERE NOT force UNION ALL SELECT key, event_id FROM p WHERE force""",
+    "q58_effective_text": f"""WITH {B1}, {metrics('b1', strip('text'), 'bundle_id, page_num, text')}, e AS (SELECT bundle_id, page_num, {VALID} AS ok, CASE WHEN {VALID} THEN text WHEN page_num % 2 = 0 THEN 'OCR ' || text ELSE '' END AS x FROM m)
         SELECT bundle_id, page_num, length(x) AS chars, md5(x) AS sum, CASE WHEN ok THEN 'text_layer' ELSE 'ocr' END AS ocr_method FROM e""",
     "q59_debundle_full": f"""{CLUSTERS}, {S_NUMBER.replace('SOURCE', 'b1')}, {S_HEADER}, {s_blank('s_blank', 'b1')}, {s_semantic(0.0, 0.1)},
         s_all AS (SELECT * FROM s_number UNION ALL SELECT * FROM s_header UNION ALL SELECT * FROM s_blank UNION ALL SELECT * FROM s_semantic UNION ALL SELECT * FROM s_cluster), {COMBINED}, {segs()}, {TEXTS},
@@ -288,6 +297,27 @@ ORACLE_SQL: dict[str, str] = {
     "q66_resume": f"""WITH {LOG}, x AS (SELECT doc_id, log_id % 5 AS ph, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, log_id DESC) AS k FROM lg WHERE status = 'completed')
         SELECT doc_id, ['ocr', 'embeddings', 'split_detection', 'extraction', 'complete'][ph + 1] AS last_phase, ph >= 0 AS skip_ocr, ph >= 2 AS skip_splits FROM x WHERE k = 1""",
 }
+SUGGESTED = f"""{SEGMENTS}, {TEXTS}, sg AS (SELECT *, CASE segment_idx % 4 WHEN 0 THEN '2024-01-31_Report_Pages from ' || start_page WHEN 1 THEN 'UNDATED_x_document Document' END AS given FROM texts)"""
+ORACLE_SQL |= {
+    "q67_point_lookup": f"WITH {B7} SELECT doc_id, file_path, total_pages, size FROM b7 WHERE doc_id = '7'",
+    "q68_page_lookup": "SELECT md5(text) AS sum, CAST(coalesce(len(embedding), -1) AS INTEGER) AS dimension FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id = (SELECT min(doc_id) FROM documents)",
+    "q69_name_scan": """SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey * 7 % 100003) - 1 AS INTEGER) AS nth, CAST(o_orderkey * 7 % 100003 AS INTEGER) AS start_page, o_orderpriority AS suggested_name,
+        CASE WHEN o_orderkey = 7 THEN 'confirmed' ELSE 'pending' END AS status, CASE WHEN o_orderkey = 7 THEN 'Final name' END AS user_final_name FROM orders""",
+    "q70_candidates_by_page": f"{CANDIDATES} SELECT bundle_id AS doc_id, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY page_num) - 1 AS INTEGER) AS nth, page_num AS split_page, CASE WHEN page_num = 5 THEN 'modified' ELSE 'pending' END AS status, CASE WHEN page_num = 5 THEN 6 END AS user_modified_page FROM kept",
+    "q71_append_queue": f"{QUEUE} SELECT id, file_path, pages, size, status, 50 AS progress FROM q UNION ALL SELECT n + 10000000, '/more' || file_path, total_pages, size, 'pending', 0 FROM b7 WHERE n % 4 = 0",
+    "q72_results_by_name": f"{QUEUE}, r AS (SELECT file_path, bool_or(n % 6 = 0) AS failed FROM b7 WHERE n % 3 = 0 GROUP BY file_path) SELECT id, CASE WHEN failed THEN 'failed' WHEN NOT failed THEN 'complete' ELSE status END AS status FROM q LEFT JOIN r USING (file_path)",
+    "q73_document_status": f"WITH {B7} SELECT doc_id, CASE WHEN n % 3 = 0 THEN 'ocr_complete' ELSE 'ocr_pending' END AS processing_status, CASE WHEN n % 3 = 0 THEN '2025-01-01' ELSE strftime(uploaded_at, '%Y-%m-%d') END AS day FROM b7",
+    "q74_name_chain": f"{SUGGESTED} SELECT bundle_id, segment_idx, coalesce(given, {heuristic('first_text', 'segment_idx + 1')}) AS suggested_name, CASE WHEN given IS NULL THEN 'heuristic' ELSE 'model' END AS naming FROM sg",
+    "q76_quality_report": f"{DOCS} SELECT doc_id, printf('chars %d, words %d, printable %.2f, alphanumeric %.2f, confidence %.2f: ', total_chars, CAST(word_count AS INTEGER), CAST(printable_ratio AS DOUBLE), CAST(alphanumeric_ratio AS DOUBLE), CAST(conf AS DOUBLE)) || CASE WHEN conf >= 0.65 THEN 'VALID' ELSE 'INVALID' END AS report FROM m",
+    "q77_prompt_key": """SELECT p_partkey, 'llm_naming_' || md5('{"p0":"' || p_name || '","p1":"' || p_brand || '"}') AS key FROM part""",
+    "q78_machine": """WITH x AS (SELECT *, p_size % 5 AS ph, p_size / 50.0::DOUBLE AS share FROM part)
+        SELECT p_partkey, p_size % 2 = 0 AND p_size / 10 <= 4.5 AND p_size >= 15 AS hybrid,
+        CAST(CASE ph WHEN 0 THEN 5 + floor(share * 25) WHEN 1 THEN 30 + floor(share * 20) WHEN 2 THEN 50 + floor(share * 15) WHEN 3 THEN 80 + floor(share * 15) ELSE 100 END AS INTEGER) AS percent FROM x""",
+    "q79_latest_status": f"{EVENTS} SELECT key, arg_max(type, (ts, event_id)) AS status FROM ev GROUP BY key",
+    "q80_event_lines": """SELECT '{"type":"progress","data":"' || n_name || '"}' AS value FROM nation""",
+    "q81_forced_reasons": "SELECT doc_id, 'forced' AS forced, 'override' AS overridden, CAST(NULL AS VARCHAR) AS kept FROM documents",
+    "q82_input_validation": f"WITH {B7} SELECT doc_id, CASE n % 3 WHEN 0 THEN upper(file_path) ELSE file_path END AS path FROM b7 WHERE n % 3 < 2",
+}
 
 
 def _size(n: str) -> str:

@@ -46,13 +46,13 @@ def q02_page_number_reset(s, d):
 
 @query
 def q03_header_footer_change(s, d):
-    return D.detect(B.text_bundle(s, d), ("header_footer",))
+    return D.detect(B.measured_bundle(s, d, ("header_footer",)), ("header_footer",))
 
 
 @query
 def q04_blank_separator(s, d):
-    pages = B.text_bundle(s, d).select("bundle_id", "page_num", "text").union(B.chat_bundle(s, d))
-    return D.detect(pages, ("blank",))
+    pages = B.measured_bundle(s, d, ("blank",)).select("bundle_id", "page_num", "stripped")
+    return D.detect(pages.unionByName(D.narrow(B.chat_bundle(s, d), ("blank",))), ("blank",))
 
 
 @query
@@ -76,7 +76,7 @@ def q08_cluster_boundary(s, d):
 
 
 def _candidates(s, d):
-    text = D.detect(B.text_bundle(s, d), ("header_footer", "blank"))
+    text = D.detect(B.measured_bundle(s, d, ("header_footer", "blank")), ("header_footer", "blank"))
     return D.combine(text.unionByName(D.detect(B.vector_bundle(s, d), ("semantic",), low=0.0, mid=0.1)))
 
 
@@ -87,7 +87,7 @@ def q09_combine_signals(s, d):
 
 def _segments(s, d):
     totals = B.page_order(s, d).groupBy("bundle_id").agg(F.count("*").cast("int").alias("total"))
-    return S.segments(totals, S.accept(D.combine(D.detect(B.text_bundle(s, d)))))
+    return S.segments(totals, S.accept(D.combine(D.detect(B.measured_bundle(s, d)))))
 
 
 @query
@@ -109,17 +109,16 @@ def q12_heuristic_names(s, d):
 
 @query
 def q13_unique_names(s, d):
-    rows = B.text_bundle(s, d).select("bundle_id", c("page_num").alias("segment_idx"), F.substring(X.make_safe_filename(F.substring("text", 1, 3)), 1, 2).alias("suggested_name"))
-    return S.unique_names(rows)
+    k = c("page_num") % 4
+    name = F.when(k < 2, "a").when(k == 2, "a_1").otherwise(X.make_safe_filename(c("text")))
+    return S.unique_names(B.text_bundle(s, d).select("bundle_id", c("page_num").alias("segment_idx"), name.alias("suggested_name")))
 
 
 def _metrics(s, d):
-    m = Q.text_metrics(c("text"))
-    return B.table(s, d, "documents").select("doc_id", *(v.alias(k) for k, v in m.items()))
+    return Q.with_metrics(B.table(s, d, "documents").select("doc_id", "text")).select("doc_id", *Q.METRICS)
 
 
-def _m():
-    return {k: c(k) for k in Q.METRICS}
+_m = Q.measured
 
 
 @query
@@ -152,7 +151,7 @@ def q18_structure_sample(s, d):
     picks = n.select("bundle_id", "n", "k", F.explode(F.sequence(F.lit(0), (c("k") - 1).cast("int"))).alias("i")).select("bundle_id", "n", "k", F.floor(c("i") * c("n") / c("k")).cast("int").alias("page_num"))
     # Only sampled pages are measured.
     sampled = picks.join(pages, ["bundle_id", "page_num"]).join(B.table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    m = sampled.select("bundle_id", "n", "k", *(v.alias(k) for k, v in Q.text_metrics(c("text")).items())).withColumn("conf", Q.confidence(_m()))
+    m = Q.with_metrics(sampled.select("bundle_id", "n", "k", "text")).withColumn("conf", Q.confidence(_m()))
     m = m.withColumn("valid", Q.page_valid(_m(), c("conf")))
     out = m.groupBy("bundle_id", "n", "k").agg(F.count_if("valid").alias("valid_samples"), r6(F.sum("conf") / F.max("k")).alias("avg_confidence"))
     needs = c("valid_samples") < c("k") / 2
@@ -178,18 +177,15 @@ def q20_coverage_confidence(s, d):
 
 @query
 def q21_ocr_output_validity(s, d):
-    reason = X.page_invalid_reason(F.substring("text", 1, 400))
+    reason = X.page_invalid_reason(c("text"))
     return B.table(s, d, "conversations").select("conv_id", "turn", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
 @query
 def q22_replace_decision(s, d):
     base = B.table(s, d, "documents").select("doc_id", c("text").alias("original"), F.regexp_replace("text", "[aeiou]", "").alias("ocr"))
-
-    def conf(name: str):
-        return Q.confidence(Q.text_metrics(c(name), strip=False))
-
-    out = base.select("doc_id", "original", conf("original").alias("original_confidence"), conf("ocr").alias("ocr_confidence"))
+    first = Q.with_metrics(base, "original", strip=False).withColumn("original_confidence", Q.confidence(_m())).drop(*Q.METRICS)
+    out = Q.with_metrics(first, "ocr", strip=False).withColumn("ocr_confidence", Q.confidence(_m()))
     return out.select("doc_id", "original_confidence", "ocr_confidence", Q.replace_with_ocr(c("original"), c("original_confidence"), c("ocr_confidence")).alias("replace"))
 
 
@@ -246,7 +242,7 @@ def _responses(s, d):
     k = (c("conv_id") + c("turn")) % 5
     start = F.when(k == 0, "YES - ").when(k == 1, "no: ").when(k == 2, "  Yes: clear boundary, ").when(k == 3, "NO - maybe unclear ").otherwise("Perhaps ")
     rows = B.table(s, d, "conversations")
-    return rows.select("conv_id", "turn", F.concat(start, F.substring(F.coalesce("text", F.lit("")), 1, 40)).alias("response"), (c("turn") % 4 + 1).cast("int").alias("signal_count"))
+    return rows.select("conv_id", "turn", F.concat(start, F.coalesce("text", F.lit(""))).alias("response"), (c("turn") % 4 + 1).cast("int").alias("signal_count"))
 
 
 @query
@@ -269,7 +265,7 @@ def _names(s, d):
     k = c("conv_id") % 5
     head = F.when(k == 0, "2024-01-31_Invoice_").when(k == 1, "UNDATED_Letter_").when(k == 2, "  \"2023-1-5_Bad type_").when(k == 3, "2020-12-01_Report").otherwise("UNDATED_Form_x_")
     rows = B.table(s, d, "conversations").where("text is not null")
-    body = F.regexp_replace(F.substring("text", 1, 30), "[^a-zA-Z ]", "")
+    body = F.regexp_replace("text", "[^a-zA-Z ]", "")
     return rows.select("conv_id", "turn", F.concat(head, body, F.when(c("turn") % 2 == 0, ".PDF").otherwise("\"")).alias("response"))
 
 
@@ -322,14 +318,30 @@ def q38_cache_stats(s, d):
 def q39_completeness(s, d):
     pages = _stored_pages(s, d)
     documents = pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
-    return C.completeness(pages, documents, 0.5)
+    return C.completeness(pages, documents).join(C.completeness(pages, documents, 0.5).select("doc_id", c("enough").alias("half")), "doc_id")
+
+
+def _full_pages(s, d):
+    day = F.lit("2025-01-01").cast("timestamp")
+    return _stored_pages(s, d).select(
+        "doc_id", "page_num", "text", F.length("text").alias("text_length"), (c("n") % 3 == 0).alias("has_text_layer"), F.when(c("n") % 3 == 0, "text_layer").otherwise("ocr").alias("ocr_method"),
+        (c("n") % 100 / F.lit(100.0)).alias("ocr_confidence"), "text_embedding", F.concat(F.lit("f"), c("n").cast("string")).alias("features"), day.alias("processed_at"), "n",
+    )
 
 
 @query
 def q40_upsert_pages(s, d):
-    pages = _stored_pages(s, d)
-    new = pages.where("n % 2 = 0").withColumn("text", F.when(c("n") % 4 == 0, F.concat(F.lit("new "), "text")).otherwise(c("text"))).withColumn("page_num", F.when(c("n") % 10 == 0, c("page_num") + 1000000).otherwise(c("page_num")))
-    return C.upsert_pages(pages, new).select("doc_id", "page_num", "text_length", c("text_embedding").isNotNull().alias("embedded"))
+    pages = _full_pages(s, d)
+    page = F.when(c("n") % 10 == 0, c("page_num") + 1000000).otherwise(c("page_num"))
+    text = F.when(c("n") % 4 == 0, F.concat(F.lit("new "), "text")).otherwise(c("text"))
+
+    def written(rows, text, method, day):
+        return rows.select("doc_id", page.alias("page_num"), text.alias("text"), F.lit(True).alias("has_text_layer"), F.lit(method).alias("ocr_method"), F.lit(0.5).alias("ocr_confidence"), F.lit(day).cast("timestamp").alias("processed_at"))
+
+    # Every third of the pages written is written twice.
+    new = written(pages.where("n % 6 = 0"), F.concat(F.lit("again "), "text"), "again", "2025-01-03").union(written(pages.where("n % 2 = 0"), text, "new", "2025-01-02"))
+    out = C.upsert_pages(pages.drop("n"), new)
+    return out.select("doc_id", "page_num", "text_length", F.md5("text").alias("sum"), "has_text_layer", "ocr_method", "ocr_confidence", c("text_embedding").isNotNull().alias("embedded"), "features", F.date_format("processed_at", "yyyy-MM-dd").alias("day"))
 
 
 @query
@@ -371,7 +383,7 @@ def q45_status_counts(s, d):
 
 @query
 def q46_queue_sort(s, d):
-    return C.queue_order(_queue(s, d), "status", ascending=False).select("id", "status").limit(25)
+    return C.queue_order(_queue(s, d), "status", ascending=False).select("id", "status")
 
 
 @query
@@ -425,8 +437,9 @@ def q53_event_routing(s, d):
 
 @query
 def q54_progress_throttle(s, d):
-    rows = _events(s, d).where("type = 'progress'")
-    return rows.groupBy(F.window("ts", "3600 seconds").alias("w"), "key").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("key", "event_id")
+    clock = F.timestamp_millis(c("event_id") * 150 + c("event_id") % 7 * 130)
+    rows = B.table(s, d, "events").where("event_id % 4 = 0").select("event_id", clock.alias("ts"), F.floor(c("event_id") / 4 % 2).cast("string").alias("key"), (c("event_id") % 40 == 0).alias("force"))
+    return E.throttle(rows, 2.0, order="event_id", force="force").select("key", "event_id")
 
 
 @query
@@ -449,9 +462,8 @@ def q57_llm_stub(s, d):
 @query
 def q58_effective_text(s, d):
     pages = B.text_bundle(s, d)
-    m = Q.text_metrics(c("text"))
-    ocr = pages.where("page_num % 2 = 0").select("bundle_id", "page_num", F.concat(F.lit("OCR "), F.substring("text", 1, 50)).alias("text"))
-    out = M.effective_text(pages, ocr, Q.page_valid(m, Q.confidence(m)))
+    ocr = pages.where("page_num % 2 = 0").select("bundle_id", "page_num", F.concat(F.lit("OCR "), "text").alias("text"))
+    out = M.effective_text(Q.with_metrics(pages), ocr, Q.page_valid(_m(), Q.confidence(_m())))
     return out.select("bundle_id", "page_num", F.length("text").alias("chars"), F.md5("text").alias("sum"), "ocr_method")
 
 
@@ -502,4 +514,119 @@ def q66_resume(s, d):
     return last.select("doc_id", "last_phase", C.phase_done(c("last_phase"), "ocr").alias("skip_ocr"), C.phase_done(c("last_phase"), "split_detection").alias("skip_splits"))
 
 
+@query
+def q67_point_lookup(s, d):
+    return C.of_document(B.files(s, d), "7").select("doc_id", "file_path", "total_pages", "size")
+
+
+@query
+def q68_page_lookup(s, d):
+    pages = B.table(s, d, "documents").join(B.table(s, d, "embeddings").select(c("vec_id").alias("doc_id"), c("embedding").alias("text_embedding")), "doc_id", "left")
+    pages = pages.select(c("source").alias("doc_id"), c("doc_id").cast("int").alias("page_num"), "text", "text_embedding")
+    first = B.table(s, d, "documents").agg(F.min_by("source", "doc_id").alias("s"), F.min("doc_id").cast("int").alias("p")).first()
+    return C.page_of(pages, first["s"], first["p"]).select(F.md5("text").alias("sum"), F.coalesce(F.size("text_embedding"), F.lit(-1)).alias("dimension"))
+
+
+def _stored_names(s, d):
+    """Orders as names of page ranges: of a customer's document, in no order."""
+    o = B.table(s, d, "orders")
+    return o.select(c("o_orderkey").alias("name_id"), c("o_custkey").cast("string").alias("doc_id"), (c("o_orderkey") * 7 % 100003).cast("int").alias("start_page"), c("o_orderpriority").alias("suggested_name"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("user_final_name"))
+
+
+@query
+def q69_name_scan(s, d):
+    rows = C.confirm_name(_stored_names(s, d), 7, "Final name")
+    return C.in_document_order(rows, "start_page").select("doc_id", "nth", "start_page", "suggested_name", "status", "user_final_name")
+
+
+@query
+def q70_candidates_by_page(s, d):
+    now = F.lit("2025-01-01").cast("timestamp")
+    rows = C.set_status(C.candidate_rows(_candidates(s, d), now), "split_page", 5, "modified", now, page=6)
+    return C.in_document_order(rows, "split_page").select("doc_id", "nth", "split_page", "status", "user_modified_page")
+
+
+@query
+def q71_append_queue(s, d):
+    new = B.files(s, d).where("n % 4 = 0").select((c("n") + 10000000).alias("id"), F.concat(F.lit("/more"), "file_path").alias("file_path"), c("total_pages").alias("pages"), "size")
+    return C.append_queue(_queue(s, d).withColumn("progress", F.lit(50)), new).select("id", "file_path", "pages", "size", "status", "progress")
+
+
+@query
+def q72_results_by_name(s, d):
+    results = B.files(s, d).where("n % 3 = 0").select(F.concat(F.lit("C:\\out\\"), C.base_name(c("file_path"))).alias("file"), F.when(c("n") % 6 == 0, "failed").otherwise("complete").alias("status"))
+    return C.results_by_name(_queue(s, d), results).select("id", "status")
+
+
+@query
+def q73_document_status(s, d):
+    rows = B.files(s, d).select("doc_id", "n", F.lit("ocr_pending").alias("processing_status"), c("uploaded_at").alias("last_updated"))
+    changes = rows.where("n % 3 = 0").select("doc_id", F.lit("ocr_complete").alias("status"))
+    return C.set_document_status(rows, changes, F.lit("2025-01-01").cast("timestamp")).select("doc_id", "processing_status", F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def q74_name_chain(s, d):
+    """Answers parsed, mended, and with the heuristic name where they give the fallback only."""
+    segs = S.with_page_texts(_segments(s, d), B.text_bundle(s, d))
+    k = c("segment_idx") % 4
+    answer = F.when(k == 0, F.concat(F.lit("2024-01-31_Report_Pages from "), c("start_page").cast("string"))).when(k == 1, F.lit("\"bad Answer_x_y\"\nmore")).when(k == 2, F.lit("nothing of use")).otherwise(F.lit(""))
+    name = X.name_of_answer(answer, c("start_page"))
+    rows = segs.withColumn("given", F.when(name != X.fallback_name("document", c("start_page")), name))
+    return S.named(rows, suggested="given").select("bundle_id", "segment_idx", "suggested_name", "naming")
+
+
+@query
+def q75_name_model(s, d):
+    segs = S.with_page_texts(_segments(s, d), B.text_bundle(s, d))
+    return S.suggest_names(segs, "name_stub").select("bundle_id", "segment_idx", "suggested_name", "naming")
+
+
+@query
+def q76_quality_report(s, d):
+    return _metrics(s, d).select("doc_id", Q.quality_report(_m(), Q.confidence(_m())).alias("report"))
+
+
+@query
+def q77_prompt_key(s, d):
+    return B.table(s, d, "part").select("p_partkey", X.prompt_key("naming", c("p_name"), c("p_brand")).alias("key"))
+
+
+@query
+def q78_machine(s, d):
+    p = B.table(s, d, "part")
+    return p.select("p_partkey", H.hybrid_mode(c("p_size") % 2 == 0, c("p_size") / 10, c("p_size") * F.lit(1.0)).alias("hybrid"), C.phase_percent(F.get(F.array(*map(F.lit, C.PHASES)), c("p_size") % 5), c("p_size"), F.lit(50)).alias("percent"))
+
+
+@query
+def q79_latest_status(s, d):
+    return E.latest_status(_events(s, d), "key", F.struct("ts", "event_id"), "type").select("key", c("type").alias("status"))
+
+
+@query
+def q80_event_lines(s, d):
+    return E.to_lines(B.table(s, d, "nation").select(F.lit("progress").alias("type"), c("n_name").alias("data")))
+
+
+@query
+def q81_forced_reasons(s, d):
+    m = _metrics(s, d).withColumn("valid", Q.page_valid(_m(), Q.confidence(_m())))
+    reasons = {"forced": Q.needs_ocr_reason(_m(), c("valid"), force=True), "overridden": Q.needs_ocr_reason(_m(), c("valid"), override=True), "kept": Q.needs_ocr_reason(_m(), c("valid"), force=True, override=False)}
+    return m.select("doc_id", *(v.alias(k) for k, v in reasons.items()))
+
+
+@query
+def q82_input_validation(s, d):
+    path = F.when(c("n") % 3 == 0, F.upper("file_path")).when(c("n") % 3 == 1, c("file_path")).otherwise(F.concat("file_path", F.lit(".txt")))
+    from leafcut.sources.files import valid_inputs
+
+    return valid_inputs(B.files(s, d).select("doc_id", "n", path.alias("path"))).select("doc_id", "path")
+
+
+@query
+def q83_vision_stub(s, d):
+    v = M.apply_model(c("html").cast("binary"), "vision_stub", "array<float>")
+    return B.table(s, d, "pages").select("page_id", v.alias("v")).select("page_id", F.size("v").alias("dimension"), F.round(V.dot(c("v"), c("v")), 3).alias("norm"))
+
+
 __all__ = ["QUERIES"]

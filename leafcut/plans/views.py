@@ -16,6 +16,15 @@ def text_bundle(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("page_num", (F.row_number().over(Window.partitionBy("bundle_id").orderBy("doc_id")) - 1).cast("int"))
 
 
+def measured_bundle(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("number", "header_footer", "blank")) -> DataFrame:
+    """As ``text_bundle``, with what the detectors compare in place of texts, which are not shuffled."""
+    from leafcut.operators.detect import measures
+
+    docs = table(spark, d, "documents").select(F.col("source").alias("bundle_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("bundle_id", "doc_id", *measures(kinds))
+    return docs.withColumn("page_num", (F.row_number().over(Window.partitionBy("bundle_id").orderBy("doc_id")) - 1).cast("int"))
+
+
 def page_order(spark: SparkSession, d: str) -> DataFrame:
     """``bundle_id, doc_id, page_num`` without texts: the window sorts narrow rows, and texts join by ``doc_id`` where they are needed."""
     docs = table(spark, d, "documents").select(F.col("source").alias("bundle_id"), "doc_id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
 import zipfile
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +48,41 @@ def zip_files(paths: list[str], target: str) -> int:
     return len(there)
 
 
-@F.pandas_udf(T.BinaryType())
-def encode_vector(values: pd.Series) -> pd.Series:
-    """float32 values as little-endian bytes."""
-    return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+def valid_inputs(files: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose path ends like a PDF."""
+    return files.where(is_pdf(F.col(path)))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def decode_vector(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+def copy_files(paths: list[str], folder: str) -> int:
+    """Copies of the files that exist in an existing folder; returns how many."""
+    if not Path(folder).is_dir():
+        raise NotADirectoryError(folder)
+    there = [p for p in paths if Path(p).is_file()]
+    for p in there:
+        shutil.copyfile(p, Path(folder) / Path(p).name)
+    return len(there)
+
+
+@F.arrow_udf(T.BinaryType())
+def encode_vector(values: pa.Array) -> pa.Array:
+    """float32 values as little-endian bytes: the list's own buffer under other offsets."""
+    flat = values.cast(pa.list_(pa.float32()))
+    offsets = np.asarray(flat.offsets).astype(np.int64)
+    data = flat.values.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f4")
+    sizes = 4 * np.where(np.asarray(flat.is_valid()), np.diff(offsets), 0)
+    if not np.asarray(flat.is_valid()).all():
+        data = data[np.repeat(np.asarray(flat.is_valid()), np.diff(offsets))] if len(data) == offsets[-1] - offsets[0] else data
+    else:
+        data = data[offsets[0] : offsets[-1]]
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return pc.if_else(flat.is_valid(), out, pa.scalar(None, pa.binary()))
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def decode_vector(blobs: pa.Array) -> pa.Array:
+    raw = pc.fill_null(blobs.cast(pa.binary()), b"")
+    sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False) // 4
+    values = np.frombuffer(b"".join(raw.to_pylist()), "<f4")
+    out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+    return pc.if_else(blobs.is_valid(), out, pa.scalar(None, pa.list_(pa.float32())))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 ROUTED = ["progress", "result", "error"]
 EVENT = "type string, data string, ts timestamp, key string"
@@ -26,10 +31,48 @@ def route(events: DataFrame) -> DataFrame:
     return events.where(F.col("type").isin(ROUTED)).withColumn("channel", F.concat(F.lit("python_"), "type"))
 
 
-def throttle(events: DataFrame, seconds: float = 2.0, ts: str = "ts", key: str = "key", lateness: str = "10 seconds") -> DataFrame:
-    """The last event of each key in each window of ``seconds``: at most one goes on per window. For batches and streams."""
-    stamped = events.withWatermark(ts, lateness) if events.isStreaming else events
-    return stamped.groupBy(F.window(ts, f"{int(seconds * 1000)} milliseconds"), key).agg(F.max_by(F.struct(*events.columns), ts).alias("e")).select("e.*")
+def _spaced(ms: np.ndarray, step: int, last: int | None) -> tuple[np.ndarray, int | None]:
+    """Which of some sorted times go on: those at least ``step`` after the one that went on before."""
+    out = np.zeros(len(ms), bool)
+    k = 0 if last is None else int(np.searchsorted(ms, last + step))
+    while k < len(ms):
+        out[k], last = True, int(ms[k])
+        k = int(np.searchsorted(ms, last + step))
+    return out, last
+
+
+def throttle(events: DataFrame, seconds: float = 2.0, ts: str = "ts", key: str = "key", order: str | None = None, force: str | None = None) -> DataFrame:
+    """Of each key the first event, then each that comes ``seconds`` or more after the last one that went on. Rows whose
+    column ``force`` is true go on in any case and do not count as the last. For batches and streams.
+
+    An event so long after the one before it goes on whatever was before: a batch is cut there, so that no key's events
+    have to be in one task. ``order`` tells apart events of one time. In a stream, the last time is kept per key;
+    events that arrive behind it do not go on. Null times do not go on.
+    """
+    step, columns = int(seconds * 1000), events.columns
+    free = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
+    bound = events.where(~free & F.col(ts).isNotNull()).withColumn("_ms", F.unix_millis(ts))
+    if events.isStreaming:
+
+        def keep(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(parts).sort_values(["_ms", *([order] if order else [])], kind="stable")
+            went, last = _spaced(pdf["_ms"].to_numpy(), step, state.get[0] if state.exists else None)
+            if last is not None:
+                state.update((last,))
+            yield pdf.loc[went, columns]
+
+        through = bound.groupBy(key).applyInPandasWithState(keep, events.schema, "last long", "append", "NoTimeout")
+    else:
+        w = Window.partitionBy(key).orderBy("_ms", *([order] if order else []))
+        cut = F.coalesce((F.col("_ms") - F.lag("_ms").over(w) >= step).cast("int"), F.lit(1))
+        parts = bound.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+        def some(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["_ms", *([order] if order else [])], kind="stable")
+            return pdf.loc[_spaced(pdf["_ms"].to_numpy(), step, None)[0], columns]
+
+        through = parts.groupBy(key, "_part").applyInPandas(some, events.schema)
+    return through.unionByName(events.where(free)) if force else through
 
 
 def latest_status(events: DataFrame, key: str, order: Column, status: str = "status") -> DataFrame:

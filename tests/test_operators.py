@@ -142,7 +142,7 @@ def test_segments_and_names(spark):
     totals = p.groupBy("bundle_id").agg(F.count("*").cast("int").alias("total"))
     accepted = spark.createDataFrame([("b", 2, 0.9), ("b", 0, 0.9), ("b", 9, 0.9)], "bundle_id string, page_num int, confidence double")
     segs = S.segments(totals, accepted)
-    out = S.unique_names_exact(S.named(S.with_page_texts(segs, p))).orderBy("segment_idx").collect()
+    out = S.unique_names(S.named(S.with_page_texts(segs, p))).orderBy("segment_idx").collect()
     assert [(r.start_page, r.end_page, r.page_count) for r in out] == [(0, 1, 2), (2, 3, 2)]
     assert [r.output_filename for r in out] == ["Contract_between_A_and_B_1.pdf", "Contract_between_A_and_B_1_1.pdf"]
 
@@ -204,10 +204,26 @@ def test_event_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.type for r in spark.table("routed").collect()) == ["error", "progress", "progress", "progress"]
-    q = E.throttle(E.event_stream(spark, str(tmp_path / "in")).where("type = 'progress'")).writeStream.outputMode("complete").format("memory").queryName("throttled").start()
+    q = E.throttle(E.event_stream(spark, str(tmp_path / "in")).where("type = 'progress'")).writeStream.outputMode("append").format("memory").queryName("throttled").start()
+    q.processAllAvailable()
+    (tmp_path / "in/b.json").write_text("".join(f'{{"type": "progress", "data": "{n}", "ts": "2025-01-01T00:01:0{n}Z", "key": "k"}}\n' for n in (1, 2, 3)))
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.data for r in spark.table("throttled").collect()) == ["2", "3"]
+    assert sorted(r.data for r in spark.table("throttled").collect()) == ["1", "2", "3"]  # 0:00, 1:00, 1:02
+
+
+def test_throttle(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "ab"[k % 2], datetime.datetime(2025, 1, 1) + datetime.timedelta(milliseconds=int(ms)), bool(rng.random() < 0.05)) for k, ms in enumerate(np.cumsum(rng.integers(0, 1500, 300)))]
+    want, last = {r[0] for r in rows if r[3]}, {}
+    for k, key, ts, force in rows:
+        if not force and (key not in last or ts - last[key] >= datetime.timedelta(seconds=2)):
+            want.add(k)
+            last[key] = ts
+    df = spark.createDataFrame([*rows, (999, "a", None, False)], "id long, key string, ts timestamp, force boolean")
+    assert {r.id for r in E.throttle(df, 2.0, order="id", force="force").collect()} == want
+    close = spark.createDataFrame([(1, "a", datetime.datetime(2025, 1, 1, 0, 0, 1, 950000)), (2, "a", datetime.datetime(2025, 1, 1, 0, 0, 2, 50000))], "id long, key string, ts timestamp")
+    assert [r.id for r in E.throttle(close).collect()] == [1] and E.throttle(close.limit(0)).count() == 0
 
 
 def test_files(spark, tmp_path):
@@ -216,3 +232,123 @@ def test_files(spark, tmp_path):
     assert [r.text for r in SF.text_pages(spark, str(tmp_path / "d")).orderBy("page_num").collect()] == ["one", "two"]
     assert SF.file_metadata(spark, str(tmp_path / "d")).first().size == 7
     assert SF.zip_files([str(tmp_path / "d/a.txt"), "/nowhere"], str(tmp_path / "z.zip")) == 1
+    (tmp_path / "out").mkdir()
+    assert SF.copy_files([str(tmp_path / "d/a.txt"), "/nowhere"], str(tmp_path / "out")) == 1 and (tmp_path / "out/a.txt").read_text() == "one\ftwo"
+    with pytest.raises(NotADirectoryError):
+        SF.copy_files([], "/nowhere")
+    (tmp_path / "d/b.png").write_bytes(b"\x89PNG")
+    assert [bytes(r.content) for r in SF.images(spark, str(tmp_path / "d")).collect()] == [b"\x89PNG"]
+
+
+def test_segment_files(spark, tmp_path):
+    p = pages(spark, ["a", "b", "c"])
+    segs = spark.createDataFrame([("b", 0, 0, 1), ("b", 1, 2, 2)], "bundle_id string, segment_idx int, start_page int, end_page int")
+    SF.write_segments(S.page_ranges(segs, p), str(tmp_path / "s"))
+    assert sorted((r.segment_idx, r.text) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [(0, "a"), (0, "b"), (1, "c")]
+
+
+def test_vector_codec_of_nulls(spark):
+    rows = [([1.5, -2.0],), (None,), ([],), ([0.25],)]
+    df = spark.createDataFrame(rows, "v array<float>").coalesce(1).select(SF.encode_vector(F.col("v")).alias("b")).select("b", SF.decode_vector(F.col("b")).alias("w"))
+    got = df.collect()
+    assert [r.w for r in got] == [r[0] for r in rows] and bytes(got[0].b) == np.array([1.5, -2.0], "<f4").tobytes() and got[1].b is None
+
+
+def test_unique_names(spark):
+    rng = np.random.default_rng(7)
+    names = [["a", "a_1", "a_1_1", "a_2", "b", "document_0001", "_1", ""][k] for k in rng.integers(0, 8, 120)]
+    rows = [("ab"[k % 2], k, n) for k, n in enumerate(names)] + [("c", k, n) for k, n in enumerate(["a", "a", "a_1"])]
+    there = [("a", "a.pdf"), ("a", "b_1.pdf"), ("d", "a.pdf")]
+    df = spark.createDataFrame(rows, "bundle_id string, segment_idx int, suggested_name string")
+    for existing in (None, there):
+        files = existing and spark.createDataFrame(existing, "bundle_id string, output_filename string")
+        taken, want = {f for f in existing or ()}, {}
+        for b, k, n in rows:
+            own, i = f"{n}.pdf", 0
+            while (b, own) in taken:
+                i += 1
+                own = f"{n}_{i}.pdf"
+            taken.add((b, own))
+            want[b, k] = own
+        got = {(r.bundle_id, r.segment_idx): r.output_filename for r in S.unique_names(df, existing=files).collect()}
+        assert got == want
+    assert want["c", 2] == "a_1_1.pdf"
+
+
+def test_upsert_keeps_the_table_whole(spark):
+    schema = "doc_id string, page_num int, text string, text_length int, has_text_layer boolean, ocr_method string, ocr_confidence double, text_embedding array<float>, features string, processed_at timestamp"
+    day = [datetime.datetime(2025, 1, k) for k in (1, 2, 3)]
+    old = spark.createDataFrame([("d", 0, "t", 1, True, "text_layer", 0.9, [1.0], "f", day[0]), ("d", 1, "u", 1, False, "ocr", 0.1, [2.0], "g", day[0]), ("d", 2, "v", 1, False, "ocr", 0.2, [3.0], "h", day[0])], schema)
+    new = spark.createDataFrame([("d", 1, "x", "m", day[2]), ("d", 1, "u", "n", day[1]), ("d", 2, "v", "o", day[1]), ("e", 0, None, "p", day[1])], "doc_id string, page_num int, text string, ocr_method string, processed_at timestamp")
+    out = C.upsert_pages(old, new)
+    assert out.columns == old.columns
+    got = {(r.doc_id, r.page_num): tuple(r)[2:] for r in out.collect()}
+    assert got == {
+        ("d", 0): ("t", 1, True, "text_layer", 0.9, [1.0], "f", day[0]),
+        ("d", 1): ("x", 1, None, "m", None, None, None, day[2]),
+        ("d", 2): ("v", 1, None, "o", None, [3.0], None, day[1]),
+        ("e", 0): (None, None, None, "p", None, None, None, day[1]),
+    }
+
+
+def test_catalog_rows(spark, tmp_path):
+    cat = C.Catalog(spark, str(tmp_path / "cat"))
+    cat.append("processing_log", spark.createDataFrame([(1, "d", "ocr", "completed")], "log_id bigint, doc_id string, phase string, status string"))
+    cat.append("split_results", spark.createDataFrame([(1, "d", "a.pdf", 0, 3)], "result_id bigint, doc_id string, output_filename string, start_page int, end_page int"))
+    assert cat.table("processing_log").first().phase == "ocr" and C.of_document(cat.table("split_results"), "d").first().end_page == 3
+    cat.append("document_names", spark.createDataFrame([(k, "d", 9 - k, "n") for k in range(3)], "name_id bigint, doc_id string, start_page int, suggested_name string"))
+    assert [r.start_page for r in C.of_document(cat.table("document_names"), "d", "start_page").collect()] == [7, 8, 9]
+    assert C.page_of(cat.table("pages"), "d", 0).count() == 0
+    none, n = C.clear(cat.table("document_names"))
+    cat.replace("document_names", none)
+    assert n == 3 and cat.table("document_names").count() == 0
+    queue = C.append_queue(spark.createDataFrame([("1", "/x/a.pdf", "complete", 100)], "id string, file_path string, status string, progress int"), spark.createDataFrame([("/x/b.pdf",)], "file_path string"))
+    assert sorted((r.file_path, r.status, r.progress, r.id is not None) for r in queue.collect()) == [("/x/a.pdf", "complete", 100, True), ("/x/b.pdf", "pending", 0, True)]
+
+
+def test_settings_change(tmp_path):
+    path = str(tmp_path / "s.json")
+    H.Settings.load(path).updated(path, model="phi3_mini", unknown=1)
+    assert H.Settings.load(path).model == "phi3_mini"
+    H.Settings.reset(path)
+    assert H.Settings.load(path) == H.Settings()
+
+
+def test_model_in_batches(spark):
+    seen = []
+
+    def model():
+        def run(items):
+            seen.append(len(items))
+            if len(items) > 6:
+                raise MemoryError
+            return [x * 2 for x in items]
+
+        return run
+
+    assert M.in_batches(model, 16)()(list(range(40))) == [2 * k for k in range(40)] and max(seen) == 16 and min(seen) >= 1
+    with pytest.raises(MemoryError):
+        M.in_batches(lambda: lambda items: (_ for _ in ()).throw(MemoryError), 4)()([1])
+
+    def broken():
+        raise OSError("no model here")
+
+    got = spark.createDataFrame([("a b",)], "t string").select(M.apply_model(F.col("t"), broken, "array<float>", fallback="embed_stub").alias("v")).first()
+    assert len(got.v) == 64
+
+
+def test_own_detector_and_thresholds(spark):
+    own = lambda p: p.where("page_num = 1").select("bundle_id", "page_num", F.lit(0.9).alias("confidence"), F.lit("own").alias("reason"), F.lit(9).alias("det_ord"))
+    df = embedded(spark, [[1.0, 0.0]] * 3).withColumn("text", F.lit("x"))
+    assert "own" in D.combine(D.detect_all(df, extra=(own,))).first().signals
+    m = Q.with_metrics(spark.createDataFrame([("It is what we have here and that is all of it.",)], "text string"))
+    strict, loose = m.select(Q.page_valid(Q.measured(), F.lit(0.9)).alias("a"), Q.page_valid(Q.measured(), F.lit(0.9), t=Q.Thresholds(min_chars=10, min_density=0)).alias("b")).first()
+    assert not strict and loose
+
+
+def test_metrics_once_or_twice(spark):
+    texts = [" The Cat\u00e9 sat_on the  mat. \u00a0", "\u200bx\x00", "", None, "A1 b2! c\u0301d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for strip in (True, False):
+        a = rows.select(*(v.alias(k) for k, v in Q.text_metrics(F.col("text"), strip=strip).items())).collect()
+        assert a == Q.with_metrics(rows, strip=strip).select(*Q.METRICS).collect()

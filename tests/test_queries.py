@@ -23,6 +23,14 @@ def test_entry_reads_without_llm(spark):
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
 
 
-def test_segments_shuffle_no_text(spark, sf):
-    plan = QUERIES["q10_segments"](spark, sf)._jdf.queryExecution().toString()
+@pytest.mark.parametrize("name", ["q03_header_footer_change", "q04_blank_separator", "q10_segments"])
+def test_segments_shuffle_no_text(spark, sf, name):
+    """What goes into an exchange: measures of texts, not texts."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "CartesianProduct" not in plan
+    lines = plan.splitlines()
+    below = [lines[k + 1] for k, line in enumerate(lines) if "Exchange hashpartitioning(bundle_id" in line]
+    assert below
+    for line in below:  # the columns that come out of what is exchanged
+        outs = [x.split(" AS ")[-1] for x in line.split("[", 1)[-1].rstrip("]").split(", ")]
+        assert not any(x.startswith("text#") for x in outs), line
