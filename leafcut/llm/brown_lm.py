@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, text_bytes
+from leafcut.llm.shared import Scratch, each_text, text_bytes
 
 END = b"\n"  # no word has white space
 FLUSH = 500_000
@@ -63,7 +63,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     for b in batches:
-        for t in b.column(0).to_pylist():
+        for t in each_text(b.column(0)):
             counts.update(t.lower().split())
             counts[END] += 1
             if len(counts) > FLUSH:
@@ -153,7 +153,7 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
             return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], ["a", "b", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in each_text(b.column(0)):
                 at = np.r_[0, _slots(t.lower().split(), numbers, rare), 0]
                 held.append(at[:-1] * size + at[1:])
                 rows += len(at)
@@ -218,7 +218,7 @@ def _code(docs: DataFrame, train: Column, words: list[bytes], word_count: np.nda
         for b in batches:
             kind = (b.schema.field(0).type, pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
             rows, held, first = [], 0, 0
-            for k, t in enumerate(b.column(1).to_pylist()):
+            for k, t in enumerate(each_text(b.column(1))):
                 own = t.lower().split()
                 slot = np.r_[_slots(own, numbers, rare), 0]
                 order: dict[bytes, int] = {}

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.rule_ensemble import labelled_sample
-from leafcut.llm.shared import Scratch, partitions, text_bytes
+from leafcut.llm.shared import Scratch, each_text, partitions, text_bytes
 
 SAMPLE_ROWS = 12_000
 FEATURES = 256
 PREFIXES = (3, 4, 5, 6, 7, 8)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 STRENGTH = 5.0  # standard deviations
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 
@@ -44,7 +44,7 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def scores(self, texts: list[bytes]) -> list[tuple[float, float, int]]:
+    def scores(self, texts: Iterable[bytes]) -> list[tuple[float, float, int]]:
         """P(grade >= 1), expected severity and most likely grade of each text."""
         number = {f: k for k, f in enumerate(self.features)}
         seen: dict[bytes, tuple[int, ...] | None] = self.__dict__.setdefault("_seen", {})
@@ -115,7 +115,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
             return pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64()), pa.array([tox[f] for f in df], pa.int64())], ["feature", "df", "tox"])
 
         for b in batches:
-            for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for label, t in zip(b.column(0).to_pylist(), each_text(b.column(1)), strict=True):
                 words = set(t.translate(_FOLD).split())
                 for w in [w for w in words if w not in seen]:
                     seen[w] = features_of(w)
@@ -143,7 +143,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, hits, seen = [], [], {}
-            for t in b.column(1).to_pylist():
+            for t in each_text(b.column(1)):
                 count, found = Counter(t.translate(_FOLD).split()), Counter()
                 for w in [w for w in count if w not in seen]:
                     seen[w] = [at[f] for f in features_of(w) if f in at]
@@ -181,7 +181,7 @@ def toxicity_scores(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = model.scores(b.column(1).to_pylist())
+            got = model.scores(each_text(b.column(1)))
             p, severity, grade = (list(c) for c in zip(*got, strict=True)) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array([x >= threshold for x in p], pa.bool_())], ["id", "p_toxic", "expected_severity", "grade", "toxic"])
 
@@ -194,6 +194,6 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([p < threshold for p, *_ in model.scores([(t or "").encode() for t in b.column(k).to_pylist()])], pa.bool_()))
+            yield b.filter(pa.array([p < threshold for p, *_ in model.scores(each_text(b.column(k)))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -101,9 +101,9 @@ def _scan(window: int, gram: int):
             return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (sure, key, doc, spot, sub, notice)), pa.array(np.repeat(doc[start], size), mask=~sure)], names)
 
         for b in batches:
-            docs, subs, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            for x, y in slices(texts):
-                words = [t.split() for t in texts[x:y]]
+            docs, subs = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for x, y, texts in slices(b.column(2)):
+                words = [t.split() for t in texts]
                 n = np.fromiter(map(len, words), np.int64, y - x)
                 ends = np.cumsum(n)
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w) for own in words for w in own), np.uint64, int(ends[-1]))

@@ -8,6 +8,9 @@ import time
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +79,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about a MB together."""
-    a = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size > most:
-            yield a, k + 1
-            a, size = k + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of a column's texts (strings or bytes; null: empty) of about a MB together, as bytes: a whole batch of them
+    need not become Python objects at once."""
+    raw = texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts
+    part = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=False):
+        yield a, z, [t or b"" for t in raw.slice(a, z - a).to_pylist()]
+
+
+def each_text(texts: pa.Array) -> Iterator[bytes]:
+    for _, _, some in slices(texts):
+        yield from some

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.components import connected_components
-from leafcut.llm.shared import Scratch, free_name, text_bytes
+from leafcut.llm.shared import Scratch, each_text, free_name, text_bytes
 
 HOT = 4096
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.lower().split(), shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t.lower().split(), shingle) for t in each_text(b.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(run, "id long, fp long")

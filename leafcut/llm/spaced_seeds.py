@@ -193,9 +193,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, ide
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Block(shared.value, min_words, identity)
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for x, y in slices(texts):
-                    rows = [(i, *r) for i, found in zip(ids[x:y], index.search(texts[x:y]), strict=True) for r in _one_each(found)]
+                ids = b.column(0).to_pylist()
+                for x, y, texts in slices(b.column(1)):
+                    rows = [(i, *r) for i, found in zip(ids[x:y], index.search(texts), strict=True) for r in _one_each(found)]
                     types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "item_id", "n_words", "n_equal", "doc_start", "item_start"])
 
@@ -228,8 +228,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Block(shared.value, min_words, identity)
             for b in batches:
-                texts = [(t or "").encode() for t in b.column(k).to_pylist()]
-                clean = [not found for x, y in slices(texts) for found in index.search(texts[x:y])]
+                clean = [not found for _, _, texts in slices(b.column(k)) for found in index.search(texts)]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

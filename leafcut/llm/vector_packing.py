@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from leafcut.llm.shared import Scratch, partitions, slices, text_bytes
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 150_000  # in each of two generations
 _SINGLE = re.compile("[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+")
 _PUNCTUATION = b".,!?;:#$%&*|()-"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -91,14 +91,15 @@ def pack_histogram(counts: dict[int, int], tokens: int = 4096, documents: int |
 
 
 class _Words:
-    """Ids of words as little-endian unsigned 32-bit numbers, kept for words seen before."""
+    """Ids of words as little-endian unsigned 32-bit numbers, kept for words seen lately: when the cache is full it becomes
+    the old one, from which words come back when they are met again."""
 
     def __init__(self, path: str):
         import json
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
         with open(path, encoding="utf-8") as f:
             end = json.load(f)["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
@@ -108,10 +109,13 @@ class _Words:
         self.marked = bool(end)
 
     def learn(self, words: set[bytes]) -> None:
-        known, ends_in, todo = self.known, {}, set()
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        known, old, ends_in, todo = self.known, self.old, {}, set()
         for w in words:
+            if w in old:
+                known[w] = old[w]
+                continue
             # Punctuation after a letter or digit is a token of its own.
             core = w.rstrip(_PUNCTUATION)
             if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
@@ -121,7 +125,9 @@ class _Words:
                 todo.add(w)
         plain, rest = [], []
         for w in todo:
-            if w not in known:
+            if w in old:
+                known[w] = old[w]
+            elif w not in known:
                 t = w.decode()
                 (plain if self.marked and _SINGLE.fullmatch(t) else rest).append((w, t))
         for k in range(0, len(plain), 1024):
@@ -180,9 +186,9 @@ def tokenized_pieces(docs: DataFrame, path: str, tokens: int = 4096, end_id: int
         last = np.array([end_id], "<u4").tobytes()
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, z in slices(texts):
-                for i, ids in zip(docs[a:z], _encode(texts[a:z], path), strict=True):
+            docs = b.column(0).to_pylist()
+            for a, z, texts in slices(b.column(1)):
+                for i, ids in zip(docs[a:z], _encode(texts, path), strict=True):
                     ids += last
                     for k, at in enumerate(range(0, len(ids), 4 * tokens)):
                         part = ids[at : at + 4 * tokens]
