@@ -1,13 +1,13 @@
 """A Brown class-based bigram model: exchange clustering, and scoring of every text with smoothed probabilities.
 
 Words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and one end per text are counted over all training texts. Every word
-gets a class by exchange. Words with at least ``word_share`` of all tokens (so at most 1 / word_share) go first: starting
+gets a class by exchange. Words with at least ``item_share`` of all tokens (so at most 1 / item_share) go first: starting
 from an assignment by frequency, rounds count for each of them the classes before and after it over the whole corpus, and
 move it to the class that most raises the likelihood of the class bigrams. Rounds are Spark jobs over the table of word
 pairs; buckets of words are exchanged in parallel, half of the buckets in a round, the most frequent words in one bucket.
 All rarer words stand together in a class meanwhile. Then each of them moves to the class that most raises the likelihood
-given its own neighbours' classes (to first order, for its count is small beside the classes'), and the class bigrams are
-counted again.
+given its own neighbours' classes (to first order, for its count is small beside the classes'): those with at least
+``word_share`` by the table of pairs, the others by their places in the texts. The class bigrams are then counted again.
 
     P(word | before) = P(class | class before) P(word | class)
 
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, each_text, text_bytes
+from leafcut.llm.shared import Scratch, each_text, slices, text_bytes
 
 END = b"\n"  # no word has white space
-FLUSH = 500_000
-PAIRS_AT_ONCE = 2_000_000
+FLUSH = 300_000
+PAIRS_AT_ONCE = 1_000_000
 BUCKETS, TOP = 16, 256
 RARE, ONCE, UNSEEN = 255, 128, 127  # marks in a text's classes: joined later; the word occurs once; never seen
 
@@ -127,7 +127,7 @@ def exchange(classes: np.ndarray, bigrams: np.ndarray, items: np.ndarray, left:
     return np.array(out, np.int64)
 
 
-def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 48, rounds: int = 8, word_share: float = 2e-6, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> BrownModel:
+def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 48, rounds: int = 8, item_share: float = 2e-5, word_share: float = 2e-6, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> BrownModel:
     """Learn from the rows of ``docs`` where ``train`` is true; the model holds all rows' classes, with ``extra`` columns."""
     spark = docs.sparkSession
     if not 2 < classes < UNSEEN:
@@ -164,21 +164,29 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
             yield out()
 
     pairs = scratch.keep(texts.mapInArrow(pairs_of, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-
-    cls = np.zeros(size, np.int64)
-    cls[1:rare] = 1 + np.arange(rare - 1) % (classes - 2)
-    cls[rare] = classes - 1
-    bucket = np.where(np.arange(size) <= TOP, 0, 1 + np.arange(size) % (BUCKETS - 1))
-    bucket[[0, rare]] = -1  # neither the end nor the rare words move here
+    # Words come by frequency, so the items are the first; all others count as one item here.
+    items = max(1, int((word_count >= item_share * total).sum()), 1 + int((word_count[1:] >= item_share * total).sum()))
+    few = scratch.keep(_merged(pairs, items)) if items < rare else pairs
+
+    cls = np.zeros(items + 1, np.int64)
+    cls[1:items] = 1 + np.arange(items - 1) % (classes - 2)
+    cls[items] = classes - 1
+    bucket = np.where(np.arange(items + 1) <= TOP, 0, 1 + np.arange(items + 1) % (BUCKETS - 1))
+    bucket[[0, items]] = -1  # neither the end nor the rarer words move here
     best, objective = (cls, -np.inf, None), []
     for k in range(rounds + 1):
-        bigrams = _class_bigrams(pairs, cls, classes)
+        bigrams = _class_bigrams(few, cls, classes)
         objective.append(likelihood(bigrams))
         if objective[-1] > best[1]:
             best = (cls, objective[-1], bigrams)
         if k < rounds and total:
-            cls = _round(pairs, cls, bigrams, bucket, k % 2, classes)
-    cls, _, bigrams = best
+            cls = _round(few, cls, bigrams, bucket, k % 2, classes)
+    top, _, bigrams = best
+    cls = np.full(size, classes - 1)
+    cls[:items] = top[:items]
+    if items < rare:
+        cls = _assign_pairs(pairs, cls, bigrams, items, rare)
+        scratch.drop(few)
     scratch.drop(pairs, counts)
 
     coded = scratch.keep(_code(docs, train, words, word_count, cls, id_col, text_col, extra or {}))
@@ -193,6 +201,78 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
     return BrownModel(int(total), int(distinct), words, word_count, cls[:rare], rare_words, class_tokens, classes, resolved, transition, objective)
 
 
+def _gather(pairs: DataFrame, keys, schema: str) -> DataFrame:
+    """``keys(a, b, n)`` of the pairs, many rows at a time, summed before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def out() -> pa.RecordBatch:
+            key, n = keys(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            key, at = np.unique(key, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, weights=n, minlength=len(key)).astype(np.int64))], ["k", "n"])
+
+        for b in batches:
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+            rows += b.num_rows
+            if rows > PAIRS_AT_ONCE // 2:
+                yield out()
+                held, rows = [], 0
+        if held:
+            yield out()
+
+    return pairs.mapInArrow(run, schema).groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _merged(pairs: DataFrame, items: int) -> DataFrame:
+    """The pairs with all words from number ``items`` on as one."""
+    size = items + 1
+    one = _gather(pairs, lambda a, b, n: (np.minimum(a, items) * size + np.minimum(b, items), n), "k long, n long")
+    return one.select(F.floor(F.col("k") / size).alias("a"), (F.col("k") % size).alias("b"), "n")
+
+
+def _assign_pairs(pairs: DataFrame, cls: np.ndarray, bigrams: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Classes with those of the words ``first`` to ``end`` assigned by their neighbours' classes."""
+    shared = pairs.sparkSession.sparkContext.broadcast(cls)
+    classes = len(bigrams)
+    width = 2 * classes
+    gain = _gains(bigrams)
+
+    def keys(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = shared.value
+        left, right = (b >= first) & (b < end), (a >= first) & (a < end)
+        return np.r_[b[left] * width + of[a[left]], a[right] * width + classes + of[b[right]]], np.r_[n[left], n[right]]
+
+    def move(table: pa.Table) -> pa.Table:
+        key, n = table.column("k").to_numpy(), table.column("n").to_numpy()
+        items, at = np.unique(key // width, return_inverse=True)
+        around = np.zeros((len(items), width))
+        around[at, key % width] = n
+        return pa.table({"item": items, "cls": np.argmax(gain(around), 1)})
+
+    out = cls.copy()
+    summed = _gather(pairs, keys, "k long, n long").withColumn("bucket", F.floor(F.col("k") / width) % 64)
+    for r in summed.groupBy("bucket").applyInArrow(move, "item long, cls long").collect():  # a row for each frequent word
+        out[r["item"]] = r["cls"]
+    return out
+
+
+def _gains(bigrams: np.ndarray):
+    """What words would add to the likelihood of the class bigrams in each class, from the numbers of their neighbours'
+    classes: columns of those before, then of those after."""
+    n = len(bigrams)
+    up = _f(bigrams + 1) - _f(bigrams)
+    before, after = bigrams.sum(1), bigrams.sum(0)
+    one = (_f(before + 1) - _f(before)) + (_f(after + 1) - _f(after))
+
+    def gain(around: np.ndarray) -> np.ndarray:
+        out = around[:, :n] @ up + around[:, n:] @ up.T - around[:, :n].sum(1)[:, None] * one
+        out[:, 0] = -np.inf
+        return out
+
+    return gain
+
+
 def _transition(bigrams: np.ndarray) -> np.ndarray:
     """Class bigrams interpolated with the classes' shares, as log10; rows sum to one."""
     n = len(bigrams)
@@ -225,7 +305,7 @@ def _code(docs: DataFrame, train: Column, words: list[bytes], word_count: np.nda
                 at = [order.setdefault(own[x], len(order)) for x in np.flatnonzero(slot == rare).tolist()]
                 rows.append((code[slot].tobytes(), int(known[slot].sum()), float(plus[slot].sum()), float(log[slot].sum()), list(order), np.array(at, np.int32).tobytes()))
                 held += len(own)
-                if held > 500_000:
+                if held > 200_000:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind[1:], strict=True))], names)
                     rows, held, first = [], 0, k + 1
             if rows:
@@ -274,21 +354,14 @@ def _contexts(classes: int):
 
 
 def _assign(bigrams: np.ndarray):
-    """Counts and classes of rare words, of a partition sorted by word. A word's gain in a class: what its neighbours'
-    classes add to the likelihood of the class bigrams there."""
-    up = _f(bigrams + 1) - _f(bigrams)
-    before, after = bigrams.sum(1), bigrams.sum(0)
-    one = (_f(before + 1) - _f(before)) + (_f(after + 1) - _f(after))
-    n = len(bigrams)
+    """Counts and classes of rare words, of a partition sorted by word."""
+    n, gains = len(bigrams), _gains(bigrams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, carried = None, np.zeros((1, 2 * n))
 
         def out(words: list[bytes], around: np.ndarray) -> pa.RecordBatch:
-            times = around[:, :n].sum(1)
-            gain = around[:, :n] @ up + around[:, n:] @ up.T - times[:, None] * one
-            gain[:, 0] = -np.inf
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times.astype(np.int64)), pa.array(np.argmax(gain, 1).astype(np.int32))], ["word", "n", "cls"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(around[:, :n].sum(1).astype(np.int64)), pa.array(np.argmax(gains(around), 1).astype(np.int32))], ["word", "n", "cls"])
 
         for b in batches:
             for k in range(0, b.num_rows, 20_000):
@@ -318,32 +391,32 @@ def _assign(bigrams: np.ndarray):
 
 def _resolve(coded: DataFrame, rare: DataFrame) -> DataFrame:
     """``text, codes, n_known, plus, log``: every text with all its words' classes, ``UNSEEN`` for words without one."""
-    met = coded.select(F.col("row.row").alias("row"), F.posexplode("words").alias("k", "word")).join(rare, "word").select("row", "k", "n", "cls")
-    none = {c: F.lit(None).cast(t) for c, t in (("text", coded.schema["row"].dataType), ("codes", "binary"), ("n_known", "long"), ("plus", "double"), ("log", "double"), ("at", "binary"), ("n", "long"), ("cls", "int"))}
-    last = F.lit((1 << 31) - 1)  # a text follows its words
-    columns = ["row", "k", "n", "cls", "text", "codes", "n_known", "plus", "log", "at"]
-    met = met.select(*(none[c].alias(c) if c in none and c not in ("n", "cls") else F.col(c) for c in columns))
-    own = coded.select(F.col("row.row").alias("number"), F.col("row").alias("text"), "codes", "n_known", "plus", "log", "at")
-    own = own.select(*(F.col("number").alias("row") if c == "row" else last.alias("k") if c == "k" else none[c].alias(c) if c in ("n", "cls") else F.col(c) for c in columns))
-    names = ["text", "codes", "n_known", "plus", "log"]
+    parts = ["text", "codes", "n_known", "plus", "log", "at"]
+    own = F.struct(F.col("row").alias("text"), *parts[1:])
+    # A word's row: where it stands in its text's list, and its count and class in one number.
+    met = coded.select(F.col("row.row").alias("row"), F.posexplode("words").alias("k", "word")).join(rare, "word")
+    met = met.select("row", "k", (F.col("n") * 256 + F.col("cls")).alias("v"), F.lit(None).cast(coded.select(own.alias("t")).schema["t"].dataType).alias("t"))
+    whole = coded.select(F.col("row.row").alias("row"), F.lit((1 << 31) - 1).alias("k"), F.lit(0).cast("long").alias("v"), own.alias("t"))  # follows its words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            k, n, cls = (b.column(c).fill_null(0).to_numpy() for c in (1, 2, 3))
+            k, v = b.column(1).to_numpy(), b.column(2).to_numpy()
             texts = np.flatnonzero(k == last_k)
-            start, rows = 0, []
-            for t in texts.tolist():
-                if t > start:
-                    held.append((k[start:t], n[start:t], cls[start:t]))
-                start = t + 1
-                codes, n_known, plus, log = (b.column(c)[t].as_py() for c in (5, 6, 7, 8))
-                at = np.frombuffer(b.column(9)[t].as_py(), np.int32)
+            start, rows, t = 0, [], b.column(3).take(pa.array(texts))
+            fields = [t.field(c).to_pylist() for c in range(1, 6)]
+            for j, x in enumerate(texts.tolist()):
+                if x > start:
+                    held.append((k[start:x], v[start:x]))
+                start = x + 1
+                codes, n_known, plus, log, at = (f[j] for f in fields)
+                at = np.frombuffer(at, np.int32)
                 if len(at):
                     seq = np.frombuffer(codes, np.uint8).copy()
                     times, code = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, UNSEEN, np.int64)
-                    for own_k, own_n, own_cls in held:
-                        times[own_k], code[own_k] = own_n, own_cls | np.where(own_n == 1, ONCE, 0)
+                    for own_k, own_v in held:
+                        n = own_v >> 8
+                        times[own_k], code[own_k] = n, own_v & 255 | np.where(n == 1, ONCE, 0)
                     times = times[at]
                     seq[seq == RARE] = code[at]
                     codes, n_known = seq.tobytes(), n_known + int((times > 0).sum())
@@ -351,13 +424,13 @@ def _resolve(coded: DataFrame, rare: DataFrame) -> DataFrame:
                 held = []
                 rows.append((codes, n_known, plus, log))
             if start < len(k):
-                held.append((k[start:], n[start:], cls[start:]))
+                held.append((k[start:], v[start:]))
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(texts)), *(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names)
+                yield pa.RecordBatch.from_arrays([t.field(0), *(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True))], parts[:5])
 
     last_k = (1 << 31) - 1
     schema = f"text {coded.schema['row'].dataType.simpleString()}, codes binary, n_known long, plus double, log double"
-    return met.union(own).repartition("row").sortWithinPartitions("row", "k").mapInArrow(run, schema)
+    return met.union(whole).repartition("row").sortWithinPartitions("row", "k").mapInArrow(run, schema)
 
 
 def _final_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
@@ -367,14 +440,13 @@ def _final_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(k * k, np.int64)
         for b in batches:
-            for codes in b.column(0).to_pylist():
-                seq = np.r_[np.uint8(0), np.frombuffer(codes, np.uint8)]
+            for _, _, texts in slices(b.column(0)):
+                seq = np.r_[np.uint8(0), np.frombuffer(b"".join(texts), np.uint8)]  # each text ends with the end, as if another came before it
                 once = seq >= ONCE
                 seq = (seq & (ONCE - 1)).astype(np.int64)
                 a, c = seq[:-1], seq[1:]
-                np.add.at(out, a * k + c, 1)
-                np.add.at(out, a[once[1:]] * k + classes, 1)
-                np.add.at(out, classes * k + c[once[:-1]], 1)
+                for key in (a * k + c, a[once[1:]] * k + classes, classes * k + c[once[:-1]]):
+                    out += np.bincount(key, minlength=k * k)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["k", "n"])
 
@@ -391,7 +463,7 @@ def _class_bigrams(pairs: DataFrame, cls: np.ndarray, classes: int) -> np.ndarra
         out = np.zeros(classes * classes, np.int64)
         for b in batches:
             a, c, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            np.add.at(out, shared.value[a] * classes + shared.value[c], n)
+            out += np.bincount(shared.value[a] * classes + shared.value[c], weights=n, minlength=len(out)).astype(np.int64)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["k", "n"])
 
@@ -406,17 +478,12 @@ def _round(pairs: DataFrame, cls: np.ndarray, bigrams: np.ndarray, bucket: np.nd
     shared = pairs.sparkSession.sparkContext.broadcast((cls, bigrams, bucket))
     width = 2 * classes + 1
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cls, _, bucket = shared.value
-        for batch in batches:
-            a, b, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            same = a == b
-            key = np.r_[b * width + cls[a], a * width + classes + cls[b], a[same] * width + 2 * classes]
-            n = np.r_[n, n, n[same]]
-            item = key // width
-            moved = (bucket[item] >= 0) & (bucket[item] % 2 == parity)
-            key, at = np.unique(key[moved], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, weights=n[moved], minlength=len(key)).astype(np.int64)), pa.array(bucket[key // width])], ["k", "n", "bucket"])
+        moves = (bucket >= 0) & (bucket % 2 == parity)
+        left, right = moves[b], moves[a]
+        same = right & (a == b)
+        return np.r_[b[left] * width + cls[a[left]], a[right] * width + classes + cls[b[right]], a[same] * width + 2 * classes], np.r_[n[left], n[right], n[same]]
 
     def move(table: pa.Table) -> pa.Table:
         cls, bigrams, _ = shared.value
@@ -429,7 +496,9 @@ def _round(pairs: DataFrame, cls: np.ndarray, bigrams: np.ndarray, bucket: np.nd
         new = exchange(cls, bigrams, items, dense[:, :classes], dense[:, classes:-1], dense[:, -1])
         return pa.table({"item": items, "cls": new})
 
-    summed = pairs.mapInArrow(around, "k long, n long, bucket long").groupBy("bucket", "k").agg(F.sum("n").alias("n"))
+    item = F.floor(F.col("k") / width)
+    buckets = F.when(item <= TOP, 0).otherwise(1 + item % (BUCKETS - 1))
+    summed = _gather(pairs, keys, "k long, n long").withColumn("bucket", buckets)
     out = cls.copy()
     for r in summed.groupBy("bucket").applyInArrow(move, "item long, cls long").collect():  # a row for each item
         out[r["item"]] = r["cls"]
@@ -447,14 +516,16 @@ def score_brown(model: BrownModel, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_tokens, base_score, score = [], [], []
-            for codes, plus, log in zip(*(b.column(c).to_pylist() for c in (1, 3, 4)), strict=True):
-                seq = np.frombuffer(codes, np.uint8) & (ONCE - 1)
+            n_tokens, base_score, score = (np.empty(b.num_rows, t) for t in (np.int64, float, float))
+            plus, log = (b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+            for x, y, texts in slices(b.column(1)):
+                n = np.array([len(t) for t in texts])
+                seq = np.frombuffer(b"".join(texts), np.uint8) & (ONCE - 1)
                 seq = np.where(seq == UNSEEN, k - 1, seq).astype(np.int64)
-                n_tokens.append(len(seq))
-                base_score.append(plus - len(seq) * base)
-                score.append(log - float(share[seq].sum()) + float(transition[np.r_[0, seq[:-1]], seq].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), b.column(2), pa.array(base_score, pa.float64()), pa.array(score, pa.float64())], ["text", "n_tokens", "n_known", "base_score", "score"])
+                each = transition[np.r_[0, seq[:-1]], seq] - share[seq]  # a text before ends with the end
+                n_tokens[x:y], base_score[x:y] = n, plus[x:y] - n * base
+                score[x:y] = log[x:y] + np.add.reduceat(each, np.r_[0, np.cumsum(n)[:-1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens), b.column(2), pa.array(base_score), pa.array(score)], ["text", "n_tokens", "n_known", "base_score", "score"])
 
     kind = model.texts.schema["text"].dataType
     out = model.texts.select("text", "codes", "n_known", "plus", "log").mapInArrow(run, f"text {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")

@@ -326,12 +326,12 @@ def plain_brown(texts, train, classes, word_class):
     return [sum(np.log10(p(cls(a), cls(b)) * (count[b] / size[of[b]] if b in of and b != b"\n" else 1)) for a, b in zip([b"\n", *t], t)) for t in toks]
 
 
-@pytest.mark.parametrize("share", [0.002, 0.02])
-def test_brown(spark, edge, share):
+@pytest.mark.parametrize(("share", "items"), [(0.002, 0.002), (0.02, 0.02), (0.002, 0.01)])
+def test_brown(spark, edge, share, items):
     docs = documents(spark, edge)
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    model = fit_brown(docs, F.coalesce(train, F.lit(True)), Scratch(spark, "t"), classes=5, rounds=2, word_share=share)
+    model = fit_brown(docs, F.coalesce(train, F.lit(True)), Scratch(spark, "t"), classes=5, rounds=2, word_share=share, item_share=items)
     rare = {bytes(r.word): (r.n, r.cls) for r in model.rare.collect()}
     word_class = dict(zip(model.words, model.word_class.tolist())) | {w: c for w, (_, c) in rare.items()}
     c = Counter()
@@ -342,7 +342,7 @@ def test_brown(spark, edge, share):
     n, v = sum(c.values()), len(c)
     score = plain_brown([t for _, t in edge], [not held(i) for i, _ in edge], 5, word_class)
     want = sorted((str(i), held(i), len(w), sum(x in c for x in w), n, round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), 6), round(s, 6)) for (i, t), s in zip(edge, score) for w in [[*(t or "").encode().lower().split(), b"\n"]])
-    for got in (brown_scores(docs, train, classes=5, rounds=2, word_share=share), score_brown(model).withColumn("held_out", F.coalesce(~train, F.lit(False)))):
+    for got in (brown_scores(docs, train, classes=5, rounds=2, word_share=share, item_share=items), score_brown(model).withColumn("held_out", F.coalesce(~train, F.lit(False)))):
         have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect())
         assert have == want
     assert brown_scores(docs.limit(0), train).count() == 0
@@ -364,7 +364,7 @@ def test_brown_assigns_rare_words_by_their_neighbours(spark):
     nouns, verbs = [f"n{k}" for k in range(12)], [f"v{k}" for k in range(12)]
     texts = [" ".join(w for _ in range(30) for w in (rng.choice(nouns), rng.choice(verbs))) for _ in range(60)]
     texts += [f"{rng.choice(verbs)} rareness{k} {rng.choice(verbs)} {rng.choice(nouns)} oddity{k} {rng.choice(nouns)}" for k in range(20)]
-    m = fit_brown(documents(spark, list(enumerate(texts))), F.lit(True), Scratch(spark, "t"), classes=4, rounds=6, word_share=0.005)
+    m = fit_brown(documents(spark, list(enumerate(texts))), F.lit(True), Scratch(spark, "t"), classes=4, rounds=6, word_share=0.005, item_share=0.005)
     of = dict(zip(m.words, m.word_class.tolist())) | {bytes(r.word): r.cls for r in m.rare.collect()}
     noun, verb = (Counter(of[w.encode()] for w in own).most_common(1)[0][0] for own in (nouns, verbs))
     assert noun != verb
