@@ -2,19 +2,20 @@
 
 A rule is a host and a path; it fits a url whose host is the rule's or a subdomain of it and whose path starts with
 the rule's. A url can only be fitted by a few candidate keys: a suffix of its host with as many labels as some rule
-has, and a prefix of its path as long as some rule's. Over the distinct candidate keys of the whole corpus (the
+has, and a prefix of its path as long as that rule's. Over the distinct candidate keys of the whole corpus (the
 universe) a cascade holds exact membership in a list: level 0 is a Bloom filter of the listed keys, level 1 one of the
 universe's keys that pass level 0 without being listed, level 2 one of the listed keys that pass level 1, and so on
 until nothing passes wrongly. A key's place in the list follows from the first level that it does not pass, so urls
 are judged without a join. Allow and block rules have a cascade each.
 
 A cascade takes about 1.44 log2(universe / listed) + 4 bits for each listed key, for level 0's false-positive rate is
-set from both counts. Its bits are checked against ``max_bits`` before they go into the plan; longer lists take
-``by_join``, which looks the same candidate keys up in the list by joining.
+set from both counts. A plan holds the bits of one part of the keys, by their hash; there are as many parts as it takes
+to keep a part's bits near ``max_bits``. Every part judges all urls, and a url's longest key over all parts decides.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 from functools import reduce
@@ -37,7 +38,7 @@ class Level:
     seed: int
 
     def passes(self, key: Column) -> Column:
-        table = F.array(*map(F.lit, self.words)) if len(self.words) < 64 else F.from_json(F.lit("[" + ",".join(map(str, self.words)) + "]"), "array<bigint>")
+        table = F.from_json(F.lit("[" + ",".join(map(str, self.words)) + "]"), "array<bigint>")
         tests = []
         for at in _positions(key, self.bits, self.hashes, self.seed):
             word = F.get(table, F.shiftright(at, 6).cast("int"))
@@ -82,29 +83,27 @@ class Cascade:
         return sum(x.bits for x in self.levels)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> Cascade | None:
-    """The cascade of ``listed`` over ``universe`` (distinct, non-null ``key`` each); None if it would need more than ``max_bits``."""
-    n, total = listed.count(), universe.count()
-    if not n:
-        return Cascade([])
-    rate = n / (math.sqrt(2) * max(total, n))
-    if -n * math.log(min(UPPER_RATE, max(1e-9, rate))) / math.log(2) ** 2 * 2 > max_bits:
-        return None
-    inside, outside = listed, universe
+def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch) -> Cascade:
+    """The cascade of ``listed`` over ``universe`` (non-null ``key`` each). Listed keys need not be in the universe."""
+    both = listed.select("key", F.lit(True).alias("listed")).union(universe.select("key", F.lit(False)))
+    keys = scratch.keep(both.groupBy("key").agg(F.max("listed").alias("listed")))
+    inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
+    n, total = inside.count(), keys.count()
+    rate = n / (math.sqrt(2) * max(total, n, 1))
     levels: list[Level] = []
-    while True:
+    while n:
         level = _level(inside, n, rate, len(levels))
         levels.append(level)
-        wrong = outside.where(level.passes(F.col("key")))
-        if len(levels) == 1:
-            wrong = wrong.join(listed, "key", "left_anti")
-        wrong = scratch.keep(wrong)
+        wrong = scratch.keep(outside.where(level.passes(F.col("key"))))
         n = wrong.count()
-        if not n:
-            return Cascade(levels)
-        if len(levels) > 64 or sum(x.bits for x in levels) + 3 * n > max_bits:
-            return None
         inside, outside, rate = wrong, inside, UPPER_RATE
+    return Cascade(levels)
+
+
+def parts_for(listed: int, total: int, max_bits: int) -> int:
+    """Into how many parts keys are dealt."""
+    bits = listed * (1.44 * math.log2(max(total, listed, 1) / max(listed, 1)) + 4) if listed else 0
+    return max(1, math.ceil(bits / max(1, max_bits)))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -116,15 +115,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """Array of the keys that could fit: longest first, then in text order. ``labels``, ``lengths``: what rules have."""
-    keys = []
-    for n in labels:
-        tail = F.substring_index(host, ".", -n)
-        enough = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) >= n - 1
-        for m in lengths:
-            keys.append(F.when(enough & (F.length(host) > 0) & (F.length(path) >= m), F.concat(tail, F.substring(path, 1, m))))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*keys))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Array of the keys that could fit: longest first, then in text order. ``shapes``: numbers of labels and path lengths
+    that rules have; they are data of the plan, which does not grow with them."""
+    given = F.from_json(F.lit(json.dumps([{"n": n, "m": m} for n, m in shapes])), "array<struct<n:int,m:int>>")
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    parts = F.split(host, r"\.")
+    fits = F.filter(given, lambda x: (x["n"] <= dots + 1) & (F.length(host) > 0) & (x["m"] <= F.length(path)))
+
+    def key(x: Column) -> Column:
+        tail = F.array_join(F.slice(parts, dots + 2 - x["n"], x["n"]), ".")
+        return F.concat(tail, F.substring(path, F.lit(1), x["m"]))
+
+    ranked = F.transform(fits, lambda x: F.struct((-F.length(key(x))).alias("l"), key(x).alias("k")))
+    return F.transform(F.sort_array(F.array_distinct(ranked)), lambda x: x["k"])
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", max_bits: int = MAX_BITS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -140,24 +144,27 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, unlisted: str = "allow", ma
     host, path = host_and_path(F.col(url_col))
     sites = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null and host != ''")
-    rules = scratch.keep(rules.select(F.concat("host", "path").alias("key"), (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("labels"), F.length("path").alias("length"), "verdict"))
-    # As many rows as hosts have labels and paths have characters.
-    shapes = rules.agg(F.sort_array(F.collect_set("labels")).alias("labels"), F.sort_array(F.collect_set("length")).alias("lengths")).first()
-    sites = sites.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), shapes["labels"], shapes["lengths"]) if shapes["labels"] else F.array().cast("array<string>"))
-    universe = scratch.keep(sites.select(F.explode("keys").alias("key")).distinct())
-    block = rules.where("verdict = 'block'").select("key").distinct()
-    allow = rules.where("verdict = 'allow'").select("key").distinct().join(block, "key", "left_anti")
-    blocks, allows = build_cascade(block, universe, scratch, max_bits), build_cascade(allow, universe, scratch, max_bits)
-    if blocks is None or allows is None:
-        return _by_join(sites, block, allow, unlisted, id_col)
-    fit = F.transform("keys", lambda k: F.struct(k.alias("key"), F.when(blocks.holds(k), "block").when(allows.holds(k), "allow").alias("verdict")))
-    judged = sites.withColumn("fit", F.get(F.filter(fit, lambda x: x["verdict"].isNotNull()), F.lit(0)))
-    return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fit.key").alias("rule"), F.coalesce("fit.verdict", F.lit(unlisted)).alias("verdict"))
-
-
-def _by_join(sites: DataFrame, block: DataFrame, allow: DataFrame, unlisted: str, id_col: str) -> DataFrame:
-    """For lists whose cascade is too long: distinct sites' keys are looked up by a join."""
-    listed = block.withColumn("verdict", F.lit("block")).union(allow.withColumn("verdict", F.lit("allow")))
-    found = sites.select("host", "path", "keys").distinct().select("host", "path", F.explode("keys").alias("key")).join(listed, "key")
-    best = found.groupBy("host", "path").agg(F.min_by(F.struct("key", "verdict"), F.struct(-F.length("key"), "key")).alias("fit"))
-    return sites.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("fit.key").alias("rule"), F.coalesce("fit.verdict", F.lit(unlisted)).alias("verdict"))
+    rules = rules.select(F.concat("host", "path").alias("key"), (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("n"), F.length("path").alias("m"), (F.col("verdict") == "block").alias("block"))
+    # A host and a path of different lengths can give the same key; the key is what is listed.
+    rules = scratch.keep(rules.groupBy("key", "n", "m").agg(F.max("block").alias("block")))
+    shapes = sorted((r["n"], r["m"]) for r in rules.select("n", "m").distinct().collect())  # as many as hosts have labels times paths have characters
+    keys = candidate_keys(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<string>")
+    universe = scratch.keep(sites.select(F.explode(keys).alias("key")).distinct())
+    listed = rules.groupBy("key").agg(F.max("block").alias("block"))
+    n = listed.count()
+    parts = parts_for(n, universe.count(), max_bits)
+    if parts > 1:
+        sites = scratch.keep(sites.withColumn("row", F.monotonically_increasing_id()))
+    judged = []
+    for k in range(parts):
+        here = lambda key: F.pmod(F.xxhash64(key), F.lit(parts)) == k if parts > 1 else F.lit(True)  # noqa: B023, E731
+        own, known = universe.where(here(F.col("key"))), listed.where(here(F.col("key")))
+        blocks, allows = (build_cascade(known.where(F.col("block") == b).select("key"), own, scratch) for b in (True, False))
+        fit = F.transform(F.filter("keys", here) if parts > 1 else F.col("keys"), lambda x: F.struct((-F.length(x)).alias("l"), x.alias("key"), F.when(blocks.holds(x), "block").when(allows.holds(x), "allow").alias("verdict")))  # noqa: B023
+        judged.append(sites.withColumn("keys", keys).withColumn("fit", F.get(F.filter(fit, lambda x: x["verdict"].isNotNull()), F.lit(0))).drop("keys"))
+    out = judged[0]
+    if parts > 1:
+        for more in judged[1:]:
+            out = out.union(more)
+        out = out.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.min("fit").alias("fit"))
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("fit.key").alias("rule"), F.coalesce("fit.verdict", F.lit(unlisted)).alias("verdict"))

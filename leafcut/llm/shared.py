@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,15 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) an own temporary folder is set.
+    Only on a local master, as in tests, an own temporary folder is set where that setting is missing.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="leafcut-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,14 +45,14 @@ class Scratch:
         """Write ``df`` and return it as read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        was = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")  # shuffle files of what is now a table go
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
-        # Shuffle files of what is now a table go when the driver collects its garbage.
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
