@@ -2,10 +2,11 @@
 
 Sampled splitters range-partition the normalised texts, Spark's external sort
 places equal texts next to each other, and neighbours are compared in full.
-The splitters are cut from a short lead of the text, its 64-bit hash and the
+The splitters are cut from a short lead of the text, its SHA-256 and the
 identifier, so the driver samples narrow keys only, and a text that a third of
 all rows carry is spread over many partitions; the runs at the seams of
-neighbouring partitions are then compared in full and joined.
+neighbouring partitions are then compared by their SHA-256 (two for each
+partition meet in one task) and joined.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, t, slot in held:
             n = len(own)
             sha = hashlib.sha256(t).digest()
-            for c, v in zip(cols, (own, [own[0]] * n, [n] * n, [True] + [False] * (n - 1), [sha] * n, [pid] * n, [slot] * n, [t if slot else None] + [None] * (n - 1)), strict=True):
+            for c, v in zip(cols, (own, [own[0]] * n, [n] * n, [True] + [False] * (n - 1), [sha] * n, [pid] * n, [slot] * n, [sha if slot else None] + [None] * (n - 1)), strict=True):
                 c.extend(v)
         held, rows = [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -79,9 +80,9 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text).alias("body"))
-    rows = rows.select("id", "body", F.substring("body", 1, LEAD_CHARS).alias("lead"), F.xxhash64("body").alias("hash"))
+    rows = rows.select("id", "body", F.substring("body", 1, LEAD_CHARS).alias("lead"), F.unhex(F.sha2("body", 256)).alias("hash"))
     by_id = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-    dealt = rows.repartitionByRange("lead", "hash", by_id).sortWithinPartitions("lead", "hash", "body", by_id)
+    dealt = rows.repartitionByRange("lead", "hash", by_id).sortWithinPartitions("lead", "hash", by_id)
     runs = scratch.keep(dealt.select("id", "body").mapInArrow(_runs, RUNS))
 
     # Two rows at most for each partition: the runs at its ends.
@@ -114,7 +115,7 @@ def _first_rows(columns: int):
                 slot[0] += 1
             if last:
                 slot[-1] += 2
-            edge = [b if s else None for b, s in zip(rows.column(columns).to_pylist(), slot, strict=True)] if first or last else [None] * n
+            edge = [hashlib.sha256(b).digest() if s else None for b, s in zip(rows.column(columns).to_pylist(), slot, strict=True)] if first or last else [None] * n
             return pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(columns)), pa.array([pid] * n, pa.int32()), pa.array(slot, pa.int32()), pa.array(edge, pa.binary())], [*rows.schema.names[:columns], "pid", "slot", "edge"])
 
         for b in batches:
@@ -147,8 +148,8 @@ def content_sort_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)), body.alias("body"))
     by_id = F.col(f"c{docs.columns.index(id_col)}").cast("long")
     by_id = by_id.asc_nulls_last() if keep == "smallest" else by_id.desc_nulls_last()
-    rows = rows.select("*", F.substring("body", 1, LEAD_CHARS).alias("lead"), F.xxhash64("body").alias("hash"))
-    dealt = rows.repartitionByRange("lead", "hash", by_id).sortWithinPartitions("lead", "hash", "body", by_id)
+    rows = rows.select("*", F.substring("body", 1, LEAD_CHARS).alias("lead"), F.unhex(F.sha2("body", 256)).alias("hash"))
+    dealt = rows.repartitionByRange("lead", "hash", by_id).sortWithinPartitions("lead", "hash", by_id)
     plain = dealt.drop("lead", "hash")
     schema = plain.drop("body").schema.add("pid", "integer").add("slot", "integer").add("edge", "binary")
     runs = scratch.keep(plain.mapInArrow(_first_rows(len(docs.columns)), schema))
