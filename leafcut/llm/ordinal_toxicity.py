@@ -3,8 +3,7 @@
 P(grade >= k) = sigmoid(w . x - t_k) with one weight vector for all ordered thresholds t_1 < t_2 < ...; the expected
 severity is the sum of these probabilities. Features are log(1 + count) of selected words and word beginnings of
 ``PREFIXES`` characters: A-Z lower-cased, ASCII punctuation taken as white space. They are those whose presence in the
-sampled labelled documents says most (and clearly) about
-the label. Where labels only mark toxic documents, grades above 0 follow from how many words of a marked document speak
+sampled labelled documents says most about the label, and more than chance says of as many features. Where labels only mark toxic documents, grades above 0 follow from how many words of a marked document speak
 for the mark: the sample's quantiles cut them into ``grades`` - 1 grades.
 """
 
@@ -18,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.rule_ensemble import labelled_sample
@@ -28,7 +27,7 @@ SAMPLE_ROWS = 12_000
 FEATURES = 256
 PREFIXES = (3, 4, 5, 6, 7, 8)
 CACHE_WORDS = 150_000
-STRENGTH = 5.0  # standard deviations
+FALSE_SHARE = 0.05
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 
 
@@ -96,6 +95,24 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-5,
     return w, raw[0] + np.r_[0, np.cumsum(np.exp(raw[1:]))]
 
 
+def _strength(k: Column, n: Column, share: float) -> Column:
+    """The signed root of twice the log-likelihood ratio of ``k`` marked of ``n`` against the share of all: about normal."""
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (n * F.lit(p)))).otherwise(0.0)
+    g = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(k, share) + part(n - k, 1 - share))))
+    return F.when(k >= n * F.lit(share), g).otherwise(-g)
+
+
+def _least_strength(features: DataFrame) -> float:
+    """The least strength from which at most ``FALSE_SHARE`` of the features are as strong by chance, whatever their number."""
+    bins = features.groupBy(F.floor(F.abs("z") * 10).alias("b")).agg(F.count("*").alias("n")).orderBy(F.col("b").desc()).collect()  # a row for each tenth
+    total, above, least = sum(r["n"] for r in bins), 0, math.inf
+    for r in bins:
+        above += r["n"]
+        if total * math.erfc(r["b"] / 10 / math.sqrt(2)) <= FALSE_SHARE * above:
+            least = r["b"] / 10
+    return least
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grades: int = 3, graded: bool = False, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Learn from at most ``sample_rows`` labelled documents. ``graded``: labels are grades 0 to ``grades`` - 1 themselves."""
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -132,10 +149,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
             yield out()
 
     df = sample.mapInArrow(presence, "feature binary, df long, tox long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("tox").alias("tox"))
-    # Standard deviations from what the label's share makes likely, so that what is frequent by chance falls behind.
-    expected = F.col("df") * F.lit(n_toxic / n)
-    z = (F.col("tox") - expected) / F.sqrt(expected * F.lit(1 - n_toxic / n) + 1)
-    chosen = df.where("df >= 3").withColumn("z", z).where(F.abs("z") > STRENGTH).orderBy(F.abs("z").desc(), "feature").limit(features)
+    df = scratch.keep(df.where("df >= 3").withColumn("z", _strength(F.col("tox"), F.col("df"), n_toxic / n)))
+    chosen = df.where(F.abs("z") >= _least_strength(df)).orderBy(F.abs("z").desc(), "feature").limit(features)
     words = sorted((bytes(r["feature"]), r["z"]) for r in chosen.collect())
     at = {w: k for k, (w, _) in enumerate(words)}
     marks = np.array([z > 0 for _, z in words], bool)
