@@ -162,8 +162,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     """``id, text, label`` of at most ``rows`` labelled documents, those with the least hash of their identifier."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))
     chosen = marks.orderBy(F.xxhash64("id"), "id").limit(rows)
-    # The sample's size is a parameter, so it can be broadcast.
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # The sample's size is a parameter, so it can be broadcast. Of rows that share an identifier one is taken.
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"), F.first("label").alias("label")).select("id", "t.text", "label")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality", threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, RuleModel]:
@@ -176,7 +177,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label_col:
     """
     sample = labelled_sample(docs, labels.where(train), label_col, id_col, text_col, sample_rows)
     stats = statistics(F.col("text"))
-    got = sample.select("label", *(c.alias(n) for n, c in stats.items())).toPandas()  # at most sample_rows rows, unless identifiers repeat
+    got = sample.select("label", *(c.alias(n) for n, c in stats.items())).toPandas()  # at most sample_rows rows
     x, y = got[list(stats)].to_numpy(dtype=float), got["label"].to_numpy(dtype=float)
     order = np.lexsort((*x.T, y))  # rows come in any order; the model must not depend on it
     model = fit_rules(x[order], (y[order] > 0).astype(float), list(stats))

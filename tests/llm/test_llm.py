@@ -453,6 +453,127 @@ def test_quality(spark):
     assert quality_scores(docs.limit(0), labels, F.lit(True))[0].count() == 0
 
 
+def plain_statistics(t):
+    """The statistics of a text by plain means, in the order of the module's."""
+    import regex
+
+    t = t or ""
+    n, count = max(len(t), 1), lambda p: len(regex.findall(p, t))
+    words, lines = count(r"[^\x20\x09-\x0D]+"), [x for x in t.split("\n") if x]
+    space = r"[\x20\x09-\x0D]"
+    return [
+        len(t), words, len(t) / max(words, 1), count(r"\p{Lu}") / n, sum(c in "#$%&*+<=>@\\^_`|~{}[]" for c in t) / n, t.count("!") / n, sum(c in "0123456789" for c in t) / n, count(r"\p{L}") / n,
+        count(rf"[.?](?={space}|$)") / max(words, 1), t.count(",") / max(words, 1), count(rf"[^\x20\x09-\x0D\p{{L}}\p{{N}}]{{2,}}(?={space}|$)") / max(words, 1), words / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1),
+        sum(len(w) <= 3 for w in regex.split(rf"{space}+", t) if w) / max(words, 1),
+    ]
+
+
+def test_quality_against_plain_rules(spark):
+    docs, labels = labelled(spark)
+    odd = ["One, two. THREE!! four?? -- (five)\nsix\nsix\n\n7 8#9", "\u00c9t\u00e9 na\u00efve. " * 400, None, "", "a!!! b... c"]
+    docs = docs.union(documents(spark, [(1000 + k, t) for k, t in enumerate(odd)])).union(documents(spark, [(1000, odd[0])]))
+    scored, model = quality_scores(docs, labels, F.col("doc_id") % 5 != 0)
+    from leafcut.llm.rule_ensemble import statistics
+
+    assert list(statistics(F.col("text"))) == model.names
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    x = np.array([plain_statistics(t) for _, t in rows], float)
+    want = sorted((str(i), round(float(p), 6), int(p >= 0.3)) for (i, _), p in zip(rows, model.predict(x)))
+    assert sorted((str(r.doc_id), round(r.score, 6), r.predicted) for r in scored.collect()) == want
+
+
+def test_sample_of_repeated_identifiers(spark):
+    from leafcut.llm.rule_ensemble import labelled_sample
+
+    docs = documents(spark, [(1, "a"), (1, "b"), (1, None), (2, "c")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert labelled_sample(docs, labels, "quality", "doc_id", "text", 10).count() == 2
+
+
+def plain_toxicity(text, model):
+    """P(grade >= 1), expected severity and grade by plain loops over words."""
+    table = {c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
+    words = "".join(table.get(c, c.lower() if c.isascii() else c) for c in text or "").encode().split()
+    score = 0.0
+    for f, w in zip(model.features, model.weights):
+        f = f.decode()
+        n = sum(t == f or (f[:1] == "^" and len(f) - 1 in range(3, 9) and t[: len(f) - 1] == f[1:]) for t in (x.decode() for x in words))
+        score += w * np.log1p(n)
+    above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+    each = [a - b for a, b in zip([1, *above], [*above, 0])]
+    return above[0], sum(above), int(np.argmax(each))
+
+
+def test_toxicity_against_plain_scores(spark):
+    docs, labels = labelled(spark)
+    long = "Vile, of the " * 7000
+    docs = docs.union(documents(spark, [(2000, long), (2000, long), (2001, "VILE! nastyish\u00e9 na\u00efve vile-nasty")]))
+    model = fit_toxicity(docs, labels)
+    assert model.features
+    for r, (i, t) in zip(sorted(toxicity_scores(docs, model).collect(), key=lambda r: str(r.doc_id)), sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: str(r[0])), strict=True):
+        p, severity, grade = plain_toxicity(t, model)
+        assert r.doc_id == i and np.allclose((r.p_toxic, r.expected_severity), (p, severity)) and r.grade == grade and r.toxic == (p >= 0.5), i
+
+
+def test_pipeline_stages_against_plain_ones(spark, sf):
+    """Each stage on rows with nulls, repeats, ties and columns that clash, held against plain versions."""
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    item = [str(x) for x in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text.split()]
+    rows = [(None, "null id here"), (None, "null id here"), (1, None), (2, ""), (3, " \n"), (5, "one"), (5, "one"), (6, "One")]
+    for k in range(30):
+        base = [rng.choice(words) for _ in range(60)]
+        rows.append((10 + 3 * k, " ".join(base)))
+        if k % 3 == 0:
+            rows.append((11 + 3 * k, " ".join(base)))
+        if k % 3 == 1:
+            rows.append((11 + 3 * k, " ".join([*base[:-1], "other"])))
+        if k % 5 == 0:
+            rows.append((12 + 3 * k, " ".join(base[:20] + item + [rng.choice(words) for _ in range(40)])))
+    rows.append((900, " ".join(rng.choice(words) for _ in range(20_000))))
+    docs = documents(spark, rows)
+    ids = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    kept = P.toxicity(spark, docs, sf)
+    model = fit_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert kept.columns == docs.columns
+    assert ids(kept) == sorted(((i, t) for i, t in rows if plain_toxicity(t, model)[0] < 0.5), key=str)
+
+    kept = P.exact_dedup(spark, docs, sf)
+    first = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(t or "", i)
+    assert kept.columns == docs.columns and sorted(((i, t or "") for i, t in ids(kept)), key=str) == sorted(((i, t) for t, i in first.items()), key=str)
+
+    plain = [(i, t) for t, i in first.items()]
+    near = P.near_dedup(spark, documents(spark, plain), sf)
+    known = [(i, t) for i, t in plain if i is not None]
+    assert near.columns == docs.columns and {i for i, _ in ids(near)} == plain_jaccard(known) | {None}
+
+    clean = P.decontamination(spark, docs, sf)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    fold = lambda t: "".join(" " if c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c.lower() if c.isascii() else c for c in t or "").encode().split()
+    own = [(k, fold(t)) for k, (_, t) in enumerate(rows) if len(t or "") < 5000]
+    near_items = [(j, fold(t)) for j, t in bench if set(fold(t)) & {w for _, own_words in own for w in own_words}]
+    bad = {k for k, _ in plain_contaminated(own, near_items)}
+    assert bad and clean.columns == docs.columns and ids(clean) == sorted(((i, t) for k, (i, t) in enumerate(rows) if k not in bad), key=str)
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    packed = P.packing(spark, docs, sf).toPandas()
+    want = Counter()
+    for i, t in rows:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+        want.update((i, k, min(4096, n - a)) for k, a in enumerate(range(0, n, 4096)))
+    assert Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.length) for r in packed.itertuples()) == want
+    for _, part in packed.sort_values("offset").groupby("sequence_id"):
+        assert (part.offset.values == np.cumsum(part.length.values) - part.length.values).all() and part.length.sum() <= 4096
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_seeds(spark):
     rng = random.Random(8)
     words = [f"v{k}" for k in range(2000)]
