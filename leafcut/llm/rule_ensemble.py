@@ -18,32 +18,43 @@ SAMPLE_ROWS = 20_000
 Condition = tuple[int, bool, float]  # statistic, greater than, threshold
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text (null: empty), of its characters, words and lines."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.length(t)
-
-    def share(pattern: str, of: Column = chars) -> Column:
-        return F.regexp_count(t, F.lit(pattern)) / F.greatest(of, F.lit(1))
-
-    words = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(x) > 0)
-    return {
-        "chars": chars.cast("double"),
-        "words": words.cast("double"),
-        "word_length": chars / F.greatest(words, F.lit(1)),
+def with_statistics(rows: DataFrame, text: str, columns: list[str], names: list[str] | None = None) -> DataFrame:
+    """``columns`` of the rows and statistics of a whole text (null: empty), of its characters, words and lines: all, or
+    those named. Each text is cut into words and lines once."""
+    t, words, lines = F.col("__text"), F.col("__words"), F.col("__lines")
+    once = rows.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    once = once.select("*", F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "").alias("__words"), F.array_remove(F.split(t, "\n"), "").alias("__lines"))
+    chars, n_words, n_lines = (F.greatest(x, F.lit(1)) for x in (F.length(t), F.size(words), F.size(lines)))
+
+    def share(pattern: str) -> Column:
+        return F.regexp_count(t, F.lit(pattern)) / chars
+
+    def without(literal: str) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit(literal), F.lit("")))
+
+    def of_words(test) -> Column:
+        return F.size(F.filter(words, test)) / n_words
+
+    stats = {
+        "chars": F.length(t).cast("double"),
+        "words": F.size(words).cast("double"),
+        "word_length": F.length(t) / n_words,
         "upper": share(r"\p{Lu}"),
         "symbols": share(r"[#$%&*+<=>@\\^_`|~{}\[\]]"),
-        "exclamation": share("!"),
+        "exclamation": without("!") / chars,
         "digits": share("[0-9]"),
-        "letters": share(r"\p{L}"),
-        "stops": share(r"[.?](?=\s|$)", words),
-        "commas": share(",", words),
-        "marked_words": share(r"[^\x20\x09-\x0D\p{L}\p{N}]{2,}(?=\s|$)", words),
-        "line_words": words / F.greatest(F.size(lines), F.lit(1)),
-        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-        "short_words": share(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,3}(?![^\x20\x09-\x0D])", words),
+        "letters": F.length(F.regexp_replace(t, r"\P{L}+", "")) / chars,
+        "stops": of_words(lambda w: w.endswith(".") | w.endswith("?")),
+        "commas": without(",") / n_words,
+        "marked_words": of_words(lambda w: w.rlike(r"[^\p{L}\p{N}]{2}\z")),
+        "line_words": F.size(words) / n_lines,
+        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / n_lines,
+        "short_words": of_words(lambda w: F.length(w) <= 3),
     }
+    return once.select(*columns, *(c.alias(n) for n, c in stats.items() if names is None or n in names))
+
+
+NAMES = "chars words word_length upper symbols exclamation digits letters stops commas marked_words line_words repeated_lines short_words".split()
 
 
 @dataclass
@@ -176,12 +187,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label_col:
     results; other columns are ignored.
     """
     sample = labelled_sample(docs, labels.where(train), label_col, id_col, text_col, sample_rows)
-    stats = statistics(F.col("text"))
-    got = sample.select("label", *(c.alias(n) for n, c in stats.items())).toPandas()  # at most sample_rows rows
-    x, y = got[list(stats)].to_numpy(dtype=float), got["label"].to_numpy(dtype=float)
+    got = with_statistics(sample, "text", ["label"]).toPandas()  # at most sample_rows rows
+    x, y = got[NAMES].to_numpy(dtype=float), got["label"].to_numpy(dtype=float)
     order = np.lexsort((*x.T, y))  # rows come in any order; the model must not depend on it
-    model = fit_rules(x[order], (y[order] > 0).astype(float), list(stats))
+    model = fit_rules(x[order], (y[order] > 0).astype(float), NAMES)
     used = {model.names[k] for r in model.rules for k, _, _ in r}
-    measured = docs.select(F.col(id_col), *(c.alias(n) for n, c in statistics(F.col(text_col)).items() if n in used))
-    scored = measured.select(id_col, model.column().alias("score"))
+    # The identifier travels under a name of its own, for it may be called like a statistic.
+    measured = with_statistics(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t", ["__id"], [n for n in NAMES if n in used])
+    scored = measured.select(F.col("__id").alias(id_col), model.column().alias("score"))
     return scored.select(id_col, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")), model

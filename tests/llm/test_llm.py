@@ -473,9 +473,9 @@ def test_quality_against_plain_rules(spark):
     odd = ["One, two. THREE!! four?? -- (five)\nsix\nsix\n\n7 8#9", "\u00c9t\u00e9 na\u00efve. " * 400, None, "", "a!!! b... c"]
     docs = docs.union(documents(spark, [(1000 + k, t) for k, t in enumerate(odd)])).union(documents(spark, [(1000, odd[0])]))
     scored, model = quality_scores(docs, labels, F.col("doc_id") % 5 != 0)
-    from leafcut.llm.rule_ensemble import statistics
+    from leafcut.llm.rule_ensemble import NAMES, with_statistics
 
-    assert list(statistics(F.col("text"))) == model.names
+    assert with_statistics(docs, "text", []).columns == NAMES == model.names
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     x = np.array([plain_statistics(t) for _, t in rows], float)
     want = sorted((str(i), round(float(p), 6), int(p >= 0.3)) for (i, _), p in zip(rows, model.predict(x)))
