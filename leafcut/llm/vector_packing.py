@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from leafcut.llm.shared import Scratch, partitions, slices, text_bytes
 
-CACHE_WORDS = 150_000  # in each of two generations
+CACHE_WORDS = 400_000  # in each of two generations
+ONCE = 1 << 22
 _SINGLE = re.compile("[A-Za-z\u00df-\u00f6\u00f8-\u00ff]+")
 _PUNCTUATION = b".,!?;:#$%&*|()-"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -91,8 +92,8 @@ def pack_histogram(counts: dict[int, int], tokens: int = 4096, documents: int |
 
 
 class _Words:
-    """Ids of words as little-endian unsigned 32-bit numbers, kept for words seen lately: when the cache is full it becomes
-    the old one, from which words come back when they are met again."""
+    """Ids of words as little-endian unsigned 32-bit numbers. Words met twice are kept; when the cache is full it becomes the
+    old one, from which words come back when they are met again."""
 
     def __init__(self, path: str):
         import json
@@ -100,6 +101,7 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.once, self.n_once = bytearray(ONCE), 0
         with open(path, encoding="utf-8") as f:
             end = json.load(f)["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
@@ -108,43 +110,58 @@ class _Words:
             self.ends[k] = bool(end) and token.endswith(end)
         self.marked = bool(end)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not kept yet."""
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
+        if self.n_once > ONCE // 4:
+            self.once, self.n_once = bytearray(ONCE), 0
         known, old, ends_in, todo = self.known, self.old, {}, set()
         for w in words:
-            if w in old:
-                known[w] = old[w]
-                continue
-            # Punctuation after a letter or digit is a token of its own.
-            core = w.rstrip(_PUNCTUATION)
-            if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
-                ends_in[w] = len(core)
-                todo.update((core, w[len(core) :]))
-            else:
-                todo.add(w)
+            if w[-1] in _PUNCTUATION and b"<|" not in w:
+                # Punctuation after a letter or digit is a token of its own.
+                core = w.rstrip(_PUNCTUATION)
+                if core[-1:].isalnum():
+                    ends_in[w] = len(core)
+                    todo.add(core)
+                    todo.add(w[len(core) :])
+                    continue
+            todo.add(w)
+        got: dict[bytes, bytes] = {}
         plain, rest = [], []
         for w in todo:
-            if w in old:
-                known[w] = old[w]
-            elif w not in known:
-                t = w.decode()
-                (plain if self.marked and _SINGLE.fullmatch(t) else rest).append((w, t))
-        for k in range(0, len(plain), 1024):
+            if (ids := known.get(w)) is not None:
+                got[w] = ids
+            elif (ids := old.get(w)) is not None:
+                got[w] = known[w] = ids
             # Letters of ``_SINGLE`` make one word of the tokenizer, told apart by the mark on its last token. Others may
             # become several when they are lower-cased or composed.
-            part = plain[k : k + 1024]
-            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False).ids, "<u4")
+            elif self.marked and (w.isalpha() or _SINGLE.fullmatch(w.decode())):
+                plain.append(w)
+            else:
+                rest.append(w)
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), 0
-            for (w, _), end in zip(part, (np.flatnonzero(self.ends[ids]) + 1).tolist(), strict=True):
-                known[w] = raw[4 * at : 4 * end]
+            for w, end in zip(part, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                got[w] = raw[at:end]
                 at = end
         for k in range(0, len(rest), 1024):
             part = rest[k : k + 1024]
-            for (w, _), got in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(got.ids, "<u4").tobytes()
+            for w, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                got[w] = np.array(x.ids, "<u4").tobytes()
         for w, n in ends_in.items():
-            known[w] = known[w[:n]] + known[w[n:]]
+            got[w] = got[w[:n]] + got[w[n:]]
+        once, mask = self.once, ONCE - 1
+        for w, ids in got.items():
+            k = hash(w) & mask
+            if once[k]:
+                known[w] = ids
+            else:
+                once[k] = 1
+                self.n_once += 1
+        return got
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         get, out, new = self.known.get, [], set()
@@ -153,14 +170,16 @@ class _Words:
             # The tokenizer lower-cases too, but only after it has looked for special tokens.
             words = t.split() if b"<|" in t else t.lower().split()
             ids = list(map(get, words))
-            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
+            gaps, k = [], -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                gaps.append(k)
             held.append((words, ids, gaps))
             new.update([words[k] for k in gaps])
-        if new:
-            self.learn(new)
+        got = self.learn(new) if new else {}
         for words, ids, gaps in held:
             for k in gaps:
-                ids[k] = self.known[words[k]]
+                ids[k] = got[words[k]]
             out.append(b"".join(ids))
         return out
 
