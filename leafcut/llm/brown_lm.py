@@ -393,44 +393,64 @@ def _resolve(coded: DataFrame, rare: DataFrame) -> DataFrame:
     """``text, codes, n_known, plus, log``: every text with all its words' classes, ``UNSEEN`` for words without one."""
     parts = ["text", "codes", "n_known", "plus", "log", "at"]
     own = F.struct(F.col("row").alias("text"), *parts[1:])
-    # A word's row: where it stands in its text's list, and its count and class in one number.
-    met = coded.select(F.col("row.row").alias("row"), F.posexplode("words").alias("k", "word")).join(rare, "word")
-    met = met.select("row", "k", (F.col("n") * 256 + F.col("cls")).alias("v"), F.lit(None).cast(coded.select(own.alias("t")).schema["t"].dataType).alias("t"))
-    whole = coded.select(F.col("row.row").alias("row"), F.lit((1 << 31) - 1).alias("k"), F.lit(0).cast("long").alias("v"), own.alias("t"))  # follows its words
+    kind = coded.select(own.alias("t")).schema["t"].dataType
+    # A word's row: where it stands in its text's list, and its count and class in one number. Each word stands once in
+    # ``rare``, so hash tables of it need no sorting of the texts' words.
+    met = coded.select(F.col("row.row").alias("row"), F.posexplode("words").alias("k", "word")).join(rare.hint("shuffle_hash"), "word")
+    met = met.select("row", "k", (F.col("n") * 256 + F.col("cls")).alias("v"), F.lit(None).cast(kind).alias("t"))
+    whole = coded.select(F.col("row.row").alias("row"), F.lit(-1).alias("k"), F.lit(0).cast("long").alias("v"), own.alias("t"))
+
+    def resolved(k: np.ndarray, v: np.ndarray, text: tuple) -> tuple:
+        codes, n_known, plus, log, at = text
+        at = np.frombuffer(at, np.int32)
+        if not len(at):
+            return codes, n_known, plus, log
+        seq = np.frombuffer(codes, np.uint8).copy()
+        n = v >> 8
+        times, code = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, UNSEEN, np.int64)
+        times[k], code[k] = n, v & 255 | np.where(n == 1, ONCE, 0)
+        times = times[at]
+        seq[seq == RARE] = code[at]
+        return seq.tobytes(), n_known + int((times > 0).sum()), plus + float(np.log10(times + 1.0).sum()), log + float(np.log10(np.maximum(times, 1)).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        now, held, text, name = None, [], None, None  # of the text whose rows may go on
+
+        def out(rows: list[tuple], names: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(names), *(pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True))], parts[:5])
+
+        def closed() -> tuple:
+            k, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            return resolved(k[k >= 0], v[k >= 0], text)
+
         for b in batches:
-            k, v = b.column(1).to_numpy(), b.column(2).to_numpy()
-            texts = np.flatnonzero(k == last_k)
-            start, rows, t = 0, [], b.column(3).take(pa.array(texts))
-            fields = [t.field(c).to_pylist() for c in range(1, 6)]
-            for j, x in enumerate(texts.tolist()):
-                if x > start:
-                    held.append((k[start:x], v[start:x]))
-                start = x + 1
-                codes, n_known, plus, log, at = (f[j] for f in fields)
-                at = np.frombuffer(at, np.int32)
-                if len(at):
-                    seq = np.frombuffer(codes, np.uint8).copy()
-                    times, code = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, UNSEEN, np.int64)
-                    for own_k, own_v in held:
-                        n = own_v >> 8
-                        times[own_k], code[own_k] = n, own_v & 255 | np.where(n == 1, ONCE, 0)
-                    times = times[at]
-                    seq[seq == RARE] = code[at]
-                    codes, n_known = seq.tobytes(), n_known + int((times > 0).sum())
-                    plus, log = plus + float(np.log10(times + 1.0).sum()), log + float(np.log10(np.maximum(times, 1)).sum())
-                held = []
-                rows.append((codes, n_known, plus, log))
-            if start < len(k):
-                held.append((k[start:], v[start:]))
+            row, k, v = (b.column(c).to_numpy() for c in range(3))
+            if not len(row):
+                continue
+            start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            texts = np.flatnonzero(k < 0)
+            t = b.column(3).take(pa.array(texts))
+            fields = list(zip(*(t.field(c).to_pylist() for c in range(1, 6)), strict=True))
+            of = np.searchsorted(start, texts, "right") - 1
+            there = dict(zip(of.tolist(), range(len(texts)), strict=True))
+            rows, names = [], []
+            for g, (x, y) in enumerate(zip(start.tolist(), [*start[1:].tolist(), len(row)], strict=True)):
+                if row[x] != now:
+                    if now is not None:
+                        rows.append(closed())
+                        names.append(name)
+                    now, held, text, name = row[x], [], None, None
+                held.append((k[x:y], v[x:y]))
+                if (j := there.get(g)) is not None:
+                    text, name = fields[j], t.field(0).slice(j, 1)
             if rows:
-                yield pa.RecordBatch.from_arrays([t.field(0), *(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True))], parts[:5])
+                yield out(rows, names)
+        if now is not None:
+            yield out([closed()], [name])
 
-    last_k = (1 << 31) - 1
     schema = f"text {coded.schema['row'].dataType.simpleString()}, codes binary, n_known long, plus double, log double"
-    return met.union(whole).repartition("row").sortWithinPartitions("row", "k").mapInArrow(run, schema)
+    # One number to sort by; within a text any order will do.
+    return met.union(whole).repartition("row").sortWithinPartitions("row").mapInArrow(run, schema)
 
 
 def _final_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
