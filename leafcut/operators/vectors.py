@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+BLOCK = 4096  # pages
+ROWS = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,46 +39,124 @@ def similarity_matrix(pages: DataFrame) -> DataFrame:
     return a.join(b, "bundle_id").select("bundle_id", "i", "j", dot(F.col("a"), F.col("b")).alias("similarity"))
 
 
-def _labels(vectors: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Density clusters by cosine distance, numbered by their first core page; -1: noise. Works in blocks of rows."""
-    n = len(vectors)
-    near = lambda a: np.round(vectors[a : a + BLOCK] @ vectors.T, 6) >= 1 - eps
-    size = np.concatenate([near(a).sum(1) for a in range(0, n, BLOCK)]) if n else np.empty(0, int)
-    zero = ~vectors.any(1)
-    core = np.maximum(size, 1) >= min_samples
-    core[zero] &= min_samples <= 1
-    up = np.arange(n)
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a in range(0, n, BLOCK):
-        for i, row in enumerate(near(a), a):
-            if core[i]:
-                for j in np.flatnonzero(row[:i] & core[:i]):
-                    p, q = top(i), top(j)
-                    up[max(p, q)] = min(p, q)
-    label = np.full(n, -1)
-    roots: dict[int, int] = {}
-    for i in np.flatnonzero(core):
-        label[i] = roots.setdefault(top(i), len(roots))
-    if min_samples > 1:
-        for a in range(0, n, BLOCK):
-            for i, row in enumerate(near(a), a):
-                if not core[i] and len(found := label[np.flatnonzero(row & core)]):
-                    label[i] = found.min()
-    return label
+def _matrix(rows: pa.Table) -> np.ndarray:
+    column = rows.column("embedding").combine_chunks()
+    return np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def _near(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Which rows of ``y`` are neighbours of rows of ``x``, a few rows at a time."""
+    for a in range(0, len(x), ROWS):
+        yield a, np.round(x[a : a + ROWS] @ y.T, 6) >= 1 - eps
+
+
+def _joined(near: Iterator[tuple[int, np.ndarray]], core_x: np.ndarray, core_y: np.ndarray, first_y: int) -> np.ndarray:
+    """Of the rows of both sides (those of ``y`` from ``first_y`` on): the least row that each hangs together with."""
+    up = np.arange(first_y + len(core_y))
+    for a, some in near:
+        for i, row in enumerate(some, a):
+            if core_x[i]:
+                tops = up[first_y + np.flatnonzero(row & core_y)]
+                if (tops != up[i]).any():
+                    tops = np.unique(np.r_[tops, up[i]])
+                    up[np.isin(up, tops[1:])] = tops[0]
+    return up
+
+
+def _blocks(pages: DataFrame) -> DataFrame:
+    """Every page once for each block of its bundle that it is compared with: ``bundle_id, a, b`` and the page's columns."""
+    own = pages.withColumn("_block", F.floor(F.col("page_num") / BLOCK).cast("int"))
+    last = own.groupBy("bundle_id").agg(F.max("_block").alias("_last"))
+    sent = own.join(last, "bundle_id").withColumn("_other", F.explode(F.sequence(F.lit(0), "_last")))
+    return sent.select(*pages.columns, F.least("_block", "_other").alias("a"), F.greatest("_block", "_other").alias("b"))
+
+
+def _sides(rows: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
+    """Pages of the one and of the other block in order, and whether they are the same."""
+    rows = rows.sort_by("page_num")
+    a, b = rows.column("a")[0].as_py(), rows.column("b")[0].as_py()
+    block = rows.column("page_num").to_numpy() // BLOCK
+    return rows.filter(pa.array(block == a)), rows.filter(pa.array(block == b)), a == b
+
+
+def _counts(eps: float):
+    def run(rows: pa.Table) -> pa.Table:
+        one, two, same = _sides(rows)
+        x, y = _matrix(one), _matrix(two)
+        of_x, of_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for a, near in _near(x, y, eps):
+            of_x[a : a + len(near)] += near.sum(1)
+            of_y += near.sum(0)
+        page, n = (one.column("page_num").to_numpy(), of_x) if same else (np.r_[one.column("page_num").to_numpy(), two.column("page_num").to_numpy()], np.r_[of_x, of_y])
+        return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(page), pa.string()), "page_num": pa.array(page, pa.int32()), "n": pa.array(n)})
+
+    return run
+
+
+def _links(eps: float):
+    def run(rows: pa.Table) -> pa.Table:
+        one, two, same = _sides(rows)
+        core_x, core_y = (np.asarray(t.column("core").to_numpy(), bool) for t in (one, two))
+        up = _joined(_near(_matrix(one), _matrix(two), eps), core_x, core_y, 0 if same else len(core_x))
+        page = one.column("page_num").to_numpy() if same else np.r_[one.column("page_num").to_numpy(), two.column("page_num").to_numpy()]
+        core = core_x if same else np.r_[core_x, core_y]
+        at = np.flatnonzero(core)
+        return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(at), pa.string()), "u": pa.array(page[at], pa.int32()), "v": pa.array(page[up[at]], pa.int32())})
+
+    return run
+
+
+def _numbered(rows: pa.Table) -> pa.Table:
+    """Labels of a bundle's core pages from links of pages, numbered by the first page of each cluster."""
+    u, v = rows.column("u").to_numpy(), rows.column("v").to_numpy()
+    pages, at = np.unique(np.r_[u, v], return_inverse=True)
+    u, v, top = at[: len(u)], at[len(u) :], np.arange(len(pages))
+    while (apart := top[u] != top[v]).any():
+        p, q = top[u[apart]], top[v[apart]]
+        np.minimum.at(top, np.maximum(p, q), np.minimum(p, q))
+        while (top[top] != top).any():
+            top = top[top]
+    _, label = np.unique(top, return_inverse=True)
+    return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(pages), pa.string()), "page_num": pa.array(pages, pa.int32()), "label": pa.array(label, pa.int32())})
+
+
+def _borders(eps: float):
+    def run(rows: pa.Table) -> pa.Table:
+        one, two, same = _sides(rows)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for x, y in ((one, two),) if same else ((one, two), (two, one)):
+            label = y.column("label").fill_null(-1).to_numpy()
+            outside, core = np.flatnonzero(x.column("label").is_null().to_numpy(zero_copy_only=False)) if len(x) else np.empty(0, int), label >= 0
+            for a, near in _near(_matrix(x)[outside], _matrix(y), eps):
+                best = np.where(near & core, label, np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
+                hit = best < np.iinfo(np.int32).max
+                found.append((x.column("page_num").to_numpy()[outside[a : a + len(near)][hit]], best[hit]))
+        page, label = (np.concatenate([f[k] for f in found]) if found else np.empty(0, int) for k in (0, 1))
+        return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(page), pa.string()), "page_num": pa.array(page, pa.int32()), "label": pa.array(label, pa.int32())})
+
+    return run
 
 
 def cluster_labels(pages: DataFrame, eps: float = 0.5, min_samples: int = 1) -> DataFrame:
-    """``bundle_id, page_num, label``. A bundle's pages meet in one task, compared in blocks of rows: neighbours far apart can link a bundle's clusters."""
+    """``bundle_id, page_num, label``: density clusters by cosine distance, numbered by their first core page; -1: noise.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_num", ignore_index=True)
-        vectors = np.stack(pdf["embedding"]).astype(float) if len(pdf) else np.empty((0, 1))
-        return pd.DataFrame({"bundle_id": pdf["bundle_id"], "page_num": pdf["page_num"], "label": _labels(vectors, eps, min_samples)})
-
-    return pages.select("bundle_id", "page_num", "embedding").groupBy("bundle_id").applyInPandas(run, "bundle_id string, page_num int, label int")
+    Pages are 0-based and compared block by block, a task for each two blocks of a bundle; what hangs together within two
+    blocks is joined in a task for each bundle, from a row for each page and pair of blocks without vectors. A page that is
+    near to clusters without being core takes the first of them. Pages need a number each and vectors of one length.
+    """
+    rows = pages.select("bundle_id", "page_num", "embedding")
+    if min_samples > 1:
+        zero = ~F.exists("embedding", lambda x: x != 0)
+        counts = _blocks(rows).groupBy("bundle_id", "a", "b").applyInArrow(_counts(eps), "bundle_id string, page_num int, n long")
+        counts = counts.groupBy("bundle_id", "page_num").agg(F.sum("n").alias("n"))
+        core = rows.join(counts, ["bundle_id", "page_num"]).select("bundle_id", "page_num", "embedding", ((F.col("n") >= min_samples) & ~zero).alias("core"))
+    else:
+        core = rows.withColumn("core", F.lit(True))
+    linked = _blocks(core).groupBy("bundle_id", "a", "b").applyInArrow(_links(eps), "bundle_id string, u int, v int")
+    labels = linked.groupBy("bundle_id").applyInArrow(_numbered, "bundle_id string, page_num int, label int")
+    if min_samples <= 1:
+        return labels
+    placed = rows.join(labels, ["bundle_id", "page_num"], "left")
+    borders = _blocks(placed).groupBy("bundle_id", "a", "b").applyInArrow(_borders(eps), "bundle_id string, page_num int, label int")
+    borders = borders.groupBy("bundle_id", "page_num").agg(F.min("label").alias("border"))
+    return placed.join(borders, ["bundle_id", "page_num"], "left").select("bundle_id", "page_num", F.coalesce("label", "border", F.lit(-1)).alias("label"))

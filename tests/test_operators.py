@@ -60,11 +60,44 @@ def test_clusters(spark):
     assert [r.page_num for r in D.cluster_boundaries(labels).orderBy("page_num").collect()] == [50, 52]
 
 
-def test_noise_border_and_zero_vectors():
+def plain_labels(v, eps, least):
+    """Density clusters one page after another."""
+    n = len(v)
+    near = [[j for j in range(n) if round(float(v[i] @ v[j]), 6) >= 1 - eps] for i in range(n)]
+    core = [least <= 1 or (len(near[i]) >= least and v[i].any()) for i in range(n)]
+    label, following = [-1] * n, 0
+    for i in range(n):
+        if core[i] and label[i] < 0:
+            label[i], todo = following, [i]
+            while todo:
+                for j in near[todo.pop()]:
+                    if core[j] and label[j] < 0:
+                        label[j] = following
+                        todo.append(j)
+            following += 1
+    return [min((label[j] for j in near[i] if core[j]), default=-1) if not core[i] else label[i] for i in range(n)]
+
+
+def clustered(spark, v, eps, least):
+    return [r.label for r in V.cluster_labels(embedded(spark, v), eps, least).orderBy("page_num").collect()]
+
+
+def test_noise_border_and_zero_vectors(spark):
     v = np.array([[1, 0], [1, 0.01], [0.99, 0], [0, 1], [0, 0]], dtype=float)
     v[:4] /= np.linalg.norm(v[:4], axis=1, keepdims=True)
-    assert V._labels(v, 0.1, 2).tolist() == [0, 0, 0, -1, -1]
-    assert V._labels(v, 0.1, 1).tolist() == [0, 0, 0, 1, 2]
+    v = v.astype("float32").astype(float)
+    assert clustered(spark, v, 0.1, 2) == [0, 0, 0, -1, -1]
+    assert clustered(spark, v, 0.1, 1) == [0, 0, 0, 1, 2]
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+@pytest.mark.parametrize("least", [1, 4])
+def test_clusters_over_blocks(spark, monkeypatch, block, least):
+    monkeypatch.setattr(V, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    v = np.array(centres(rng, (12, 3, 1, 9, 8), 0.22, d=8))[rng.permutation(33)].astype("float32").astype(float)
+    want = plain_labels(v, 0.2, least)
+    assert len(set(want)) > 2 and clustered(spark, v, 0.2, least) == want
 
 
 @pytest.mark.parametrize("n", [1, 2])
