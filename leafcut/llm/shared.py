@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: shuffle files of what is now a table go at once, and long texts go to Python few at a time.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,12 +46,14 @@ class Scratch:
         """Write ``df`` and return it as read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        was = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")  # shuffle files of what is now a table go
+        was = {k: self.spark.conf.get(k, None) for k in _SETTINGS}
+        for k, v in _SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, was)
+            for k, v in was.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
