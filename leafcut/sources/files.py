@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +35,39 @@ def text_pages(spark: SparkSession, folder: str, page_break: str = "\f") -> Data
     return files.select("bundle_id", F.posexplode("p").alias("page_num", "text"))
 
 
+Reader = Callable[[bytes], list[str]]
+
+
+def form_feed_reader() -> Reader:
+    """Stands in for a PDF library: pages of UTF-8 text between form feeds."""
+    return lambda raw: raw.decode(errors="replace").split("\f")
+
+
+def document_pages(spark: SparkSession, folder: str, reader: Callable[[], Reader] = form_feed_reader, pattern: str = "*.pdf") -> DataFrame:
+    """Pages of the documents in a folder: ``bundle_id, page_num, text, problem``. ``reader`` is made once a task.
+
+    A document that cannot be read gives one row with its ``problem`` and no page. A missing folder is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader()
+        for b in batches:
+            for path, raw in zip(b.column(0), b.column(1), strict=True):
+                try:
+                    pages, problem = read(raw.as_py()), None
+                except Exception as e:  # one broken document doesn't end the others
+                    pages, problem = [], f"{type(e).__name__}: {e}"
+                n = max(1, len(pages))
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n), pa.array(list(range(len(pages))) or [None], pa.int32()), pa.array(pages or [None], pa.string()), pa.array([problem] * n, pa.string())], ["bundle_id", "page_num", "text", "problem"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInArrow(run, "bundle_id string, page_num int, text string, problem string")
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("bundle_id").agg(F.count("page_num").alias("total_pages"))
+
+
 def write_segments(pages: DataFrame, folder: str) -> None:
     """A folder for each bundle and segment."""
     pages.write.mode("overwrite").partitionBy("bundle_id", "segment_idx").parquet(folder)

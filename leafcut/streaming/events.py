@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState
 
 ROUTED = ["progress", "result", "error"]
@@ -82,3 +84,35 @@ def latest_status(events: DataFrame, key: str, order: Column, status: str = "sta
 def to_lines(events: DataFrame) -> DataFrame:
     """Events as JSON lines for a text sink."""
     return events.select(F.to_json(F.struct("type", "data")).alias("value"))
+
+
+def stop_after(query: StreamingQuery, seconds: float, cancelled: Callable[[], bool] = lambda: False, step: float = 0.1) -> str:
+    """Wait for a stream: ``ended`` if it ended by itself, else stopped by ``cancelled`` or ``timeout``. Its errors are raised."""
+    until = time.monotonic() + seconds
+    while True:
+        if query.awaitTermination(step):
+            return "ended"
+        if cancelled() or time.monotonic() > until:
+            query.stop()
+            return "cancelled" if cancelled() else "timeout"
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``report(rows so far, rows of this batch, query's name)`` after each batch of a stream."""
+
+    def __init__(self, report: Callable[[int, int, str | None], None]):
+        self.report, self.rows = report, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        own = event.progress.numInputRows
+        self.rows += own
+        self.report(self.rows, own, event.progress.name)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

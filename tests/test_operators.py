@@ -385,3 +385,40 @@ def test_metrics_once_or_twice(spark):
     for strip in (True, False):
         a = rows.select(*(v.alias(k) for k, v in Q.text_metrics(F.col("text"), strip=strip).items())).collect()
         assert a == Q.with_metrics(rows, strip=strip).select(*Q.METRICS).collect()
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "a.pdf").write_text("one\ftwo")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+    (tmp_path / "c.txt").write_text("no document")
+
+    def strict():
+        def read(raw):
+            if raw == b"bad":
+                raise ValueError("no PDF")
+            return SF.form_feed_reader()(raw)
+
+        return read
+
+    got = SF.document_pages(spark, str(tmp_path), strict)
+    assert sorted((r.bundle_id[-5:], r.page_num, r.text, r.problem) for r in got.collect()) == [("a.pdf", 0, "one", None), ("a.pdf", 1, "two", None), ("b.pdf", None, None, "ValueError: no PDF")]
+    assert {r.bundle_id[-5:]: r.total_pages for r in SF.page_counts(got).collect()} == {"a.pdf": 2, "b.pdf": 0}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        SF.document_pages(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_streams_stop_and_report(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"type": "progress", "data": "1"}\n')
+    seen = []
+    listener = E.Progress(lambda rows, own, name: seen.append((rows, own, name)))
+    spark.streams.addListener(listener)
+    start = lambda name: E.event_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName(name).start()
+    q = start("told")
+    q.processAllAvailable()
+    assert E.stop_after(q, 0.3) == "timeout" and not q.isActive
+    assert E.stop_after(start("dropped"), 30, cancelled=lambda: True) == "cancelled"
+    q = E.event_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("whole").trigger(availableNow=True).start()
+    assert E.stop_after(q, 30) == "ended"
+    spark.streams.removeListener(listener)
+    assert (1, 1, "told") in seen
