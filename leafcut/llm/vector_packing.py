@@ -221,7 +221,8 @@ def tokenized_pieces(docs: DataFrame, path: str, tokens: int = 4096, end_id: int
 def pack(pieces: DataFrame, scratch: Scratch, tokens: int = 4096, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> DataFrame:
     """``pieces`` (with columns ``doc_id, piece, length``) and their ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions(spark))).cast("int"))
+    # Buckets are dealt by row and written down, so that no identifier makes a large one.
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(partitions(spark))).cast("int"))
     kept = scratch.keep(pieces)
     cells = scratch.keep(kept.groupBy("bucket", "length").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length up to ``tokens``
