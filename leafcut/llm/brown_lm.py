@@ -21,6 +21,7 @@ carry a number for each word.
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,8 @@ END = b"\n"  # no word has white space
 FLUSH = 300_000
 PAIRS_AT_ONCE = 1_000_000
 BUCKETS, TOP = 16, 256
+_HEAD = "<qqqdd"  # of a text's record: lengths of the row and the classes, known words, sums of logarithms
+_HEAD_BYTES = struct.calcsize(_HEAD)
 RARE, ONCE, UNSEEN = 255, 128, 127  # marks in a text's classes: joined later; the word occurs once; never seen
 
 
@@ -283,37 +286,44 @@ def _transition(bigrams: np.ndarray) -> np.ndarray:
 
 def _code(docs: DataFrame, train: Column, words: list[bytes], word_count: np.ndarray, cls: np.ndarray, id_col: str, text_col: str, extra: dict[str, Column]) -> DataFrame:
     """Every text as its words' classes (``RARE`` for words to be joined), its distinct rare words, and which of them
-    stands at each such place; and what its frequent words add to the scores."""
+    stands at each such place; and ``whole``, these in one with the row and what its frequent words add to the scores."""
     numbers = {w: k for k, w in enumerate(words)}
     code = np.r_[cls[:-1] | np.where((word_count == 1) & (np.arange(len(words)) > 0), ONCE, 0), RARE].astype(np.uint8)
     known = np.r_[word_count > 0, False]
     plus, log = np.r_[np.log10(word_count + 1.0), 0.0], np.r_[np.log10(np.maximum(word_count, 1)), 0.0]
     log[0] = 0  # the end is all of its class
     shared = docs.sparkSession.sparkContext.broadcast((numbers, code, known, plus, log))
-    names = ["row", "codes", "n_known", "plus", "log", "words", "at"]
+    names = ["row", "codes", "words", "at", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, code, known, plus, log = shared.value
         rare = len(numbers)
         for b in batches:
-            kind = (b.schema.field(0).type, pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+            kind = (pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary())
             rows, held, first = [], 0, 0
-            for k, t in enumerate(each_text(b.column(1))):
+
+            def out(rows: list[tuple], first: int, b: pa.RecordBatch = b) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind, strict=True))], names)
+
+            for k, (t, what) in enumerate(zip(each_text(b.column(1)), b.column(2), strict=True)):
                 own = t.lower().split()
                 slot = np.r_[_slots(own, numbers, rare), 0]
                 order: dict[bytes, int] = {}
-                at = [order.setdefault(own[x], len(order)) for x in np.flatnonzero(slot == rare).tolist()]
-                rows.append((code[slot].tobytes(), int(known[slot].sum()), float(plus[slot].sum()), float(log[slot].sum()), list(order), np.array(at, np.int32).tobytes()))
+                at = np.array([order.setdefault(own[x], len(order)) for x in np.flatnonzero(slot == rare).tolist()], np.int32).tobytes()
+                codes, what = code[slot].tobytes(), what.as_py().encode()
+                head = struct.pack(_HEAD, len(what), len(codes), int(known[slot].sum()), float(plus[slot].sum()), float(log[slot].sum()))
+                rows.append((codes, list(order), at, head + what + codes + at))
                 held += len(own)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind[1:], strict=True))], names)
+                    yield out(rows, first)
                     rows, held, first = [], 0, k + 1
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind[1:], strict=True))], names)
+                yield out(rows, first)
 
     # Row numbers are written down before anything is joined to them.
-    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), train.alias("train"), *(c.alias(f"x_{k}") for k, c in extra.items())).alias("row"), text_bytes(text_col).alias("t"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, codes binary, n_known long, plus double, log double, words array<binary>, at binary"
+    row = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), train.alias("train"), *(c.alias(f"x_{k}") for k, c in extra.items()))
+    rows = docs.select(row.alias("row"), text_bytes(text_col).alias("t")).select("row", "t", F.to_json("row", {"ignoreNullFields": "false"}).alias("what"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, codes binary, words array<binary>, at binary, whole binary"
     return rows.mapInArrow(run, schema).withColumn("train", F.col("row.train"))
 
 
@@ -391,37 +401,37 @@ def _assign(bigrams: np.ndarray):
 
 def _resolve(coded: DataFrame, rare: DataFrame) -> DataFrame:
     """``text, codes, n_known, plus, log``: every text with all its words' classes, ``UNSEEN`` for words without one."""
-    parts = ["text", "codes", "n_known", "plus", "log", "at"]
-    own = F.struct(F.col("row").alias("text"), *parts[1:])
-    kind = coded.select(own.alias("t")).schema["t"].dataType
     # A word's row: where it stands in its text's list, and its count and class in one number. Each word stands once in
     # ``rare``, so hash tables of it need no sorting of the texts' words.
     met = coded.select(F.col("row.row").alias("row"), F.posexplode("words").alias("k", "word")).join(rare.hint("shuffle_hash"), "word")
-    met = met.select("row", "k", (F.col("n") * 256 + F.col("cls")).alias("v"), F.lit(None).cast(kind).alias("t"))
-    whole = coded.select(F.col("row.row").alias("row"), F.lit(-1).alias("k"), F.lit(0).cast("long").alias("v"), own.alias("t"))
-
-    def resolved(k: np.ndarray, v: np.ndarray, text: tuple) -> tuple:
-        codes, n_known, plus, log, at = text
-        at = np.frombuffer(at, np.int32)
-        if not len(at):
-            return codes, n_known, plus, log
-        seq = np.frombuffer(codes, np.uint8).copy()
-        n = v >> 8
-        times, code = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, UNSEEN, np.int64)
-        times[k], code[k] = n, v & 255 | np.where(n == 1, ONCE, 0)
-        times = times[at]
-        seq[seq == RARE] = code[at]
-        return seq.tobytes(), n_known + int((times > 0).sum()), plus + float(np.log10(times + 1.0).sum()), log + float(np.log10(np.maximum(times, 1)).sum())
+    met = met.select("row", "k", (F.col("n") * 256 + F.col("cls")).alias("v"), F.lit(None).cast("binary").alias("t"))
+    whole = coded.select(F.col("row.row").alias("row"), F.lit(-1).alias("k"), F.lit(0).cast("long").alias("v"), F.col("whole").alias("t"))
+
+    def resolved(k: np.ndarray, v: np.ndarray, raw: bytes) -> tuple:
+        n_what, n_codes, n_known, plus, log = struct.unpack_from(_HEAD, raw)
+        what, codes = raw[_HEAD_BYTES : _HEAD_BYTES + n_what], raw[_HEAD_BYTES + n_what : _HEAD_BYTES + n_what + n_codes]
+        at = np.frombuffer(raw[_HEAD_BYTES + n_what + n_codes :], np.int32)
+        if len(at):
+            seq = np.frombuffer(codes, np.uint8).copy()
+            n = v >> 8
+            times, code = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, UNSEEN, np.int64)
+            times[k], code[k] = n, v & 255 | np.where(n == 1, ONCE, 0)
+            times = times[at]
+            seq[seq == RARE] = code[at]
+            codes, n_known = seq.tobytes(), n_known + int((times > 0).sum())
+            plus, log = plus + float(np.log10(times + 1.0).sum()), log + float(np.log10(np.maximum(times, 1)).sum())
+        return what, codes, n_known, plus, log
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, text, name = None, [], None, None  # of the text whose rows may go on
+        now, held, raw = None, [], None  # of the text whose rows may go on
+        kinds = (pa.string(), pa.binary(), pa.int64(), pa.float64(), pa.float64())
 
-        def out(rows: list[tuple], names: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(names), *(pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True))], parts[:5])
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), kinds, strict=True)], ["what", "codes", "n_known", "plus", "log"])
 
         def closed() -> tuple:
             k, v = (np.concatenate(c) for c in zip(*held, strict=True))
-            return resolved(k[k >= 0], v[k >= 0], text)
+            return resolved(k[k >= 0], v[k >= 0], raw)
 
         for b in batches:
             row, k, v = (b.column(c).to_numpy() for c in range(3))
@@ -429,28 +439,28 @@ def _resolve(coded: DataFrame, rare: DataFrame) -> DataFrame:
                 continue
             start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             texts = np.flatnonzero(k < 0)
-            t = b.column(3).take(pa.array(texts))
-            fields = list(zip(*(t.field(c).to_pylist() for c in range(1, 6)), strict=True))
-            of = np.searchsorted(start, texts, "right") - 1
-            there = dict(zip(of.tolist(), range(len(texts)), strict=True))
-            rows, names = [], []
+            there = dict(zip((np.searchsorted(start, texts, "right") - 1).tolist(), texts.tolist(), strict=True))
+            rows, size = [], 0
             for g, (x, y) in enumerate(zip(start.tolist(), [*start[1:].tolist(), len(row)], strict=True)):
                 if row[x] != now:
                     if now is not None:
                         rows.append(closed())
-                        names.append(name)
-                    now, held, text, name = row[x], [], None, None
+                        size += len(rows[-1][1])
+                        if size > 1 << 20:
+                            yield out(rows)
+                            rows, size = [], 0
+                    now, held, raw = row[x], [], None
                 held.append((k[x:y], v[x:y]))
                 if (j := there.get(g)) is not None:
-                    text, name = fields[j], t.field(0).slice(j, 1)
+                    raw = b.column(3)[j].as_py()
             if rows:
-                yield out(rows, names)
+                yield out(rows)
         if now is not None:
-            yield out([closed()], [name])
+            yield out([closed()])
 
-    schema = f"text {coded.schema['row'].dataType.simpleString()}, codes binary, n_known long, plus double, log double"
     # One number to sort by; within a text any order will do.
-    return met.union(whole).repartition("row").sortWithinPartitions("row").mapInArrow(run, schema)
+    out = met.union(whole).repartition("row").sortWithinPartitions("row").mapInArrow(run, "what string, codes binary, n_known long, plus double, log double")
+    return out.select(F.from_json("what", coded.schema["row"].dataType).alias("text"), "codes", "n_known", "plus", "log")
 
 
 def _final_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
