@@ -422,3 +422,11 @@ def test_streams_stop_and_report(spark, tmp_path):
     assert E.stop_after(q, 30) == "ended"
     spark.streams.removeListener(listener)
     assert (1, 1, "told") in seen
+
+
+def test_white_space_is_pythons(spark):
+    space = "".join(chr(k) for k in range(0x110000) if chr(k).isspace())
+    assert space == X.WS_CHARS
+    rows = spark.createDataFrame([(f"{c}a{c}b{c}",) for c in [*space, "​", "﻿", "\x00"]], "t string")
+    got = rows.select("t", X.py_strip(F.col("t")).alias("s"), F.regexp_count("t", F.lit(X.WS)).alias("n"), X.clean_text(F.col("t")).alias("c")).collect()
+    assert all((r.s, r.n, r.c) == (r.t.strip(), sum(c.isspace() for c in r.t), " ".join(r.t.split())) for r in got)
