@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, each_text, slices, text_bytes
+from leafcut.llm.shared import Scratch, each_text, slices, text_bytes, tidy
 
 END = b"\n"  # no word has white space
 FLUSH = 300_000
@@ -136,7 +136,7 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
     if not 2 < classes < UNSEEN:
         raise ValueError(f"classes: {classes}")
     texts = docs.where(train).select(text_bytes(text_col).alias("t"))
-    counts = scratch.keep(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = scratch.keep(texts.mapInArrow(tidy(_count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # At most 1 / word_share rows, for their shares sum to one.
     frequent = counts.where((F.col("n") >= word_share * total) | (F.col("word") == F.lit(END))).collect()
@@ -166,7 +166,7 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
         if held:
             yield out()
 
-    pairs = scratch.keep(texts.mapInArrow(pairs_of, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    pairs = scratch.keep(texts.mapInArrow(tidy(pairs_of), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
     # Words come by frequency, so the items are the first; all others count as one item here.
     items = max(1, int((word_count >= item_share * total).sum()), 1 + int((word_count[1:] >= item_share * total).sum()))
     few = scratch.keep(_merged(pairs, items)) if items < rare else pairs
@@ -193,8 +193,8 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
     scratch.drop(pairs, counts)
 
     coded = scratch.keep(_code(docs, train, words, word_count, cls, id_col, text_col, extra or {}))
-    contexts = coded.where("train").select("codes", "words", "at").mapInArrow(_contexts(classes), "word binary, ctx binary")
-    rare_words = scratch.keep(contexts.repartition("word").sortWithinPartitions("word").mapInArrow(_assign(bigrams), "word binary, n long, cls int"))
+    contexts = coded.where("train").select("codes", "words", "at").mapInArrow(tidy(_contexts(classes)), "word binary, ctx binary")
+    rare_words = scratch.keep(contexts.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(_assign(bigrams)), "word binary, n long, cls int"))
     class_tokens = np.bincount(cls[:rare], weights=word_count, minlength=classes)
     for r in rare_words.groupBy("cls").agg(F.sum("n").alias("n")).collect():  # a row for each class
         class_tokens[r["cls"]] += r["n"]
@@ -224,7 +224,7 @@ def _gather(pairs: DataFrame, keys, schema: str) -> DataFrame:
         if held:
             yield out()
 
-    return pairs.mapInArrow(run, schema).groupBy("k").agg(F.sum("n").alias("n"))
+    return pairs.mapInArrow(tidy(run), schema).groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def _merged(pairs: DataFrame, items: int) -> DataFrame:
@@ -324,7 +324,7 @@ def _code(docs: DataFrame, train: Column, words: list[bytes], word_count: np.nda
     row = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), train.alias("train"), *(c.alias(f"x_{k}") for k, c in extra.items()))
     rows = docs.select(row.alias("row"), text_bytes(text_col).alias("t")).select("row", "t", F.to_json("row", {"ignoreNullFields": "false"}).alias("what"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, codes binary, words array<binary>, at binary, whole binary"
-    return rows.mapInArrow(run, schema).withColumn("train", F.col("row.train"))
+    return rows.mapInArrow(tidy(run), schema).withColumn("train", F.col("row.train"))
 
 
 def _contexts(classes: int):
@@ -459,7 +459,7 @@ def _resolve(coded: DataFrame, rare: DataFrame) -> DataFrame:
             yield out([closed()])
 
     # One number to sort by; within a text any order will do.
-    out = met.union(whole).repartition("row").sortWithinPartitions("row").mapInArrow(run, "what string, codes binary, n_known long, plus double, log double")
+    out = met.union(whole).repartition("row").sortWithinPartitions("row").mapInArrow(tidy(run), "what string, codes binary, n_known long, plus double, log double")
     return out.select(F.from_json("what", coded.schema["row"].dataType).alias("text"), "codes", "n_known", "plus", "log")
 
 
@@ -481,7 +481,7 @@ def _final_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["k", "n"])
 
     out = np.zeros(k * k)
-    for r in resolved.select("codes").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes squared rows
+    for r in resolved.select("codes").mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes squared rows
         out[r["k"]] = r["n"]
     return out.reshape(k, k)
 
@@ -498,7 +498,7 @@ def _class_bigrams(pairs: DataFrame, cls: np.ndarray, classes: int) -> np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["k", "n"])
 
     out = np.zeros(classes * classes)
-    for r in pairs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes squared rows
+    for r in pairs.mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes squared rows
         out[r["k"]] = r["n"]
     return out.reshape(classes, classes)
 
@@ -558,7 +558,7 @@ def score_brown(model: BrownModel, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens), b.column(2), pa.array(base_score), pa.array(score)], ["text", "n_tokens", "n_known", "base_score", "score"])
 
     kind = model.texts.schema["text"].dataType
-    out = model.texts.select("text", "codes", "n_known", "plus", "log").mapInArrow(run, f"text {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    out = model.texts.select("text", "codes", "n_known", "plus", "log").mapInArrow(tidy(run), f"text {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     extra = [c for c in kind.names if c.startswith("x_")]
     return out.select(F.col("text.id").alias(id_col), *(F.col(f"text.{c}").alias(c[2:]) for c in extra), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, text_bytes
+from leafcut.llm.shared import Scratch, text_bytes, tidy
 
 LEAD_CHARS = 32
 RUNS = "id long, keep_local long, size_local long, first_local boolean, sha binary, pid int, slot int, edge binary"
@@ -83,7 +83,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select("id", "body", F.substring("body", 1, LEAD_CHARS).alias("lead"), F.unhex(F.sha2("body", 256)).alias("hash"))
     by_id = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
     dealt = rows.repartitionByRange("lead", "hash", by_id).sortWithinPartitions("lead", "hash", by_id)
-    runs = scratch.keep(dealt.select("id", "body").mapInArrow(_runs, RUNS))
+    runs = scratch.keep(dealt.select("id", "body").mapInArrow(tidy(_runs), RUNS))
 
     # Two rows at most for each partition: the runs at its ends.
     w = Window.orderBy("pid", "slot")
@@ -152,7 +152,7 @@ def content_sort_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = rows.repartitionByRange("lead", "hash", by_id).sortWithinPartitions("lead", "hash", by_id)
     plain = dealt.drop("lead", "hash")
     schema = plain.drop("body").schema.add("pid", "integer").add("slot", "integer").add("edge", "binary")
-    runs = scratch.keep(plain.mapInArrow(_first_rows(len(docs.columns)), schema))
+    runs = scratch.keep(plain.mapInArrow(tidy(_first_rows(len(docs.columns))), schema))
     w = Window.orderBy("pid", "slot")
     ends = runs.where(F.col("edge").isNotNull()).select("pid", "slot", (~F.col("edge").eqNullSafe(F.lag("edge").over(w))).alias("starts"))
     kept = runs.join(F.broadcast(ends), ["pid", "slot"], "left").where(F.coalesce("starts", F.lit(True)))

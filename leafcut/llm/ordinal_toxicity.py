@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.rule_ensemble import labelled_sample
-from leafcut.llm.shared import Scratch, each_text, partitions, text_bytes
+from leafcut.llm.shared import Scratch, each_text, partitions, text_bytes, tidy
 
 SAMPLE_ROWS = 12_000
 FEATURES = 256
@@ -148,7 +148,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
         if df:
             yield out()
 
-    df = sample.mapInArrow(presence, "feature binary, df long, tox long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("tox").alias("tox"))
+    df = sample.mapInArrow(tidy(presence), "feature binary, df long, tox long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("tox").alias("tox"))
     df = scratch.keep(df.where("df >= 3").withColumn("z", _strength(F.col("tox"), F.col("df"), n_toxic / n)))
     chosen = df.where(F.abs("z") >= _least_strength(df)).orderBy(F.abs("z").desc(), "feature").limit(features)
     words = sorted((bytes(r["feature"]), r["z"]) for r in chosen.collect())
@@ -169,7 +169,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", g
                 hits.append(sum(k for w, k in count.items() if any(marks[f] for f in seen[w])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64()), pa.array([list(x) for x in own], pa.list_(pa.int64())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))], ["label", "hits", "at", "times"])
 
-    picked = sample.mapInArrow(pick, "label double, hits long, at array<long>, times array<long>").collect()  # sample_rows rows of at most ``features`` numbers
+    picked = sample.mapInArrow(tidy(pick), "label double, hits long, at array<long>, times array<long>").collect()  # sample_rows rows of at most ``features`` numbers
     x = np.zeros((len(picked), len(words)))
     for i, r in enumerate(picked):
         x[i, r["at"]] = r["times"]
@@ -200,7 +200,7 @@ def toxicity_scores(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5
             p, severity, grade = (list(c) for c in zip(*got, strict=True)) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array([x >= threshold for x in p], pa.bool_())], ["id", "p_toxic", "expected_severity", "grade", "toxic"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(run, "id long, p_toxic double, expected_severity double, grade int, toxic boolean").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(tidy(run), "id long, p_toxic double, expected_severity double, grade int, toxic boolean").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -211,4 +211,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5, tex
         for b in batches:
             yield b.filter(pa.array([p < threshold for p, *_ in model.scores(each_text(b.column(k)))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, partitions, slices, text_bytes
+from leafcut.llm.shared import Scratch, partitions, slices, text_bytes, tidy
 
 FLUSH = 1_000_000
 LOCAL = 8
@@ -414,26 +414,26 @@ def remove_recurring(docs: DataFrame, window: int = 20, gram: int = 8, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), text_bytes(text_col).alias("body"))
     # Tells texts apart that share an identifier; short, for it goes with every gram.
     rows = rows.select("id", "doc", F.xxhash64("body").bitwiseAND(0xFFFFFFFF).alias("sub"), "body")
-    scanned = rows.select("doc", "sub", "body").mapInArrow(_scan(window, gram), "sure boolean, key long, doc long, spot long, sub long, notice boolean, ref long")
-    places = scanned.repartition("key").sortWithinPartitions("sure", "key", "doc", "spot").mapInArrow(_refer, "doc long, sub long, spot long, ref long, flags int")
+    scanned = rows.select("doc", "sub", "body").mapInArrow(tidy(_scan(window, gram)), "sure boolean, key long, doc long, spot long, sub long, notice boolean, ref long")
+    places = scanned.repartition("key").sortWithinPartitions("sure", "key", "doc", "spot").mapInArrow(tidy(_refer), "doc long, sub long, spot long, ref long, flags int")
     places = scratch.keep(places)
     texts = rows.select("doc", "sub", F.lit(_TEXT).alias("spot"), F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("flags"), "id", "body")
     both = places.select("doc", "sub", "spot", F.col("ref"), F.col("flags"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("body")).union(texts)
     cut = both.select("doc", "sub", "spot", F.coalesce("ref", F.lit(0)).alias("ref"), F.coalesce("flags", F.lit(0)).alias("flags"), "id", "body")
-    cut = scratch.keep(cut.repartition("doc", "sub").sortWithinPartitions("doc", "sub", "spot").mapInArrow(_cut(window, with_text), _CUT))
+    cut = scratch.keep(cut.repartition("doc", "sub").sortWithinPartitions("doc", "sub", "spot").mapInArrow(tidy(_cut(window, with_text)), _CUT))
     scratch.drop(places)
 
     parts = cut.where("kind is not null")
     size = parts.where(F.col("kind") != _STRETCH).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(4 * partitions(spark), -(-size // SHARD_WORDS))
     sent = parts.select(F.pmod(F.xxhash64("ref"), F.lit(shards)).alias("shard"), "kind", "doc", "sub", "start", "words")
-    covered = scratch.keep(sent.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_locate(window), _COVERED))
-    again = covered.where("d1 is not null").repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc", "a").mapInArrow(_later, "doc long, sub long, a long, b long")
+    covered = scratch.keep(sent.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(tidy(_locate(window)), _COVERED))
+    again = covered.where("d1 is not null").repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc", "a").mapInArrow(tidy(_later), "doc long, sub long, a long, b long")
     covered = covered.where("d1 is null").select("doc", "sub", "a", "b").union(again)
 
     whole = cut.where("kind is null")
     hit = covered.select("doc", "sub", "a", "b", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("body")).union(whole.where("body is not null").select("doc", "sub", F.lit(_TEXT).alias("a"), F.lit(0).cast("long").alias("b"), "id", "body"))
-    done = hit.repartition("doc", "sub").sortWithinPartitions("doc", "sub", "a").mapInArrow(_remove, "id long, n_words long, n_removed long, sha binary, kept binary")
+    done = hit.repartition("doc", "sub").sortWithinPartitions("doc", "sub", "a").mapInArrow(tidy(_remove), "id long, n_words long, n_removed long, sha binary, kept binary")
     done = done.select("id", "n_words", "n_removed", "sha", *(["kept"] if with_text else []))
     rest = whole.where("body is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", *([F.lit(None).cast("binary").alias("kept")] if with_text else []))
     out = done.union(rest)

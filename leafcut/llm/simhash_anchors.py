@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcut.llm.components import connected_components
-from leafcut.llm.shared import Scratch, each_text, free_name, text_bytes
+from leafcut.llm.shared import Scratch, each_text, free_name, text_bytes, tidy
 
 HOT = 4096
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
             fps = np.array([fingerprint(t.lower().split(), shingle) for t in each_text(b.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(tidy(run), "id long, fp long")
 
 
 def _anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -178,9 +178,9 @@ def fingerprint_links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFr
     """
     if max_bits not in (0, 1, 2):
         raise ValueError(f"max_bits: {max_bits}")
-    sent = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    found = scratch.keep(sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(max_bits), "u long, v long, hot boolean"))
-    hot = found.where("hot").select(F.col("u").alias("fp")).distinct().mapInArrow(_midpoints(max_bits), "mid long, fp long")
+    sent = fps.select("fp").mapInArrow(tidy(_replicate), "anchor long, fp long, home boolean")
+    found = scratch.keep(sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_compare(max_bits)), "u long, v long, hot boolean"))
+    hot = found.where("hot").select(F.col("u").alias("fp")).distinct().mapInArrow(tidy(_midpoints(max_bits)), "mid long, fp long")
     groups = hot.groupBy("mid").agg(F.array_sort(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
     if max_bits == 2:  # all of a midpoint's are within 2 bits of each other: a star is enough
         more = groups.select(F.explode(F.slice("fps", 2, 65)).alias("u"), F.col("fps")[0].alias("v"))

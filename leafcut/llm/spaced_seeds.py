@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import slices, text_bytes
+from leafcut.llm.shared import slices, text_bytes, tidy
 
 MASKS = ("111111", "1110111", "11011011", "110100111", "1010011011", "11001010011")  # six words each
 SHORT = 12  # words; of items below, masks miss some substitutions
@@ -199,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, ide
                     types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "item_id", "n_words", "n_equal", "doc_start", "item_start"])
 
-        got = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(run, f"id long, {HITS}")
+        got = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(tidy(run), f"id long, {HITS}")
         out = got if out is None else out.union(got)
     if out is None:
         out = spark.createDataFrame([], f"id long, {HITS}")
@@ -231,5 +231,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12
                 clean = [not found for _, _, texts in slices(b.column(k)) for found in index.search(texts)]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

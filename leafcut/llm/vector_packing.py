@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafcut.llm.shared import Scratch, partitions, slices, text_bytes
+from leafcut.llm.shared import Scratch, partitions, slices, text_bytes, tidy
 
 CACHE_WORDS = 400_000  # in each of two generations
 ONCE = 1 << 22
@@ -215,7 +215,7 @@ def tokenized_pieces(docs: DataFrame, path: str, tokens: int = 4096, end_id: int
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(tidy(run), PIECES)
 
 
 def pack(pieces: DataFrame, scratch: Scratch, tokens: int = 4096, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> DataFrame:
@@ -245,7 +245,7 @@ def pack(pieces: DataFrame, scratch: Scratch, tokens: int = 4096, documents: int
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k, c in enumerate(b.schema.names) if c != "rank"), pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], [*(c for c in b.schema.names if c != "rank"), "sequence_id", "offset"])
 
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, tokens: int = 4096, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
