@@ -432,3 +432,10 @@ def test_white_space_is_pythons(spark):
     rows = spark.createDataFrame([(f"{c}a{c}b{c}",) for c in [*space, "​", "﻿", "\x00"]], "t string")
     got = rows.select("t", X.py_strip(F.col("t")).alias("s"), F.regexp_count("t", F.lit(X.WS)).alias("n"), X.clean_text(F.col("t")).alias("c")).collect()
     assert all((r.s, r.n, r.c) == (r.t.strip(), sum(c.isspace() for c in r.t), " ".join(r.t.split())) for r in got)
+
+
+def test_report_rounds_what_is_stored(spark):
+    rows = [(24, 2, 1.0, 0.625, 0.865), (40, 6, 0.999, 0.825, 0.575172), (8, 1, 0.375, 0.995, 0.65), (0, 0, 0.0, 0.0, 0.0)]
+    m = spark.createDataFrame(rows, "total_chars int, word_count int, printable_ratio double, alphanumeric_ratio double, conf double")
+    got = [r.report for r in m.select(Q.quality_report(Q.measured(), F.col("conf")).alias("report")).collect()]
+    assert got == [f"chars {n}, words {w}, printable {p:.2f}, alphanumeric {a:.2f}, confidence {c:.2f}: {'VALID' if c >= 0.65 else 'INVALID'}" for n, w, p, a, c in rows]
