@@ -36,9 +36,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard 0.8 or more over five words) the document with the smallest identifier stays."""
+    """Of each group of near copies (Jaccard 0.8 or more over five words) the document with the smallest identifier stays.
+    SimHash links (2 bits) are checked first; the join finds what they leave out."""
     _small_batches(spark)
-    return jaccard_keep(docs, shingle=5, similarity=0.8)
+    return jaccard_keep(docs, shingle=5, similarity=0.8, max_bits=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -687,6 +687,58 @@ def test_pipeline_near(spark, sf):
     assert kept == plain_jaccard(rows) and len(rows) - len(kept) >= 2
 
 
+def test_near_stage_links_by_simhash(spark, monkeypatch, sf):
+    import corpus_pipeline as P
+    from leafcut.llm.simhash_anchors import fingerprint
+
+    calls, real = [], jaccard_join._anchored
+
+    def spy(nodes, max_bits, scratch):
+        pairs = real(nodes, max_bits, scratch)
+        calls.append((max_bits, [(r.node, r.fp) for r in nodes.collect()], [(r.u, r.v) for r in pairs.collect()]))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_anchored", spy)
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(0, None), (1, " "), (2, "one")]
+    for k in range(12):
+        base = [rng.choice(words) for _ in range(900)]
+        rows += [(10 * k + 10 + j, " ".join([*base[:-1], f"other{j}"])) for j in range(4)]
+    kept = {r.doc_id for r in P.near_dedup(spark, documents(spark, rows), sf).collect()}
+    assert kept == plain_jaccard(rows)
+    [(bits, nodes, pairs)] = calls
+    fps = {f & (1 << 64) - 1 for _, f in nodes if f is not None}
+    assert bits == 2 and fps == {fingerprint(t.encode().split(), 5) for _, t in rows if t and t.split()}
+    of = {n: f for n, f in nodes}
+    assert pairs and all((of[u] ^ of[v]).bit_count() <= 2 for u, v in pairs)
+
+    def parts(links):
+        top = {n: n for n, f in nodes if f is not None}
+        for _ in top:
+            for u, v in links:
+                top[u] = top[v] = min(top[u], top[v])
+        return top
+
+    assert parts(pairs) == parts([(u, v) for u in of for v in of if u < v and None not in (of[u], of[v]) and ((of[u] ^ of[v]) & (1 << 64) - 1).bit_count() <= 2])
+
+
+def test_large_keys_make_no_square(spark):
+    """60 sets that all look alike meet under 20 keys: a row for a set and key, then each pair once."""
+    import pyarrow as pa
+    from fractions import Fraction
+
+    keys, sets = 20, 60
+    lows = list(range(jaccard_join.LOWS))
+    columns = [np.repeat(np.arange(keys), sets), np.tile(np.arange(sets), keys), np.full(keys * sets, 100), [bytes(jaccard_join.BITS // 8)] * (keys * sets), np.tile(np.arange(sets), keys), [lows] * (keys * sets)]
+    rows = pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], list("abcdef"))
+    made = {}
+    for step in (jaccard_join.NEAREST, jaccard_join.ALL):
+        made[step] = [tuple(r.values()) for key in range(keys) for b in jaccard_join._pairs(Fraction(4, 5), step)(rows.filter(pa.array(columns[0] == key))) for r in b.to_pylist()]
+    assert 0 < len(made[jaccard_join.NEAREST]) <= keys * sets
+    assert sorted(made[jaccard_join.ALL]) == [(u, v) for u in range(sets) for v in range(u + 1, sets)]
+
+
 def plain_overlap(equal, least):
     """Start, words and equal words of the best stretch of ``least`` words or more with 0.8 of them equal."""
     n = len(equal)
