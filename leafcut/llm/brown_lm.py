@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(words: list[bytes], numbers: dict[bytes, int], rare: int) -> np.ndarray:
-    return np.fromiter((numbers.get(w, rare) for w in words), np.int64, len(words))
+    return np.fromiter(map(numbers.get, words, repeat(rare)), np.int64, len(words))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -150,7 +151,7 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
 
         def out() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["k", "n"])
 
         for b in batches:
             for t in each_text(b.column(0)):
@@ -163,7 +164,7 @@ def fit_brown(docs: DataFrame, train: Column, scratch: Scratch, classes: int = 4
         if held:
             yield out()
 
-    pairs = scratch.keep(texts.mapInArrow(pairs_of, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    pairs = scratch.keep(_split(texts.mapInArrow(pairs_of, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), size))
     # Words come by frequency, so the items are the first; all others count as one item here.
     items = max(1, int((word_count >= item_share * total).sum()), 1 + int((word_count[1:] >= item_share * total).sum()))
     few = scratch.keep(_merged(pairs, items)) if items < rare else pairs
@@ -224,11 +225,16 @@ def _gather(pairs: DataFrame, keys, schema: str) -> DataFrame:
     return pairs.mapInArrow(run, schema).groupBy("k").agg(F.sum("n").alias("n"))
 
 
+def _split(coded: DataFrame, size: int) -> DataFrame:
+    """Pairs ``a, b, n`` of ``k, n``: two words travel and are summed as one number, ``a * size + b``."""
+    return coded.selectExpr(f"k div {size} AS a", f"k % {size} AS b", "n")
+
+
 def _merged(pairs: DataFrame, items: int) -> DataFrame:
     """The pairs with all words from number ``items`` on as one."""
     size = items + 1
     one = _gather(pairs, lambda a, b, n: (np.minimum(a, items) * size + np.minimum(b, items), n), "k long, n long")
-    return one.select(F.floor(F.col("k") / size).alias("a"), (F.col("k") % size).alias("b"), "n")
+    return _split(one, size)
 
 
 def _assign_pairs(pairs: DataFrame, cls: np.ndarray, bigrams: np.ndarray, first: int, end: int) -> np.ndarray:

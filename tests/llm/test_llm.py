@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafcut.llm import components, jaccard_join, phrase_automata, simhash_anchors, warc_chunks
 from leafcut.llm.bloom_cascade import build_cascade, url_verdicts
-from leafcut.llm.brown_lm import BrownModel, brown_scores, exchange, fit_brown, likelihood, score_brown
+from leafcut.llm.brown_lm import BrownModel, _split, brown_scores, exchange, fit_brown, likelihood, score_brown
 from leafcut.llm.components import connected_components
 from leafcut.llm.content_sort import content_sort_dedup, content_sort_keep
 from leafcut.llm.jaccard_join import jaccard_keep
@@ -382,6 +382,13 @@ def test_brown(spark, edge, share, items):
     assert {r.n_known for r in brown_scores(docs, F.lit(False)).collect()} == {0}
 
 
+def test_brown_pairs_travel_as_one_number(spark):
+    size = 500_001
+    pairs = {(0, 0), (0, size - 1), (size - 1, 0), (size - 1, size - 1), (1, 2), (2, 1)}
+    coded = spark.createDataFrame([(a * size + b, 3) for a, b in pairs], "k long, n long")
+    assert {(r.a, r.b, r.n) for r in _split(coded, size).collect()} == {(a, b, 3) for a, b in pairs}
+
+
 def test_brown_sums_to_one(spark):
     docs = documents(spark, list(enumerate(["a b a b c", "a b rare1", "c c a rare2 rare3"])))
     m: BrownModel = fit_brown(docs, F.lit(True), Scratch(spark, "t"), classes=4, rounds=2, word_share=0.15)
