@@ -439,3 +439,24 @@ def test_report_rounds_what_is_stored(spark):
     m = spark.createDataFrame(rows, "total_chars int, word_count int, printable_ratio double, alphanumeric_ratio double, conf double")
     got = [r.report for r in m.select(Q.quality_report(Q.measured(), F.col("conf")).alias("report")).collect()]
     assert got == [f"chars {n}, words {w}, printable {p:.2f}, alphanumeric {a:.2f}, confidence {c:.2f}: {'VALID' if c >= 0.65 else 'INVALID'}" for n, w, p, a, c in rows]
+
+
+def test_similarity_matrix_in_blocks(spark):
+    """Blocks are multiplied as a whole, not pair by pair in a join; pages of several blocks, of no length or with a null."""
+    rng = np.random.default_rng(5)
+    v = {k: rng.normal(size=8).astype("float32").tolist() for k in (0, 1, 1023, 1024, 1025, 2048, 5000)}
+    v |= {2049: [0.0] * 8, 2050: [1.0] * 7 + [None], 2051: [1.0] * 3, 2052: None}
+    rows = [("b", k, x) for k, x in v.items()] + [("c", 0, v[0]), (None, 0, v[0])]
+    df = V.similarity_matrix(spark.createDataFrame(rows, "bundle_id string, page_num int, embedding array<float>"))
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.bundle_id, r.i, r.j): r.similarity for r in df.collect()}
+
+    def one(x, y):
+        if x is None or y is None or None in x or None in y or len(x) != len(y):
+            return None
+        a, b = (np.array(z, float) / (np.sqrt(np.dot(np.array(z, float), z)) + 1e-8) for z in (x, y))
+        return round(float(a @ b), 6) + 0.0
+
+    want = {("b", i, j): one(x, y) for i, x in v.items() for j, y in v.items()} | {("c", 0, 0): 1.0}
+    assert got.keys() == want.keys() and len(got) == 122
+    assert all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-9) for k, w in want.items())
