@@ -99,9 +99,9 @@ def page_of(pages: DataFrame, doc_id: object, page: int) -> DataFrame:
     return pages.where((F.col("doc_id") == F.lit(doc_id)) & (F.col("page_num") == F.lit(page))).select("text", "text_embedding")
 
 
-def in_document_order(rows: DataFrame, order: str) -> DataFrame:
+def in_document_order(rows: DataFrame, *order: str) -> DataFrame:
     """Of every document at once: rows with ``nth``, their 0-based place by ``order`` within their document."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1)
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
 
 
 def set_document_status(documents: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

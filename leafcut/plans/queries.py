@@ -536,7 +536,8 @@ def _stored_names(s, d):
 @query
 def q69_name_scan(s, d):
     rows = C.confirm_name(_stored_names(s, d), 7, "Final name")
-    return C.in_document_order(rows, "start_page").select("doc_id", "nth", "start_page", "suggested_name", "status", "user_final_name")
+    named = C.in_document_order(rows, "start_page", "name_id")  # names of one page in the order they came
+    return named.select("doc_id", "nth", "start_page", "suggested_name", "status", "user_final_name")
 
 
 @query

@@ -460,3 +460,13 @@ def test_similarity_matrix_in_blocks(spark):
     want = {("b", i, j): one(x, y) for i, x in v.items() for j, y in v.items()} | {("c", 0, 0): 1.0}
     assert got.keys() == want.keys() and len(got) == 122
     assert all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-9) for k, w in want.items())
+
+
+def test_names_of_one_page_keep_their_order(spark, tmp_path):
+    """Orders 100003 apart start at the same page; whatever order they are read in, the lesser comes first."""
+    rows = [(k + j * 100003, 1, f"{j}-{k}") for k in range(40) for j in (2, 0, 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    from leafcut.plans.queries import QUERIES
+
+    got = sorted(QUERIES["q69_name_scan"](spark, str(tmp_path)).collect(), key=lambda r: r.nth)
+    assert [r.suggested_name for r in got] == [f"{j}-{k}" for k in sorted(range(40), key=lambda k: k * 7 % 100003) for j in range(3)]
