@@ -470,3 +470,27 @@ def test_names_of_one_page_keep_their_order(spark, tmp_path):
 
     got = sorted(QUERIES["q69_name_scan"](spark, str(tmp_path)).collect(), key=lambda r: r.nth)
     assert [r.suggested_name for r in got] == [f"{j}-{k}" for k in sorted(range(40), key=lambda k: k * 7 % 100003) for j in range(3)]
+
+
+def test_throttle_in_cells(spark):
+    """Dense, sparse, repeated and far times of several keys, one of them null, over many cells and batches."""
+    rng = np.random.default_rng(7)
+    ms = {"dense": np.arange(30000) * 977, "close": rng.integers(0, 5000, 3000), "long": np.cumsum(rng.integers(0, 3900, 3000)), None: rng.integers(-(10**8), 10**8, 3000), "edge": np.array([0, E.CELL - 1, E.CELL, E.CELL + 1998, E.CELL + 1999, 9 * E.CELL])}
+    rows = [(key, int(x)) for key, xs in ms.items() for x in xs]
+    rows = [(k, key, x) for k, (key, x) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, key string, ms long").select("id", "key", F.timestamp_millis("ms").alias("ts"))
+    thrown = E.throttle(df, 2.0, order="id")
+    plan = thrown._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroups" not in plan  # neither a key in one task nor a call for each few events
+    want, last = set(), {}
+    for k, key, x in sorted(rows, key=lambda r: (str(r[1]), r[2], r[0])):
+        if key not in last or x - last[key] >= 2000:
+            want.add(k)
+            last[key] = x
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert {r.id for r in thrown.collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert E.throttle(df, 0.0).count() == len(rows)
