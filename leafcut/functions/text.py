@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What counts as white space; page-number patterns; common words; document types; OCR garbage.
@@ -36,8 +36,8 @@ def page_number(text: Column) -> Column:
     """The first of the patterns whose first match is 1 to 9999; null if none is."""
 
     def one(pattern: str) -> Column:
-        n = F.regexp_extract(text, "(?imd)" + pattern, 1).try_cast("bigint")
-        return F.when(n.between(1, 9999), n)
+        # Without zeros before it, a number of four digits at most is 1 to 9999; said so that the text is searched once.
+        return F.ltrim(F.regexp_extract(text, "(?imd)" + pattern, 1), F.lit("0")).try_cast("decimal(4,0)")
 
     return F.coalesce(*map(one, PAGE_PATTERNS)).cast("int")
 
@@ -66,8 +66,18 @@ def heuristic_name(text: Column, ordinal: Column, prefix: str = "document") -> C
     """From the first 50 characters of the cleaned page, or prefix and 1-based segment number."""
     cleaned = clean_text(text)
     safe = make_safe_filename(F.substring(cleaned, 1, 50))
-    numbered = F.concat(F.lit(prefix + "_"), F.lpad(ordinal.cast("string"), 4, "0"))
-    return F.when((F.length(cleaned) > 10) & (F.length(safe) > 0), safe).otherwise(numbered)
+    return F.when((F.length(cleaned) > 10) & (F.length(safe) > 0), safe).otherwise(numbered_name(ordinal, prefix))
+
+
+def with_plain_name(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with ``plain_name``: what ``heuristic_name`` makes of the text, null where it takes the number. The text is cleaned once."""
+    out = rows.withColumn("__clean", clean_text(F.col(text)))
+    out = out.withColumn("__long", F.length("__clean") > 10).withColumn("__safe", make_safe_filename(F.substring("__clean", 1, 50)))
+    return out.withColumn("plain_name", F.when(F.col("__long") & (F.length("__safe") > 0), F.col("__safe"))).drop("__clean", "__long", "__safe")
+
+
+def numbered_name(ordinal: Column, prefix: str = "document") -> Column:
+    return F.concat(F.lit(prefix + "_"), F.lpad(ordinal.cast("string"), 4, "0"))
 
 
 def ascii_words(text: Column) -> Column:

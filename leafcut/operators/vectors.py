@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ BLOCK = 4096  # pages
 ROWS = 512
 MATRIX_BLOCK = 1024  # pages; each two blocks give 2 million pairs
 PAIRS = 1 << 17
+SPEAKING, SPEAKERS = 4, 16  # parts of a block, pages of a part
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -105,9 +106,9 @@ def _joined(near: Iterator[tuple[int, np.ndarray]], core_x: np.ndarray, core_y:
     return up
 
 
-def _blocks(pages: DataFrame, size: int = BLOCK) -> DataFrame:
+def _blocks(pages: DataFrame, size: int | None = None) -> DataFrame:
     """Every page once for each block of its bundle that it is compared with: ``bundle_id, a, b`` and the page's columns."""
-    own = pages.withColumn("_block", F.floor(F.col("page_num") / size).cast("int"))
+    own = pages.withColumn("_block", F.floor(F.col("page_num") / (size or BLOCK)).cast("int"))
     last = own.groupBy("bundle_id").agg(F.max("_block").alias("_last"))
     sent = own.join(last, "bundle_id").withColumn("_other", F.explode(F.sequence(F.lit(0), "_last")))
     return sent.select(*pages.columns, F.least("_block", "_other").alias("a"), F.greatest("_block", "_other").alias("b"))
@@ -135,22 +136,8 @@ def _counts(eps: float):
     return run
 
 
-def _links(eps: float):
-    def run(rows: pa.Table) -> pa.Table:
-        one, two, same = _sides(rows)
-        core_x, core_y = (np.asarray(t.column("core").to_numpy(), bool) for t in (one, two))
-        up = _joined(_near(_matrix(one), _matrix(two), eps), core_x, core_y, 0 if same else len(core_x))
-        page = one.column("page_num").to_numpy() if same else np.r_[one.column("page_num").to_numpy(), two.column("page_num").to_numpy()]
-        core = core_x if same else np.r_[core_x, core_y]
-        at = np.flatnonzero(core)
-        return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(at), pa.string()), "u": pa.array(page[at], pa.int32()), "v": pa.array(page[up[at]], pa.int32())})
-
-    return run
-
-
-def _numbered(rows: pa.Table) -> pa.Table:
-    """Labels of a bundle's core pages from links of pages, numbered by the first page of each cluster."""
-    u, v = rows.column("u").to_numpy(), rows.column("v").to_numpy()
+def _tops(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that are linked, and of each the place of the least that it hangs together with."""
     pages, at = np.unique(np.r_[u, v], return_inverse=True)
     u, v, top = at[: len(u)], at[len(u) :], np.arange(len(pages))
     while (apart := top[u] != top[v]).any():
@@ -158,6 +145,90 @@ def _numbered(rows: pa.Table) -> pa.Table:
         np.minimum.at(top, np.maximum(p, q), np.minimum(p, q))
         while (top[top] != top).any():
             top = top[top]
+    return pages, top
+
+
+def _hanging(rows: pa.Table, eps: float) -> np.ndarray:
+    x, all_ = _matrix(rows), np.ones(len(rows), bool)
+    up = _joined(_near(x, x, eps), all_, all_, 0)
+    return _tops(np.arange(len(up)), up)[1]
+
+
+def _parts(eps: float):
+    """Pages of a block with the first page of what they hang together with there; a few of the largest parts speak for it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("page_num")
+        top = _hanging(rows, eps)
+        part, at, n = np.unique(top, return_inverse=True, return_counts=True)
+        large = np.zeros(len(part), bool)
+        large[np.argsort(-n, kind="stable")[:SPEAKING]] = True
+        order = np.argsort(at, kind="stable")
+        nth = np.empty(len(top), int)
+        nth[order] = np.arange(len(top)) - np.repeat(np.cumsum(n) - n, n)
+        page = rows.column("page_num").to_numpy()
+        return rows.append_column("top", pa.array(page[top], pa.int32())).append_column("speaks", pa.array(large[at] & (nth < SPEAKERS)))
+
+    return run
+
+
+def _joint(eps: float):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("page_num")
+        own = rows.column("top").to_numpy()
+        top, at = _tops(own, own[_hanging(rows, eps)])
+        return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(top), pa.string()), "top": pa.array(top, pa.int32()), "joint": pa.array(top[at], pa.int32())})
+
+    return run
+
+
+def _meetings(eps: float):
+    """Labels of outside pages with those of the block's pages that they are near to."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        outer = rows.column("outer").to_numpy()
+        one, two = rows.filter(pa.array(outer)), rows.filter(pa.array(~outer))
+        a, b = one.column("label").to_numpy().astype(np.int64), two.column("label").to_numpy().astype(np.int64)
+        met = np.empty(0, np.int64)
+        for k, near in _near(_matrix(one), _matrix(two), eps) if len(two) else ():
+            i, j = np.nonzero(near)
+            u, v = a[k + i], b[j]
+            met = np.union1d(met, (u << 32 | v)[u != v])
+        return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(met), pa.string()), "u": pa.array(met >> 32, pa.int32()), "v": pa.array(met & 0xFFFFFFFF, pa.int32())})
+
+    return run
+
+
+def _linked(core: DataFrame, eps: float) -> DataFrame:
+    """Links ``bundle_id, u, v`` that hold together the pages that hang together by any of all pairs of a bundle.
+
+    Pairs within one part need no comparison. So blocks are joined by themselves, then by a few pages of their largest parts;
+    only pages outside the largest part of their bundle then meet all others of it, block by block.
+    """
+    alone = core.where(~F.exists("embedding", lambda x: x != 0)) if eps < 1 else core.limit(0)
+    if eps < 1:  # zeros are near to nothing
+        core = core.where(F.exists("embedding", lambda x: x != 0))
+    own = core.select("bundle_id", "page_num", "embedding", F.floor(F.col("page_num") / BLOCK).cast("int").alias("_block"))
+    kind = core.schema["embedding"].dataType.simpleString()
+    parts = own.groupBy("bundle_id", "_block").applyInArrow(_parts(eps), f"bundle_id string, page_num int, embedding {kind}, _block int, top int, speaks boolean")
+    joint = parts.where("speaks").groupBy("bundle_id").applyInArrow(_joint(eps), "bundle_id string, top int, joint int")
+    known = parts.join(joint, ["bundle_id", "top"], "left").select("bundle_id", "page_num", "embedding", "_block", F.coalesce("joint", "top").alias("label"))
+    sizes = known.groupBy("bundle_id", "label").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("bundle_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("_most"))
+    w = Window.partitionBy("bundle_id").orderBy("page_num")
+    outside = known.join(most, "bundle_id").where("label != _most").withColumn("_chunk", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int"))
+    chunks = outside.groupBy("bundle_id").agg(F.max("_chunk").alias("_last"))
+    blocks = known.select("bundle_id", "_block").distinct()
+    pages = known.join(chunks, "bundle_id").select("bundle_id", "embedding", "label", "_block", F.explode(F.sequence(F.lit(0), "_last")).alias("_chunk"), F.lit(False).alias("outer"))
+    sent = pages.unionByName(outside.drop("_block").join(blocks, "bundle_id").select("bundle_id", "embedding", "label", "_block", "_chunk", F.lit(True).alias("outer")))
+    met = sent.groupBy("bundle_id", "_block", "_chunk").applyInArrow(_meetings(eps), "bundle_id string, u int, v int")
+    itself = alone.select("bundle_id", F.col("page_num").alias("u"), F.col("page_num").alias("v"))
+    return known.select("bundle_id", F.col("page_num").alias("u"), F.col("label").alias("v")).unionByName(met).unionByName(itself)
+
+
+def _numbered(rows: pa.Table) -> pa.Table:
+    """Labels of a bundle's core pages from links of pages, numbered by the first page of each cluster."""
+    pages, top = _tops(rows.column("u").to_numpy(), rows.column("v").to_numpy())
     _, label = np.unique(top, return_inverse=True)
     return pa.table({"bundle_id": pa.array([rows.column("bundle_id")[0].as_py()] * len(pages), pa.string()), "page_num": pa.array(pages, pa.int32()), "label": pa.array(label, pa.int32())})
 
@@ -182,9 +253,9 @@ def _borders(eps: float):
 def cluster_labels(pages: DataFrame, eps: float = 0.5, min_samples: int = 1) -> DataFrame:
     """``bundle_id, page_num, label``: density clusters by cosine distance, numbered by their first core page; -1: noise.
 
-    Pages are 0-based and compared block by block, a task for each two blocks of a bundle; what hangs together within two
-    blocks is joined in a task for each bundle, from a row for each page and pair of blocks without vectors. A page that is
-    near to clusters without being core takes the first of them. Pages need a number each and vectors of one length.
+    Pages are 0-based and compared block by block, of different parts only (``_linked``); with ``min_samples`` of 2 or more
+    all pairs are counted, a task for each two blocks of a bundle. What hangs together is joined in a task for each bundle,
+    from a row for each page and few more without vectors. A page that is near to clusters without being core takes the first of them. Pages need a number each and vectors of one length.
     """
     rows = pages.select("bundle_id", "page_num", "embedding")
     if min_samples > 1:
@@ -194,7 +265,7 @@ def cluster_labels(pages: DataFrame, eps: float = 0.5, min_samples: int = 1) ->
         core = rows.join(counts, ["bundle_id", "page_num"]).select("bundle_id", "page_num", "embedding", ((F.col("n") >= min_samples) & ~zero).alias("core"))
     else:
         core = rows.withColumn("core", F.lit(True))
-    linked = _blocks(core).groupBy("bundle_id", "a", "b").applyInArrow(_links(eps), "bundle_id string, u int, v int")
+    linked = _linked(core.where("core and bundle_id is not null"), eps)
     labels = linked.groupBy("bundle_id").applyInArrow(_numbered, "bundle_id string, page_num int, label int")
     if min_samples <= 1:
         return labels

@@ -471,7 +471,7 @@ def q58_effective_text(s, d):
 def q59_debundle_full(s, d):
     from leafcut.plans.debundle import Parameters
 
-    return debundle(B.text_bundle(s, d), B.vector_bundle(s, d), Parameters(eps=0.75, low=0.0, mid=0.1))
+    return debundle(B.measured_bundle(s, d, names=True), B.vector_bundle(s, d), Parameters(eps=0.75, low=0.0, mid=0.1))
 
 
 @query

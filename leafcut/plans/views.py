@@ -16,12 +16,14 @@ def text_bundle(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("page_num", (F.row_number().over(Window.partitionBy("bundle_id").orderBy("doc_id")) - 1).cast("int"))
 
 
-def measured_bundle(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("number", "header_footer", "blank")) -> DataFrame:
-    """As ``text_bundle``, with what the detectors compare in place of texts, which are not shuffled."""
+def measured_bundle(spark: SparkSession, d: str, kinds: tuple[str, ...] = ("number", "header_footer", "blank"), names: bool = False) -> DataFrame:
+    """As ``text_bundle``, with what the detectors compare, and ``plain_name`` if asked for, in place of texts, which are not shuffled."""
+    from leafcut.functions.text import with_plain_name
     from leafcut.operators.detect import measures
 
     docs = table(spark, d, "documents").select(F.col("source").alias("bundle_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("bundle_id", "doc_id", *measures(kinds))
+    docs = with_plain_name(docs) if names else docs
+    docs = docs.select("bundle_id", "doc_id", *measures(kinds), *(["plain_name"] if names else []))
     return docs.withColumn("page_num", (F.row_number().over(Window.partitionBy("bundle_id").orderBy("doc_id")) - 1).cast("int"))
 
 

@@ -494,3 +494,30 @@ def test_throttle_in_cells(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert E.throttle(df, 0.0).count() == len(rows)
+
+
+def test_few_pages_meet_all_others(spark, monkeypatch):
+    """Blocks are joined by themselves; of pages with one part in all, none is sent to other blocks."""
+    sent = []
+    monkeypatch.setattr(V, "_blocks", lambda *x: sent.append(x))
+    rng = np.random.default_rng(9)
+    v = np.array(centres(rng, (9000,), 0.3, d=8) + centres(rng, (3, 2), 0.05, d=8) + [np.zeros(8)])[rng.permutation(9006)].astype("float32").astype(float)
+    near = np.round(v @ v.T, 6) >= 0.9
+    want, todo = np.full(9006, -1), []
+    for k in range(9006):
+        if want[k] < 0:
+            want[k], todo = want.max() + 1, [k]
+            while todo:
+                new = np.flatnonzero(near[todo.pop()] & (want < 0))
+                want[new] = want[k]
+                todo += new.tolist()
+    assert clustered(spark, v, 0.1, 1) == want.tolist() and not sent
+
+
+def test_debundle_shuffles_no_text(spark, sf):
+    from leafcut.plans.queries import QUERIES
+
+    plan = QUERIES["q59_debundle_full"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    for part in plan.split("Exchange hashpartitioning(bundle_id")[1:]:
+        line = part.splitlines()[1]
+        assert " AS text#" not in line and ", text#" not in line, line
