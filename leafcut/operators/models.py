@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 Model = Callable[[list], list]
 FACTORIES: dict[str, Callable[[], Model]] = {}
+ITEMS = 256  # given to a model at once; vectors of so many are held as Python objects
 
 
 def register(name: str) -> Callable:
@@ -104,6 +105,12 @@ def apply_model(column: Column, model: str | Callable[[], Model], returns: str,
     chosen = FACTORIES[model] if isinstance(model, str) else model
     second = FACTORIES[fallback] if fallback else None
 
+    def one(call: Model, x: object) -> object:
+        try:
+            return call([x])[0]
+        except Exception:
+            return empty
+
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
@@ -113,16 +120,13 @@ def apply_model(column: Column, model: str | Callable[[], Model], returns: str,
                 raise
             call = second()
         for s in batches:
-            try:
-                yield pd.Series(call(s.tolist()), index=s.index)
-            except Exception:  # a page that fails gives an empty result, not a failed job
-                def one(x: object) -> object:
-                    try:
-                        return call([x])[0]
-                    except Exception:
-                        return empty
-
-                yield pd.Series([one(x) for x in s.tolist()], index=s.index)
+            for k in range(0, len(s), ITEMS):
+                some = s.iloc[k : k + ITEMS]
+                try:
+                    out = call(some.tolist())
+                except Exception:  # a page that fails gives an empty result, not a failed job
+                    out = [one(call, x) for x in some.tolist()]
+                yield pd.Series(out, index=some.index)
 
     return run(column)
 

@@ -521,3 +521,13 @@ def test_debundle_shuffles_no_text(spark, sf):
     for part in plan.split("Exchange hashpartitioning(bundle_id")[1:]:
         line = part.splitlines()[1]
         assert " AS text#" not in line and ", text#" not in line, line
+
+
+def test_models_get_few_items_at_once(spark):
+    df = spark.range(1000).coalesce(1).select(F.col("id").cast("string").alias("t"))
+
+    def counting():
+        return lambda xs: [f"{x} {len(xs)}" for x in xs]
+
+    got = [r.x.split() for r in df.select(M.apply_model(F.col("t"), counting, "string").alias("x")).collect()]
+    assert [int(t) for t, _ in got] == list(range(1000)) and max(int(n) for _, n in got) <= M.ITEMS
