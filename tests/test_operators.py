@@ -531,3 +531,10 @@ def test_models_get_few_items_at_once(spark):
 
     got = [r.x.split() for r in df.select(M.apply_model(F.col("t"), counting, "string").alias("x")).collect()]
     assert [int(t) for t, _ in got] == list(range(1000)) and max(int(n) for _, n in got) <= M.ITEMS
+
+
+def test_page_number_searches_each_pattern_once(spark):
+    texts = ["Page 0", "Page 00012", "Page 12345 p. 7", "Page 99999999999999999999999999999999999999999\n8", "Page 10000", "Page 9999", "p. 0000\n- 0003 -", "x", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.page_number(F.col("t")).alias("n"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 4
+    assert [r.n for r in sorted(df.collect())] == [None, 12, 7, 8, None, 9999, 3, None, None]
